@@ -34,8 +34,8 @@ def cut_width(df: DataFrame, col: str, start: float, width: float, extra: float
     n_breaks = F.floor((mx + extra - start) / width)          # index of the last break
     idx = F.floor((x - start) / width)
     ok = (x >= start) & (idx < n_breaks)
-    lo = F.when(ok, F.lit(start) + idx * width)
-    hi = F.when(ok, F.lit(start) + (idx + 1) * width)
+    lo = F.when(ok, (F.lit(start) + idx * width).cast("double"))
+    hi = F.when(ok, (F.lit(start) + (idx + 1) * width).cast("double"))
     d = df.withColumn(out + "_lo", lo).withColumn(out + "_hi", hi)
     return d.withColumn(out, F.when(ok, F.concat(F.lit("["), _fmt(F.col(out + "_lo")), F.lit(","),
                                                    _fmt(F.col(out + "_hi")), F.lit(")"))))
@@ -67,11 +67,11 @@ def hist_width(df: DataFrame, col: str, width: float, by=()) -> DataFrame:
     of w, right-closed: centre k w holds ((k - 1/2) w, (k + 1/2) w]."""
     by = [by] if isinstance(by, str) else list(by)
     x = F.col(col).cast("double")
-    k = F.ceil((x - width / 2) / width)
+    k = F.ceil((x - width / 2) / width).cast("bigint")
     d = df.where(x.isNotNull()).select(*by, k.alias("k"))
     c = d.groupBy(*by, "k").agg(F.count(F.lit(1)).alias("n"))
-    return c.select(*by, (F.col("k") * width).alias("center"), ((F.col("k") - 0.5) * width).alias("lo"),
-                    ((F.col("k") + 0.5) * width).alias("hi"), "n")
+    return c.select(*by, (F.col("k") * width).cast("double").alias("center"),
+                    ((F.col("k") - 0.5) * width).alias("lo"), ((F.col("k") + 0.5) * width).alias("hi"), "n")
 
 
 def hist_bins(df: DataFrame, col: str, bins: int = 30, by=()) -> DataFrame:
@@ -95,21 +95,27 @@ _PRETTY_H5 = 0.5 + 1.5 * _PRETTY_H
 _PRETTY_EPS = 1e-10
 
 
-def pretty_breaks_cols(lo, up, ndiv):
-    """R ``pretty(c(lo, up), ndiv)`` as Spark column expressions.
+def pretty_breaks(stats, lo: str, up: str, ndiv: str):
+    """R ``pretty(c(lo, up), ndiv)`` over a (one-row) stats DataFrame.
 
-    Returns (start, unit, count) so the breaks are start + i unit, i = 0..count.
+    Adds ``_start`` and ``_unit``: the breaks are _start + i _unit. Each step
+    is its own projection so no sub-expression is repeated.
     """
-    cell = (up - lo) / ndiv
-    base = F.pow(F.lit(10.0), F.floor(F.log10(cell)))
-    u2 = F.when(2 * base - cell < _PRETTY_H * (cell - base), 2 * base).otherwise(base)
-    u5 = F.when((u2 == 2 * base) & (5 * base - cell < _PRETTY_H5 * (cell - u2)), 5 * base).otherwise(u2)
-    unit = F.when((u5 == 5 * base) & (10 * base - cell < _PRETTY_H * (cell - u5)), 10 * base).otherwise(u5)
-    ns = F.floor(lo / unit + _PRETTY_EPS)
-    nu = F.ceil(up / unit - _PRETTY_EPS)
-    ns = F.when(ns * unit > lo + _PRETTY_EPS * unit, ns - 1).otherwise(ns)
-    nu = F.when(nu * unit < up - _PRETTY_EPS * unit, nu + 1).otherwise(nu)
-    return ns * unit, unit, (nu - ns).cast("int")
+    d = stats.withColumn("_cell", (F.col(up) - F.col(lo)) / F.col(ndiv))
+    d = d.withColumn("_base", F.pow(F.lit(10.0), F.floor(F.log10("_cell"))))
+    cell, base = F.col("_cell"), F.col("_base")
+    d = d.withColumn("_u2", F.when(2 * base - cell < _PRETTY_H * (cell - base), 2 * base).otherwise(base))
+    u2 = F.col("_u2")
+    d = d.withColumn("_u5", F.when((u2 == 2 * base) & (5 * base - cell < _PRETTY_H5 * (cell - u2)), 5 * base)
+                     .otherwise(u2))
+    u5 = F.col("_u5")
+    d = d.withColumn("_unit", F.when((u5 == 5 * base) & (10 * base - cell < _PRETTY_H * (cell - u5)), 10 * base)
+                     .otherwise(u5))
+    unit = F.col("_unit")
+    d = d.withColumn("_ns0", F.floor(F.col(lo) / unit + _PRETTY_EPS))
+    ns0 = F.col("_ns0")
+    d = d.withColumn("_start", F.when(ns0 * unit > F.col(lo) + _PRETTY_EPS * unit, ns0 - 1).otherwise(ns0) * unit)
+    return d
 
 
 def hist_sturges(df: DataFrame, col: str) -> DataFrame:
@@ -120,11 +126,10 @@ def hist_sturges(df: DataFrame, col: str) -> DataFrame:
     density = count / (n * width).
     """
     x = F.col(col).cast("double")
-    st = df.agg(F.struct(F.min(x).alias("mn"), F.max(x).alias("mx"),
-                         F.count(x).alias("n"))).scalar()
-    mn, mx, n = st.getField("mn"), st.getField("mx"), st.getField("n")
-    ndiv = F.ceil(F.log2(n) + 1)
-    start, unit, count = pretty_breaks_cols(mn, mx, ndiv)
+    st = df.agg(F.min(x).alias("mn"), F.max(x).alias("mx"), F.count(x).alias("n"))
+    st = st.withColumn("_ndiv", F.ceil(F.log2("n") + 1))
+    br = pretty_breaks(st, "mn", "mx", "_ndiv").select(F.struct("_start", "_unit", "n")).scalar()
+    start, unit, n = br.getField("_start"), br.getField("_unit"), br.getField("n")
     idx = F.greatest(F.lit(0), F.ceil((x - start) / unit) - 1).cast("int")
     d = df.where(x.isNotNull()).select(idx.alias("k"), start.alias("_s"), unit.alias("_u"), n.alias("_n"))
     c = d.groupBy("k", "_s", "_u", "_n").agg(F.count(F.lit(1)).alias("n"))
@@ -150,7 +155,7 @@ def key_bins(df: DataFrame, col: str, probs, start: float = 0.0, width: float =
     idx = F.floor((x - start) / width)
     ok = (x >= start) & (idx < n_breaks)
     return q.select("p", F.col(col).alias("value"), F.bround(x, 0).alias("label"),
-                    F.when(ok, F.lit(start) + idx * width).alias("bin_lo"))
+                    F.when(ok, (F.lit(start) + idx * width).cast("double")).alias("bin_lo"))
 
 
 def sturges(n: int) -> int:

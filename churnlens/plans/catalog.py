@@ -1,3 +1,4 @@
 """Import every query module so that each registers its plans."""
 
 from churnlens.plans import clean_queries  # noqa: F401
+from churnlens.plans import profile_queries  # noqa: F401
