@@ -3,3 +3,4 @@
 from churnlens.plans import clean_queries  # noqa: F401
 from churnlens.plans import profile_queries  # noqa: F401
 from churnlens.plans import model_prep_queries  # noqa: F401
+from churnlens.plans import neighbor_queries  # noqa: F401
