@@ -16,6 +16,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from churnlens.session import ship_package
+
 from churnlens.operators.quantile import quantile_row
 
 # Bw.nrd0 constants and R's default grid size and cut.
@@ -34,6 +36,7 @@ def kde(df: DataFrame, col: str, by=(), n_grid: int = GRID_N, cut: float = CUT,
     the overall min..max (ggplot2 ``geom_density``) unless ``shared_grid`` says
     otherwise. Densities are rounded to 12 places, x to 6.
     """
+    ship_package(df.sparkSession)
     by = [by] if isinstance(by, str) else list(by)
     shared = bool(by) if shared_grid is None else shared_grid
     x = F.col(col).cast("double")

@@ -156,3 +156,16 @@ def classification_report(df: DataFrame, label: str, pred: Column) -> DataFrame:
             row("macro avg", (P0 + P1) / 2, (R0 + R1) / 2, (F0 + F1_) / 2, N),
             row("weighted avg", (P0 * S0 + P1 * S1) / N, (R0 * S0 + R1 * S1) / N, (F0 * S0 + F1_ * S1) / N, N)]
     return m.select(F.explode(F.array(*rows)).alias("r")).select("r.*")
+
+
+def auc_by(df: DataFrame, score: str, label: str, group_cols) -> DataFrame:
+    """E4 per group (folds, grid points): one bucketed running sum for all groups."""
+    g = list(group_cols)
+    y = F.col(label).cast("int")
+    c = df.groupBy(*g, F.col(score).cast("double").alias("threshold")).agg(
+        F.sum(y).cast("bigint").alias("pos"), F.sum(1 - y).cast("bigint").alias("neg"))
+    cum = global_cumsum(c, ["threshold"], ["pos", "neg"], group_cols=g, descending=True, total_prefix="tot_")
+    num = F.sum(F.col("pos") * (2 * (F.col("tot_neg") - F.col("cum_neg")) + F.col("neg"))).cast("bigint")
+    return cum.groupBy(*g, "tot_pos", "tot_neg").agg(num.alias("_num")).select(
+        *g, F.when((F.col("tot_pos") > 0) & (F.col("tot_neg") > 0),
+                   F.col("_num") / (F.col("tot_pos") * F.col("tot_neg") * 2)).alias("auc"))

@@ -17,6 +17,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from churnlens.session import ship_package
+
 METRICS = ("euclidean", "manhattan", "minkowski")
 _TIE_MARGIN = 1e-6
 
@@ -49,6 +51,7 @@ def knn_topk(query: DataFrame, base: DataFrame, features, k: int = 5, metric: st
     base key. ``exclude_self`` drops pairs with equal keys (neighbours within
     one table).
     """
+    ship_package(query.sparkSession)
     if metric not in METRICS:
         raise ValueError(f"metric must be one of {METRICS}")
     nq, nb = query.count(), base.count()                 # two scalars: tile grid size
@@ -110,6 +113,6 @@ def knn_proba(topk: DataFrame, base: DataFrame, label: str = "Left", base_key: s
     else:
         zero = F.sum(F.when(d == 0, 1).otherwise(0))
         proba = F.when(zero > 0, F.sum(F.when(d == 0, y).otherwise(0)) / zero) \
-            .otherwise(F.sum(y / d) / F.sum(1 / d))
+            .otherwise(F.sum(F.try_divide(y, d)) / F.sum(F.try_divide(F.lit(1.0), d)))
     g = j.groupBy("qid").agg(F.round(proba, places).alias("proba"))
     return g.withColumn("pred", F.when(F.col("proba") > 0.5, 1).otherwise(0))

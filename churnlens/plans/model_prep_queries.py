@@ -9,6 +9,7 @@ from churnlens.operators import prepare as X
 from churnlens.plans.clean_queries import clean
 from churnlens.plans.oracle_sql import BASE, CLEAN, FEATURES, md5_hex, with_
 from churnlens.plans.registry import register
+from churnlens.session import materialize
 from churnlens.sources.fixtures import churn_base
 
 MONEY = {"Salary": 2, "Balance": 2}
@@ -71,9 +72,10 @@ st AS (SELECT {stats} FROM split WHERE is_test = 0)""", f'SELECT Customer_ID, "L
 
 
 def scaled_split(spark, sf, seed=SEED):
+    """Split + scaler fitted on the training rows; written once per session."""
     s = split_df(spark, sf, seed)
     model = X.fit_scaler(s.where("is_test = 0"), FEATURES, MONEY)
-    return model.transform(s)
+    return materialize(model.transform(s), "scaled-split", (sf, seed))
 
 
 @register("scale", _scale_sql())
@@ -95,15 +97,15 @@ def q_engineer_features(spark, sf):
 # ---- E1-E12 on a planted score --------------------------------------------
 
 SCORES = {
-    "basic": ("CAST(Age AS DOUBLE) / 100", F.col("Age").cast("double") / 100),
+    "basic": ("CAST(Age AS DOUBLE) / 100", lambda: F.col("Age").cast("double") / 100),
     "tuned": ("CAST(Age + 15 * CASE WHEN Gender = 'Female' THEN 1 ELSE 0 END - 6 * Products_in_Use AS DOUBLE) / 100",
-              (F.col("Age") + 15 * F.when(F.col("Gender") == "Female", 1).otherwise(0)
-               - 6 * F.col("Products_in_Use")).cast("double") / 100),
+              lambda: (F.col("Age") + 15 * F.when(F.col("Gender") == "Female", 1).otherwise(0)
+                       - 6 * F.col("Products_in_Use")).cast("double") / 100),
 }
 
 
 def scored(spark, sf, which="tuned"):
-    return churn_base(spark, sf).select("Customer_ID", SCORES[which][1].alias("score"),
+    return churn_base(spark, sf).select("Customer_ID", SCORES[which][1]().alias("score"),
                                         F.col("Left_planted").alias("label"))
 
 

@@ -50,3 +50,49 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     """A path for an intermediate table, inside the shared checkpoint folder."""
     base = checkpoint_dir(spark)
     return os.path.join(base, name)
+
+
+_SHIPPED: set = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make ``churnlens`` importable in Python workers (once per context).
+
+    Operators that run Python on executors (Arrow batches in pandas) call
+    this; the zipped package is distributed by Spark itself.
+    """
+    sc = spark.sparkContext
+    key = sc.applicationId
+    if key in _SHIPPED:
+        return
+    import zipfile
+    pkg = os.path.dirname(os.path.abspath(__file__))
+    path = scratch_path(spark, f"churnlens-{key}.zip")
+    if "://" not in path or path.startswith("file:"):
+        local = path.replace("file:", "")
+        os.makedirs(os.path.dirname(local), exist_ok=True)
+        with zipfile.ZipFile(local, "w") as z:
+            for root, _, files in os.walk(pkg):
+                for f in files:
+                    if f.endswith(".py"):
+                        full = os.path.join(root, f)
+                        z.write(full, os.path.relpath(full, os.path.dirname(pkg)))
+        sc.addPyFile(local)
+    _SHIPPED.add(key)
+
+
+_TABLES: dict = {}
+
+
+def materialize(df, name: str, key=None):
+    """Write ``df`` once per session and key to the shared checkpoint folder
+    and return the re-read table (cuts lineage; survives executor loss)."""
+    spark = df.sparkSession
+    k = (spark.sparkContext.applicationId, name, key)
+    path = _TABLES.get(k)
+    if path is None:
+        import uuid
+        path = scratch_path(spark, f"{name}-{uuid.uuid4().hex}")
+        df.write.mode("overwrite").parquet(path)
+        _TABLES[k] = path
+    return spark.read.parquet(path)
