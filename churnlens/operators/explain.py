@@ -54,9 +54,9 @@ def shapley(score_fn, rows: DataFrame, background: DataFrame, features, key: str
     coef = F.array(*[F.array(*[F.lit(v) for v in row]) for row in _coefs(m)])
     x = rows.select(key, *[F.col(c).cast("double") for c in features])
     ex = x.select(key, *features, F.explode(masks).alias("mask")).select(key, "mask", *features,
-                                                                         F.explode(bg).alias("b"))
+                                                                         F.explode(bg).alias("_bg"))
     mixed = ex.select(key, "mask", *[
-        F.when(F.shiftright(F.col("mask"), i).bitwiseAND(1) == 1, F.col(c)).otherwise(F.col("b.b_" + c)).alias(c)
+        F.when(F.shiftright(F.col("mask"), i).bitwiseAND(1) == 1, F.col(c)).otherwise(F.col("_bg.b_" + c)).alias(c)
         for i, c in enumerate(features)])
     scored = score_fn(mixed)
     v = scored.groupBy(key, "mask").agg(F.avg("margin").alias("v"))
