@@ -44,12 +44,14 @@ def _dist(q: np.ndarray, b: np.ndarray, metric: str, p: float) -> np.ndarray:
 
 def knn_topk(query: DataFrame, base: DataFrame, features, k: int = 5, metric: str = "euclidean",
              p: float = 2.0, query_key: str = "Customer_ID", base_key: str = "Customer_ID",
-             exclude_self: bool = False, block: int = 4096, places: int = 9) -> DataFrame:
+             exclude_self: bool = False, block: int = 4096, places: int = 9,
+             carry: str | None = None) -> DataFrame:
     """(qid, nid, distance, rank): the k nearest base rows of every query row.
 
     Distances are rounded to ``places``; ties at rank k go to the smaller
     base key. ``exclude_self`` drops pairs with equal keys (neighbours within
-    one table).
+    one table). ``carry`` names a base column (e.g. the label) returned as
+    ``_y`` with each neighbour, so no join back to the base is needed.
     """
     ship_package(query.sparkSession)
     if metric not in METRICS:
@@ -61,19 +63,21 @@ def knn_topk(query: DataFrame, base: DataFrame, features, k: int = 5, metric: st
     q = query.select(F.col(query_key).alias("qid"), F.array(*feats).alias("v")) \
         .withColumn("_j", F.explode(F.sequence(F.lit(0), F.lit(pb - 1)))) \
         .withColumn("tile", F.pmod(F.xxhash64("qid"), F.lit(pq)) * pb + F.col("_j")).drop("_j")
-    b = base.select(F.col(base_key).alias("nid"), F.array(*feats).alias("v")) \
+    ycol = F.col(carry).cast("double") if carry else F.lit(None).cast("double")
+    b = base.select(F.col(base_key).alias("nid"), F.array(*feats).alias("v"), ycol.alias("_y")) \
         .withColumn("_i", F.explode(F.sequence(F.lit(0), F.lit(pq - 1)))) \
         .withColumn("tile", F.col("_i") * pb + F.pmod(F.xxhash64("nid"), F.lit(pb))).drop("_i")
     keep = k
 
     def tile(qdf: pd.DataFrame, bdf: pd.DataFrame) -> pd.DataFrame:
         if qdf.empty or bdf.empty:
-            return pd.DataFrame({"qid": [], "nid": [], "d": []})
+            return pd.DataFrame({"qid": [], "nid": [], "d": [], "_y": []})
         qv = np.array(qdf["v"].tolist(), dtype=np.float64)
         bv = np.array(bdf["v"].tolist(), dtype=np.float64)
         qids = qdf["qid"].to_numpy()
         nids = bdf["nid"].to_numpy()
-        out_q, out_n, out_d = [], [], []
+        ys = bdf["_y"].to_numpy(dtype=np.float64)
+        out_q, out_n, out_d, out_y = [], [], [], []
         for s in range(0, len(qv), 512):
             d = _dist(qv[s:s + 512], bv, metric, p)
             if exclude_self:
@@ -86,14 +90,17 @@ def knn_topk(query: DataFrame, base: DataFrame, features, k: int = 5, metric: st
             out_q.append(qids[s:s + 512][r])
             out_n.append(nids[c])
             out_d.append(d[r, c])
-        return pd.DataFrame({"qid": np.concatenate(out_q), "nid": np.concatenate(out_n), "d": np.concatenate(out_d)})
+            out_y.append(ys[c])
+        return pd.DataFrame({"qid": np.concatenate(out_q), "nid": np.concatenate(out_n), "d": np.concatenate(out_d),
+                             "_y": np.concatenate(out_y)})
 
     qt = query.schema[query_key].dataType.simpleString()
     bt = base.schema[base_key].dataType.simpleString()
-    cand = q.groupBy("tile").cogroup(b.groupBy("tile")).applyInPandas(tile, f"qid {qt}, nid {bt}, d double")
+    cand = q.groupBy("tile").cogroup(b.groupBy("tile")).applyInPandas(tile, f"qid {qt}, nid {bt}, d double, _y double")
     cand = cand.withColumn("distance", F.round("d", places))
     w = Window.partitionBy("qid").orderBy("distance", "nid")
-    return cand.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).drop("d")
+    out = cand.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).drop("d")
+    return out if carry else out.drop("_y")
 
 
 def knn_proba(topk: DataFrame, base: DataFrame, label: str = "Left", base_key: str = "Customer_ID",
@@ -105,8 +112,11 @@ def knn_proba(topk: DataFrame, base: DataFrame, label: str = "Left", base_key: s
     (a tie goes to class 0).
     """
     t = topk if k is None else topk.where(F.col("rank") <= k)
-    lab = base.select(F.col(base_key).alias("nid"), F.col(label).cast("int").alias("_y"))
-    j = t.join(lab, "nid")
+    if "_y" in t.columns:                   # label carried by knn_topk: no join back to the base
+        j = t.withColumn("_y", F.col("_y").cast("int"))
+    else:
+        lab = base.select(F.col(base_key).alias("nid"), F.col(label).cast("int").alias("_y"))
+        j = t.join(lab, "nid")
     y, d = F.col("_y"), F.col("distance")
     if weights == "uniform":
         proba = F.sum(y) / F.count(F.lit(1))

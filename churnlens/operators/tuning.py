@@ -38,11 +38,11 @@ def knn_grid(train: DataFrame, features, label: str = "Left", key: str = "Custom
         for f in _folds(train, fold_col):
             q = train.where(F.col(fold_col) == f)
             b = train.where(F.col(fold_col) != f)
-            t = knn_topk(q, b, features, k=kmax, metric=metric, query_key=key, base_key=key) \
-                .select(F.lit(metric).alias("metric"), F.lit(f).alias(fold_col), "qid", "nid", "distance", "rank")
+            t = knn_topk(q, b, features, k=kmax, metric=metric, query_key=key, base_key=key, carry=label) \
+                .select(F.lit(metric).alias("metric"), F.lit(f).alias(fold_col), "qid", "nid", "distance", "rank",
+                        F.col("_y").cast("int").alias("_y"))
             cands = t if cands is None else cands.unionByName(t)
-    lab = train.select(F.col(key).alias("nid"), F.col(label).cast("int").alias("_y"))
-    c = cands.join(lab, "nid").withColumn("k", F.explode(F.array(*[F.lit(k) for k in ks]))) \
+    c = cands.withColumn("k", F.explode(F.array(*[F.lit(k) for k in ks]))) \
         .where(F.col("rank") <= F.col("k"))
     y, d = F.col("_y"), F.col("distance")
     zero = F.sum(F.when(d == 0, 1).otherwise(0))
@@ -65,7 +65,7 @@ def knn_fit_score(k: int = 5, weights: str = "uniform", metric: str = "euclidean
                   label: str = "Left", key: str = "Customer_ID"):
     """A (fit, score) pair for a kNN classifier: scoring is the neighbour job."""
     def score(train: DataFrame, rows: DataFrame) -> DataFrame:
-        t = knn_topk(rows, train, features, k=k, metric=metric, query_key=key, base_key=key)
+        t = knn_topk(rows, train, features, k=k, metric=metric, query_key=key, base_key=key, carry=label)
         p = knn_proba(t, train, label, key, weights=weights)
         return rows.join(p.withColumnRenamed("qid", key), key)
     return score
