@@ -242,3 +242,19 @@ def test_gbt_beats_constant(spark):
     assert a > 0.8
     imp = tree_importance(m, feats + ["Gender"], spark).toPandas()
     assert imp.importance.sum() == pytest.approx(1.0)
+
+
+def test_branch_stream_matches_batch(spark, tmp_path):
+    from churnlens.operators import clean as C
+    from churnlens.sources.fixtures import branches
+    from churnlens.streaming import clean_stream, write_stream
+    b1 = branches(spark, SF_SMALL)[0]
+    src = str(tmp_path / "in")
+    b1.write.option("header", True).option("nullValue", "NA").csv(src)
+    out = str(tmp_path / "out")
+    q = write_stream(clean_stream(spark, src, 1), out, str(tmp_path / "ck"))
+    q.awaitTermination(120)
+    got = spark.read.parquet(out)
+    want = C.keep_range(C.drop_missing(C.encode_gender(b1.withColumn("Source", F.lit(1)))), "Score")
+    assert got.count() == want.count()
+    assert got.exceptAll(want.select(*got.columns)).count() == 0
