@@ -258,3 +258,20 @@ def test_branch_stream_matches_batch(spark, tmp_path):
     want = C.keep_range(C.drop_missing(C.encode_gender(b1.withColumn("Source", F.lit(1)))), "Score")
     assert got.count() == want.count()
     assert got.exceptAll(want.select(*got.columns)).count() == 0
+
+
+@pytest.mark.parametrize("parts", ["1", "200"])
+def test_results_independent_of_shuffle_partitions(spark, parts):
+    import __spark_entry__ as E
+    from tools.check_oracle import digest
+    names = ["churn_rate_by_source", "quantiles", "roc_curve", "split_rows", "box_facets"]
+    base = {n: digest(*(lambda d: (d.columns, [tuple(r) for r in d.collect()]))(E.queries()[n](spark, SF_SMALL)))[0]
+            for n in names}
+    old = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", parts)
+    try:
+        for n in names:
+            d = E.queries()[n](spark, SF_SMALL)
+            assert digest(d.columns, [tuple(r) for r in d.collect()])[0] == base[n], n
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", old)
