@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
+import zipfile
 
 from pyspark.sql import SparkSession
 
@@ -33,13 +35,17 @@ def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """Shared checkpoint folder.
+    """Shared checkpoint folder, as ``spark.checkpoint.dir`` names it.
 
-    Uses ``spark.checkpoint.dir`` when the cluster names one; only when it is
-    unset (local tests) a fresh folder under the system temp dir is made.
+    A cluster must name one, as its nodes share no local folder. Only a
+    ``local`` master may leave it unset (tests): then a fresh folder under the
+    system temp dir is made.
     """
     d = spark.conf.get("spark.checkpoint.dir", None)
     if not d:
+        master = spark.sparkContext.master
+        if not re.fullmatch(r"local(\[[^\]]*\])?", master):
+            raise ValueError(f"master {master} needs spark.checkpoint.dir: a folder that driver and executors share")
         d = tempfile.mkdtemp(prefix="churnlens-ckpt-")
         spark.conf.set("spark.checkpoint.dir", d)
     spark.sparkContext.setCheckpointDir(d)
@@ -59,25 +65,23 @@ def ship_package(spark: SparkSession) -> None:
     """Make ``churnlens`` importable in Python workers (once per context).
 
     Operators that run Python on executors (Arrow batches in pandas) call
-    this; the zipped package is distributed by Spark itself.
+    this. The zip is code, not data: it is built in the driver's own temp
+    folder, and Spark's file server hands it to every executor, so it works
+    whatever store the checkpoint folder is in.
     """
     sc = spark.sparkContext
     key = sc.applicationId
     if key in _SHIPPED:
         return
-    import zipfile
     pkg = os.path.dirname(os.path.abspath(__file__))
-    path = scratch_path(spark, f"churnlens-{key}.zip")
-    if "://" not in path or path.startswith("file:"):
-        local = path.replace("file:", "")
-        os.makedirs(os.path.dirname(local), exist_ok=True)
-        with zipfile.ZipFile(local, "w") as z:
-            for root, _, files in os.walk(pkg):
-                for f in files:
-                    if f.endswith(".py"):
-                        full = os.path.join(root, f)
-                        z.write(full, os.path.relpath(full, os.path.dirname(pkg)))
-        sc.addPyFile(local)
+    local = os.path.join(tempfile.mkdtemp(prefix="churnlens-code-"), "churnlens.zip")
+    with zipfile.ZipFile(local, "w") as z:
+        for root, _, files in os.walk(pkg):
+            for f in sorted(files):
+                if f.endswith(".py"):
+                    full = os.path.join(root, f)
+                    z.write(full, os.path.relpath(full, os.path.dirname(pkg)))
+    sc.addPyFile(local)
     _SHIPPED.add(key)
 
 
