@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from churnlens.llm import secrets, simhash, tokens
+from churnlens.llm import quality, secrets, simhash, tokens, toxicity
 from churnlens.llm.common import table
 
 
@@ -20,5 +20,15 @@ def op7_simhash(spark, sf_dir):
     return simhash.simhash_groups(table(spark, sf_dir, "documents"), shingle=4, max_bits=4)
 
 
-LLM_QUERIES = {f.__name__: f for f in (op2_secret_scan, op4_token_orc, op7_simhash)}
+def op8_toxicity(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
+
+
+def op10_quality(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    return quality.score(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
+
+
+LLM_QUERIES = {f.__name__: f for f in (op2_secret_scan, op4_token_orc, op7_simhash, op8_toxicity, op10_quality)}
 LLM_ORACLE: dict[str, str] = {}
