@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from churnlens.llm import quality, secrets, simhash, tokens, toxicity
+from churnlens.llm import decontaminate, oracle, quality, secrets, simhash, tokens, toxicity
 from churnlens.llm.common import table
 
 
@@ -16,6 +16,10 @@ def op4_token_orc(spark, sf_dir):
     return tokens.token_table(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op6_decontaminate(spark, sf_dir):
+    return decontaminate.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op7_simhash(spark, sf_dir):
     return simhash.simhash_groups(table(spark, sf_dir, "documents"), shingle=4, max_bits=4)
 
@@ -30,5 +34,5 @@ def op10_quality(spark, sf_dir):
     return quality.score(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
 
 
-LLM_QUERIES = {f.__name__: f for f in (op2_secret_scan, op4_token_orc, op7_simhash, op8_toxicity, op10_quality)}
-LLM_ORACLE: dict[str, str] = {}
+LLM_QUERIES = {f.__name__: f for f in (op2_secret_scan, op4_token_orc, op6_decontaminate, op7_simhash, op8_toxicity, op10_quality)}
+LLM_ORACLE: dict[str, str] = {"op6_decontaminate": oracle.DECONTAMINATE}
