@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from churnlens.llm import decontaminate, oracle, quality, secrets, simhash, tokens, toxicity
+from churnlens.llm import decontaminate, neighbours, oracle, quality, secrets, simhash, tokens, toxicity
 from churnlens.llm.common import table
 
 
@@ -12,6 +12,11 @@ def op2_secret_scan(spark, sf_dir):
     return secrets.scan(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
 
 
+def op3_neighbours(spark, sf_dir):
+    vectors = table(spark, sf_dir, "embeddings")
+    return neighbours.nearest(vectors, vectors.where(vectors["vec_id"] % 50 == 0), k=5)
+
+
 def op4_token_orc(spark, sf_dir):
     return tokens.token_table(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
@@ -34,5 +39,5 @@ def op10_quality(spark, sf_dir):
     return quality.score(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
 
 
-LLM_QUERIES = {f.__name__: f for f in (op2_secret_scan, op4_token_orc, op6_decontaminate, op7_simhash, op8_toxicity, op10_quality)}
+LLM_QUERIES = {f.__name__: f for f in (op2_secret_scan, op3_neighbours, op4_token_orc, op6_decontaminate, op7_simhash, op8_toxicity, op10_quality)}
 LLM_ORACLE: dict[str, str] = {"op6_decontaminate": oracle.DECONTAMINATE}
