@@ -4,9 +4,16 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from churnlens.llm import decontaminate, neighbours, oracle, quality, secrets, simhash, tokens, toxicity
+from churnlens.llm import decontaminate, neighbours, oracle, pseudonyms, quality, secrets, simhash, tokens, toxicity
 from churnlens.llm.common import table
 
+#: A run's own key comes from its secret store; this one makes the registered query repeatable.
+PSEUDONYM_KEY = "registered-query"
+
+
+def op1_pseudonyms(spark, sf_dir):
+    return pseudonyms.pseudonymise(table(spark, sf_dir, "documents"), PSEUDONYM_KEY)
+
 
 def op2_secret_scan(spark, sf_dir):
     return secrets.scan(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
@@ -39,5 +46,5 @@ def op10_quality(spark, sf_dir):
     return quality.score(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
 
 
-LLM_QUERIES = {f.__name__: f for f in (op2_secret_scan, op3_neighbours, op4_token_orc, op6_decontaminate, op7_simhash, op8_toxicity, op10_quality)}
+LLM_QUERIES = {f.__name__: f for f in (op1_pseudonyms, op2_secret_scan, op3_neighbours, op4_token_orc, op6_decontaminate, op7_simhash, op8_toxicity, op10_quality)}
 LLM_ORACLE: dict[str, str] = {"op6_decontaminate": oracle.DECONTAMINATE}
