@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from churnlens.llm import decontaminate, neighbours, oracle, pseudonyms, quality, secrets, simhash, tokens, toxicity
+from churnlens.llm import decontaminate, neighbours, oracle, pseudonyms, quality, secrets, simhash, substrings, tokens, toxicity
 from churnlens.llm.common import table
 
 #: A run's own key comes from its secret store; this one makes the registered query repeatable.
@@ -28,6 +28,10 @@ def op4_token_orc(spark, sf_dir):
     return tokens.token_table(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op5_repeats(spark, sf_dir):
+    return substrings.remove_repeats(table(spark, sf_dir, "documents"), length=50)
+
+
 def op6_decontaminate(spark, sf_dir):
     return decontaminate.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -46,5 +50,5 @@ def op10_quality(spark, sf_dir):
     return quality.score(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
 
 
-LLM_QUERIES = {f.__name__: f for f in (op1_pseudonyms, op2_secret_scan, op3_neighbours, op4_token_orc, op6_decontaminate, op7_simhash, op8_toxicity, op10_quality)}
+LLM_QUERIES = {f.__name__: f for f in (op1_pseudonyms, op2_secret_scan, op3_neighbours, op4_token_orc, op5_repeats, op6_decontaminate, op7_simhash, op8_toxicity, op10_quality)}
 LLM_ORACLE: dict[str, str] = {"op6_decontaminate": oracle.DECONTAMINATE}
