@@ -60,3 +60,11 @@ def n_partitions(rows_or_bytes: float, per_task: float, least: int) -> int:
 
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """``name``, with underscores after it until ``df`` has no such column."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name

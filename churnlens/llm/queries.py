@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from churnlens.llm import decontaminate, neighbours, oracle, pseudonyms, quality, secrets, simhash, substrings, tokens, toxicity
+from churnlens.llm import decontaminate, mixing, neighbours, oracle, pseudonyms, quality, secrets, simhash, substrings, tokens, toxicity
 from churnlens.llm.common import table
 
 #: A run's own key comes from its secret store; this one makes the registered query repeatable.
@@ -45,10 +45,19 @@ def op8_toxicity(spark, sf_dir):
     return toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
 
 
+#: Token weights of the languages that the mixture should have.
+MIX_TARGETS = {"en": 0.4, "de": 0.2, "fr": 0.2, "es": 0.2}
+
+
+def op9_mixing(spark, sf_dir):
+    out = mixing.mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), MIX_TARGETS)
+    return out.select("doc_id", "n_tokens", "domain", "rate", "n_copies", "p")
+
+
 def op10_quality(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     return quality.score(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
 
 
-LLM_QUERIES = {f.__name__: f for f in (op1_pseudonyms, op2_secret_scan, op3_neighbours, op4_token_orc, op5_repeats, op6_decontaminate, op7_simhash, op8_toxicity, op10_quality)}
+LLM_QUERIES = {f.__name__: f for f in (op1_pseudonyms, op2_secret_scan, op3_neighbours, op4_token_orc, op5_repeats, op6_decontaminate, op7_simhash, op8_toxicity, op9_mixing, op10_quality)}
 LLM_ORACLE: dict[str, str] = {"op6_decontaminate": oracle.DECONTAMINATE}

@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from churnlens.llm.common import id_text, n_partitions, ready, shuffle_partitions, written
+from churnlens.llm.common import fresh, id_text, n_partitions, ready, shuffle_partitions, written
 from churnlens.llm.components import components
 
 #: ASCII upper case only; white space as the word rule names it.
@@ -72,9 +72,9 @@ def fingerprints(texts, shingle: int) -> np.ndarray:
 def _with_fingerprint(docs: DataFrame, shingle: int) -> DataFrame:
     def run(batches):
         for b in batches:
-            yield pd.DataFrame({"doc_id": b["doc_id"], "fp": fingerprints(b["text"].tolist(), shingle).view(np.int64)})
+            yield b[["doc_id", "k1", "k2"]].assign(fp=fingerprints(b["text"].tolist(), shingle).view(np.int64))
 
-    return docs.mapInPandas(run, "doc_id long, fp long")
+    return docs.mapInPandas(run, "doc_id long, k1 long, k2 long, fp long")
 
 
 def _plan(n: int, max_bits: int) -> list[tuple[int, ...]]:
@@ -206,6 +206,25 @@ def links(fps: DataFrame, n: int, max_bits: int) -> DataFrame:
     return rows.mapInPandas(compare, "a long, b long")
 
 
+def _row_keys(doc_id, text) -> list:
+    """128 bits that name a row by its id and text; never null."""
+    return [F.xxhash64(doc_id, text), F.xxhash64(F.lit("row"), text, doc_id)]
+
+
+def _grouped(docs: DataFrame, shingle: int, max_bits: int, id_col: str, text_col: str) -> DataFrame:
+    """``doc_id``, ``k1``, ``k2``, ``fp``, ``component_id`` of each row."""
+    ready(docs.sparkSession)
+    d = id_text(docs, id_col, text_col)
+    k1, k2 = _row_keys(d["doc_id"], d["text"])
+    fp = written(_with_fingerprint(d.withColumns({"k1": k1, "k2": k2}), shingle), "simhash")
+    distinct = written(fp.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-fp")
+    n = distinct.count()
+    root = components(links(distinct, n, max_bits))
+    named = distinct.join(root, distinct["fp"] == root["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    least = named.groupBy("root").agg(F.min("least").alias("component_id"))
+    return fp.join(named.join(least, "root").select("fp", "root", "component_id"), "fp")
+
+
 def simhash_groups(docs: DataFrame, shingle: int = 4, max_bits: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: ``doc_id``, ``fingerprint`` (16 hex digits), ``component_id``.
 
@@ -214,12 +233,20 @@ def simhash_groups(docs: DataFrame, shingle: int = 4, max_bits: int = 4, id_col:
     smallest of its component; a component of null ids has a null id. An empty
     table gives an empty result. Other columns of ``docs`` are ignored.
     """
-    ready(docs.sparkSession)
-    fp = written(_with_fingerprint(id_text(docs, id_col, text_col), shingle), "simhash")
-    distinct = written(fp.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-fp")
-    n = distinct.count()
-    root = components(links(distinct, n, max_bits))
-    named = distinct.join(root, distinct["fp"] == root["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    least = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    label = named.join(least, "root").select("fp", "component_id")
-    return fp.join(label, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    return _grouped(docs, shingle, max_bits, id_col, text_col).select(
+        "doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def keep_first(docs: DataFrame, shingle: int = 4, max_bits: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, all columns, of which each group keeps one: that with the smallest id.
+
+    Of several rows with that id one stays (of equal rows any one). A group
+    whose ids are all null keeps one row.
+    """
+    g = _grouped(docs, shingle, max_bits, id_col, text_col).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    # min of a struct is combined on the map side: one row a group is left, however large the group
+    first = g.groupBy("root").agg(F.min(F.struct("k1", "k2")).alias("k")).select("k.k1", "k.k2").distinct()
+    a, b = fresh(docs, "_k1"), fresh(docs, "_k2")
+    k1, k2 = _row_keys(docs[id_col].cast("long"), docs[text_col].cast("string"))
+    rows = docs.withColumns({a: k1, b: k2})
+    return rows.join(first, (rows[a] == first["k1"]) & (rows[b] == first["k2"]), "left_semi").dropDuplicates([a, b]).select(*docs.columns)
