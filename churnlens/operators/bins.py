@@ -46,16 +46,21 @@ def cut_n(df: DataFrame, col: str, n: int = 20, out: str = "bin") -> DataFrame:
 
     Inner edges are min + i (max - min) / n; the outer edges move out by
     (max - min) / 1000. Bin index = ceil((x - min) / w) - 1, clipped to 0..n-1.
+    A constant column c has edges from c - |c| / 1000 to c + |c| / 1000, as in
+    R; a column of zeros, which R refuses, has null bins.
     """
     st = df.agg(F.struct(F.min(F.col(col).cast("double")).alias("mn"),
                          F.max(F.col(col).cast("double")).alias("mx"))).scalar()
     mn, mx = st.getField("mn"), st.getField("mx")
-    dx = mx - mn
-    w = dx / n
+    flat = mn == mx
+    dx = F.when(flat, F.abs(mn)).otherwise(mx - mn)
+    first = F.when(flat, mn - dx / 1000).otherwise(mn)
+    w = F.when(flat, F.when(dx > 0, dx / 500 / n)).otherwise(dx / n)
     x = F.col(col).cast("double")
-    idx = F.greatest(F.lit(0), F.least(F.lit(n - 1), F.ceil((x - mn) / w) - 1))
-    lo = F.when(idx == 0, mn - dx / 1000).otherwise(mn + idx * w)
-    hi = F.when(idx == n - 1, mx + dx / 1000).otherwise(mn + (idx + 1) * w)
+    idx = F.greatest(F.lit(0), F.least(F.lit(n - 1), F.when(flat & (dx > 0), -(-n // 2) - 1).otherwise(F.ceil(F.try_divide(x - first, w)) - 1)))
+    idx = F.when(w.isNotNull(), idx)
+    lo = F.when(idx == 0, mn - dx / 1000).otherwise(first + idx * w)
+    hi = F.when(idx == n - 1, mx + dx / 1000).otherwise(first + (idx + 1) * w)
     d = df.withColumn(out + "_idx", F.when(x.isNotNull(), idx.cast("int")))
     d = d.withColumn(out + "_lo", F.when(x.isNotNull(), F.round(lo, 6))) \
          .withColumn(out + "_hi", F.when(x.isNotNull(), F.round(hi, 6)))
@@ -76,14 +81,15 @@ def hist_width(df: DataFrame, col: str, width: float, by=()) -> DataFrame:
 
 def hist_bins(df: DataFrame, col: str, bins: int = 30, by=()) -> DataFrame:
     """ggplot2 ``geom_histogram(bins=n)``: width = range / (n - 1), first
-    bin centred on the minimum, right-closed; shared range over groups."""
+    bin centred on the minimum, right-closed; shared range over groups. A
+    constant column has one bin, centred on its value."""
     by = [by] if isinstance(by, str) else list(by)
     st = df.agg(F.struct(F.min(F.col(col).cast("double")).alias("mn"),
                          F.max(F.col(col).cast("double")).alias("mx"))).scalar()
     mn, mx = st.getField("mn"), st.getField("mx")
     w = (mx - mn) / (bins - 1)
     x = F.col(col).cast("double")
-    k = F.greatest(F.lit(0), F.ceil((x - mn - w / 2) / w)).cast("int")
+    k = F.when(w == 0, 0).otherwise(F.greatest(F.lit(0), F.ceil((x - mn - w / 2) / w))).cast("int")
     d = df.where(x.isNotNull()).select(*by, k.alias("k"), mn.alias("_mn"), w.alias("_w"))
     c = d.groupBy(*by, "k", "_mn", "_w").agg(F.count(F.lit(1)).alias("n"))
     return c.select(*by, "k", F.round(F.col("_mn") + F.col("k") * F.col("_w"), 6).alias("center"), "n")
@@ -99,9 +105,13 @@ def pretty_breaks(stats, lo: str, up: str, ndiv: str):
     """R ``pretty(c(lo, up), ndiv)`` over a (one-row) stats DataFrame.
 
     Adds ``_start`` and ``_unit``: the breaks are _start + i _unit. Each step
-    is its own projection so no sub-expression is repeated.
+    is its own projection so no sub-expression is repeated. A range of zero
+    width takes its cell from the size of the value, as R does (the shrinking
+    factor 0.75 is R's, with one division at least).
     """
-    d = stats.withColumn("_cell", (F.col(up) - F.col(lo)) / F.col(ndiv))
+    size = F.abs(F.col(lo))
+    point = F.when(size == 0, 1.0).when(size > 10, 9 + size / 10).otherwise(size) * 0.75
+    d = stats.withColumn("_cell", F.when(F.col(up) == F.col(lo), point).otherwise((F.col(up) - F.col(lo)) / F.col(ndiv)))
     d = d.withColumn("_base", F.pow(F.lit(10.0), F.floor(F.log10("_cell"))))
     cell, base = F.col("_cell"), F.col("_base")
     d = d.withColumn("_u2", F.when(2 * base - cell < _PRETTY_H * (cell - base), 2 * base).otherwise(base))

@@ -52,12 +52,12 @@ def dup_groups(df: DataFrame) -> DataFrame:
 def expand_counts(df: DataFrame, count_col: str, first: int = 1, chunk: int = _EXPAND_CHUNK) -> DataFrame:
     """Turn a count back into rows ``first..count``, in chunks of ``chunk``.
 
-    A group holding a third of the table would otherwise explode inside one
+    Groups with a count below ``first`` give no row. A group holding a third of the table would otherwise explode inside one
     task; chunk rows are spread by a repartition before the second explode.
     """
     c = F.col(count_col)
-    n_chunks = F.greatest(F.lit(0), F.ceil((c - first + 1) / F.lit(chunk))).cast("int")
-    ch = df.withColumn("_ch", F.explode(F.sequence(F.lit(0), n_chunks - 1)))
+    n_chunks = F.ceil((c - first + 1) / F.lit(chunk)).cast("int")
+    ch = df.where(c >= first).withColumn("_ch", F.explode(F.sequence(F.lit(0), n_chunks - 1)))
     ch = ch.repartition("_ch", *[x for x in df.columns if x != count_col])
     lo = F.lit(first) + F.col("_ch") * chunk
     hi = F.least(c, lo + chunk - 1)
@@ -155,3 +155,25 @@ def clean_table(raw: DataFrame, score_col: str = "Score", salary_col: str = "Sal
     d = dedup(d)
     d = keep_range(d, score_col)
     return drop_iqr_outliers(d, salary_col)
+
+
+def below(df: DataFrame, col: str, limit: float) -> DataFrame:
+    """Rows whose value is less than ``limit``; nulls and NaN are not."""
+    return df.where((F.col(col) < limit) & ~F.isnan(F.col(col).cast("double")))
+
+
+def below_sql(col: str, limit: float) -> str:
+    """The same filter as SQL text."""
+    return f"{col} < {limit} AND NOT isnan(CAST({col} AS DOUBLE))"
+
+
+# The names under which a churn label is looked for, in order.
+TARGET_NAMES = ("Left", "Churn", "Attrition", "Exited", "Target")
+
+
+def resolve_target(df: DataFrame, candidates=TARGET_NAMES) -> str:
+    """The first candidate that ``df`` has as a column; an error without any."""
+    for name in candidates:
+        if name in df.columns:
+            return name
+    raise ValueError(f"none of {', '.join(candidates)} is a column")

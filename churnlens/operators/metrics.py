@@ -10,7 +10,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from churnlens.operators.rank import global_cumsum
+from churnlens.operators.rank import global_cumsum, global_rank
+
+
+def _big(c: str) -> Column:
+    """A count as a decimal whose products cannot overflow (19 digits each)."""
+    return F.col(c).cast("decimal(19,0)")
+
+
+def _auc(p: str, n: str) -> Column:
+    return F.try_divide(F.col("_num"), (_big(p) * _big(n)).cast("double") * 2).alias("auc")
 
 
 def _score_counts(df: DataFrame, score: str, label: str) -> DataFrame:
@@ -27,46 +36,64 @@ def roc_table(df: DataFrame, score: str = "score", label: str = "label") -> Data
                       F.col("tot_pos").alias("P"), F.col("tot_neg").alias("N"))
 
 
-def roc_curve(df: DataFrame, score: str = "score", label: str = "label") -> DataFrame:
+def _corners(t: DataFrame) -> DataFrame:
+    """Points whose step (new positives, new negatives) is no copy of the next one's; the last point stays.
+
+    Each distinct score has one row; the next score's step comes from a join on
+    the global rank, so no task holds the whole curve.
+    """
+    r = global_rank(t, ["threshold"], descending=True, out="_r")
+    nxt = r.select((F.col("_r") - 1).alias("_r"), F.col("pos").alias("_np"), F.col("neg").alias("_nn"))
+    j = r.join(nxt, "_r", "left")
+    return j.where(F.col("_np").isNull() | (F.col("pos") != F.col("_np")) | (F.col("neg") != F.col("_nn"))).drop("_r", "_np", "_nn")
+
+
+def roc_curve(df: DataFrame, score: str = "score", label: str = "label", drop_collinear: bool = False) -> DataFrame:
     """(threshold, fpr, tpr, tps, fps), starting at threshold +inf, (0, 0).
 
-    One point per distinct score; collinear points are kept.
+    One point per distinct score. ``drop_collinear`` leaves out points on the
+    line between their neighbours (the default of the usual ROC libraries):
+    a point stays if the step to it or the one after it changes direction.
+    A class without rows has a null rate.
     """
     t = roc_table(df, score, label)
+    if drop_collinear:
+        t = _corners(t)
     pts = t.select("threshold", "tps", "fps", "P", "N")
     tot = t.groupBy("P", "N").agg(F.lit(float("inf")).alias("threshold"))
     first = tot.select("threshold", F.lit(0).cast("bigint").alias("tps"), F.lit(0).cast("bigint").alias("fps"),
                        "P", "N")
     allp = pts.unionByName(first)
-    return allp.select("threshold", (F.col("fps") / F.col("N")).alias("fpr"), (F.col("tps") / F.col("P")).alias("tpr"),
-                       "tps", "fps")
+    return allp.select("threshold", F.try_divide("fps", "N").alias("fpr"), F.try_divide("tps", "P").alias("tpr"), "tps", "fps")
 
 
 def youden(df: DataFrame, score: str = "score", label: str = "label") -> DataFrame:
     """Threshold maximising TPR - FPR; ties -> the highest threshold.
 
-    J is compared exactly as tps N - fps P (integers). If no point beats
-    J = 0 the answer is +inf (predict no positive).
+    J is compared exactly as tps N - fps P (decimals of 38 digits). If no
+    point beats J = 0 the answer is +inf (predict no positive). With one class
+    only every J is 0 and the rate of the other class is null.
     """
     t = roc_table(df, score, label)
     pts = t.select("threshold", "tps", "fps", "P", "N").unionByName(
         t.groupBy("P", "N").agg(F.lit(float("inf")).alias("threshold"))
          .select("threshold", F.lit(0).cast("bigint").alias("tps"), F.lit(0).cast("bigint").alias("fps"), "P", "N"))
-    jn = F.col("tps") * F.col("N") - F.col("fps") * F.col("P")
+    jn = _big("tps") * _big("N") - _big("fps") * _big("P")
     best = pts.groupBy("P", "N").agg(F.max_by(F.struct("threshold", "tps", "fps"),
                                               F.struct(jn, F.col("threshold"))).alias("b"))
     return best.select(F.col("b.threshold").alias("threshold"),
-                       (F.col("b.tps") / F.col("P") - F.col("b.fps") / F.col("N")).alias("j"),
-                       (F.col("b.tps") / F.col("P")).alias("tpr"), (F.col("b.fps") / F.col("N")).alias("fpr"))
+                       (F.try_divide("b.tps", "P") - F.try_divide("b.fps", "N")).alias("j"),
+                       F.try_divide("b.tps", "P").alias("tpr"), F.try_divide("b.fps", "N").alias("fpr"))
 
 
 def pr_curve(df: DataFrame, score: str = "score", label: str = "label") -> DataFrame:
     """(threshold, precision, recall) from the highest score down to the
-    first threshold reaching full recall, plus the end point (1, 0, null)."""
+    first threshold reaching full recall, plus the end point (1, 0, null).
+    Without positives recall is null at every score."""
     t = roc_table(df, score, label)
-    body = t.where(F.col("tps") - F.col("pos") < F.col("P")).select(
+    body = t.where((F.col("tps") - F.col("pos") < F.col("P")) | (F.col("P") == 0)).select(
         "threshold", (F.col("tps") / (F.col("tps") + F.col("fps"))).alias("precision"),
-        (F.col("tps") / F.col("P")).alias("recall"))
+        F.try_divide("tps", "P").alias("recall"))
     end = t.groupBy("P").agg(F.lit(None).cast("double").alias("threshold")).select(
         "threshold", F.lit(1.0).alias("precision"), F.lit(0.0).alias("recall"))
     return body.unionByName(end)
@@ -74,11 +101,10 @@ def pr_curve(df: DataFrame, score: str = "score", label: str = "label") -> DataF
 
 def auc(df: DataFrame, score: str = "score", label: str = "label") -> DataFrame:
     """ROC AUC with ties counted half: sum pos (2 neg_below + neg) / (2 P N),
-    the numerator an exact integer."""
+    the numerator an exact integer (38 digits). Null with one class only."""
     t = roc_table(df, score, label)
-    num = F.sum(F.col("pos") * (2 * (F.col("N") - F.col("fps")) + F.col("neg"))).cast("bigint")
-    return t.groupBy("P", "N").agg(num.alias("_num")).select(
-        (F.col("_num") / (F.col("P") * F.col("N") * 2)).alias("auc"))
+    num = F.sum(_big("pos") * (2 * (_big("N") - _big("fps")) + _big("neg")))
+    return t.groupBy("P", "N").agg(num.cast("double").alias("_num")).select(_auc("P", "N"))
 
 
 def confusion_counts(df: DataFrame, label: str, pred: Column) -> DataFrame:
@@ -91,7 +117,7 @@ def confusion_counts(df: DataFrame, label: str, pred: Column) -> DataFrame:
 
 
 def _ratio(n, d):
-    return F.when(d > 0, n / d).otherwise(F.lit(0.0))
+    return F.coalesce(F.try_divide(n, d), F.lit(0.0))
 
 
 def metrics_from_counts(c: DataFrame) -> DataFrame:
@@ -100,7 +126,7 @@ def metrics_from_counts(c: DataFrame) -> DataFrame:
     rec = _ratio(tp, tp + fn)
     spec = _ratio(tn, tn + fp)
     return c.select("tp", "fp", "fn", "tn",
-                    ((tp + tn) / (tp + fp + fn + tn)).alias("accuracy"),
+                    F.try_divide(tp + tn, tp + fp + fn + tn).alias("accuracy"),
                     _ratio(tp, tp + fp).alias("precision"), rec.alias("recall"),
                     _ratio(2 * tp, 2 * tp + fp + fn).alias("f1"),
                     ((rec + spec) / 2).alias("balanced_accuracy"))
@@ -165,7 +191,5 @@ def auc_by(df: DataFrame, score: str, label: str, group_cols) -> DataFrame:
     c = df.groupBy(*g, F.col(score).cast("double").alias("threshold")).agg(
         F.sum(y).cast("bigint").alias("pos"), F.sum(1 - y).cast("bigint").alias("neg"))
     cum = global_cumsum(c, ["threshold"], ["pos", "neg"], group_cols=g, descending=True, total_prefix="tot_")
-    num = F.sum(F.col("pos") * (2 * (F.col("tot_neg") - F.col("cum_neg")) + F.col("neg"))).cast("bigint")
-    return cum.groupBy(*g, "tot_pos", "tot_neg").agg(num.alias("_num")).select(
-        *g, F.when((F.col("tot_pos") > 0) & (F.col("tot_neg") > 0),
-                   F.col("_num") / (F.col("tot_pos") * F.col("tot_neg") * 2)).alias("auc"))
+    num = F.sum(_big("pos") * (2 * (_big("tot_neg") - _big("cum_neg")) + _big("neg")))
+    return cum.groupBy(*g, "tot_pos", "tot_neg").agg(num.cast("double").alias("_num")).select(*g, _auc("tot_pos", "tot_neg"))

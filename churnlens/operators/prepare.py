@@ -17,19 +17,19 @@ from churnlens.operators.profile import exact_mean
 from churnlens.operators.rank import global_rank
 
 _MAX_CLASSES = 1000
-_HASH_DIGITS = 3            # 4096 order-respecting buckets per class
+_HASH_DIGITS = 4            # 65,536 order-respecting buckets per class
 
 
 def approximate_mode(counts: dict, n_draws: int) -> dict:
     """Largest-remainder allocation of ``n_draws`` over classes (exact integers).
 
-    Ties in the remainder go to the smaller class value.
+    Ties in the remainder go to the smaller class value, null first.
     """
     n = sum(counts.values())
     base = {c: (k * n_draws) // n for c, k in counts.items()}
     rem = {c: (k * n_draws) % n for c, k in counts.items()}
     left = n_draws - sum(base.values())
-    for c in sorted(counts, key=lambda c: (-rem[c], c))[:left]:
+    for c in sorted(counts, key=lambda c: (-rem[c], c is not None, 0 if c is None else c))[:left]:
         base[c] += 1
     return base
 
@@ -44,7 +44,7 @@ def split_quotas(counts: dict, test: float = 0.2) -> dict:
 
 
 def _class_counts(df: DataFrame, label: str) -> dict:
-    rows = df.groupBy(label).count().collect()      # one row per class
+    rows = df.groupBy(label).count().limit(_MAX_CLASSES + 1).collect()      # one row per class
     if len(rows) > _MAX_CLASSES:
         raise ValueError("label has too many classes for a stratified split")
     return {r[0]: r[1] for r in rows}
@@ -52,14 +52,18 @@ def _class_counts(df: DataFrame, label: str) -> dict:
 
 def stratified_split(df: DataFrame, key: str = "Customer_ID", label: str = "Left", test: float = 0.2,
                      seed: int = 17, stratify: bool = True, out: str = "is_test") -> DataFrame:
-    """Exact per-class test quotas; rows chosen by hash order within class."""
+    """Exact per-class test quotas; rows chosen by hash order within class.
+
+    Rows without a label are a class of their own.
+    """
     d = df.withColumn("_h", md5_hex(seed, key))
     if stratify:
         q = split_quotas(_class_counts(df, label), test)
         r = global_rank(d, ["_h"], group_cols=[label], bucket=hash_bucket(F.col("_h"), _HASH_DIGITS), out="_r")
         lim = None
         for c, k in q.items():
-            lim = F.when(F.col(label) == c, F.lit(k)) if lim is None else lim.when(F.col(label) == c, F.lit(k))
+            own = F.col(label).eqNullSafe(F.lit(c))
+            lim = F.when(own, F.lit(k)) if lim is None else lim.when(own, F.lit(k))
         flag = F.col("_r") <= lim
     else:
         n = df.count()
@@ -83,7 +87,6 @@ def stratified_folds(df: DataFrame, key: str = "Customer_ID", label: str = "Left
     else:
         r = global_rank(df, [key], group_cols=[label], out="_r", total="_nc")
         f = F.floor((F.col("_r") - 1) * k / F.col("_nc"))
-        r = r.withColumn("_r", F.col("_r"))
     return r.withColumn(out, f.cast("int")).drop("_r", "_nc")
 
 
@@ -103,7 +106,7 @@ class ScalerModel:
 def fit_scaler(df: DataFrame, cols, decimals: dict | None = None) -> ScalerModel:
     """Fit mean and population sd (2 numbers per column reach the driver)."""
     decimals = decimals or {}
-    row = df.agg(*[exact_mean(c, decimals.get(c, 0)).alias("m_" + c) for c in cols],
+    row = df.agg(*[exact_mean(df, c, decimals.get(c)).alias("m_" + c) for c in cols],
                  *[F.stddev_pop(F.col(c).cast("double")).alias("s_" + c) for c in cols]).first()
     stats = {}
     for c in cols:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ByteType, DecimalType, IntegerType, LongType, ShortType
 
 from churnlens.functions.expressions import is_missing
 from churnlens.operators.quantile import quantile_row
@@ -16,15 +17,23 @@ def melt(df: DataFrame, ids, values, var: str = "variable", val: str = "value")
     return d.unpivot(ids, list(values), var, val)
 
 
-def exact_mean(col: str, decimals: int = 0):
-    """Mean as one division of an integer sum (bit-equal on any engine).
+def exact_mean(df: DataFrame, col: str, decimals: int | None = None):
+    """Mean of a column, the same on any engine and partitioning.
 
-    ``decimals`` = 0 for integer columns, 2 for money held in whole cents.
+    Whole-number columns, and columns whose values have at most ``decimals``
+    places (2 for money in cents), are summed exactly as decimals and divided
+    once. Without ``decimals`` a decimal column has its own scale, and a
+    floating one is averaged and rounded to 6 places. Nulls do not count.
     """
-    if decimals == 0:
-        return F.sum(F.col(col).cast("bigint")) / F.count(F.col(col))
+    t, c = df.schema[col].dataType, F.col(col)
+    if isinstance(t, (ByteType, ShortType, IntegerType, LongType)):
+        decimals = 0
+    elif decimals is None and isinstance(t, DecimalType):
+        return F.sum(c.cast(DecimalType(38, t.scale))).cast("double") / F.count(c)
+    if decimals is None:
+        return F.round(F.avg(c.cast("double")), 6)
     s = 10 ** decimals
-    return F.sum(F.round(F.col(col) * s).cast("bigint")) / (F.count(F.col(col)) * s)
+    return F.sum(F.round(c * s).cast("decimal(38,0)")).cast("double") / (F.count(c) * s)
 
 
 def _long(df: DataFrame, cols, group_cols=()):
@@ -34,7 +43,7 @@ def _long(df: DataFrame, cols, group_cols=()):
 def describe_numeric(df: DataFrame, cols, decimals: dict | None = None) -> DataFrame:
     """A1: mean, median and sample sd per column (tidy: one row per column)."""
     decimals = decimals or {}
-    means = df.agg(*[exact_mean(c, decimals.get(c, 0)).alias(c) for c in cols])
+    means = df.agg(*[exact_mean(df, c, decimals.get(c)).alias(c) for c in cols])
     sds = df.agg(*[F.round(F.stddev_samp(c), 6).alias(c) for c in cols])
     med = quantile_row(_long(df, cols), "value", [0.5], ["median"], ["variable"])
     mean_l = means.unpivot([], list(cols), "variable", "mean")
@@ -46,7 +55,7 @@ def summary6(df: DataFrame, cols, decimals: dict | None = None) -> DataFrame:
     """A2: min, Q1, median, mean, Q3, max and missing count per column."""
     decimals = decimals or {}
     base = df.agg(*[F.struct(F.min(c).cast("double").alias("min"), F.max(c).cast("double").alias("max"),
-                             exact_mean(c, decimals.get(c, 0)).alias("mean"),
+                             exact_mean(df, c, decimals.get(c)).alias("mean"),
                              F.sum(F.when(is_missing(df, c), 1).otherwise(0)).cast("bigint").alias("n_missing"))
                     .alias(c) for c in cols])
     long = base.select(F.explode(F.array(*[F.struct(F.lit(c).alias("variable"), F.col(c).alias("s"))
@@ -81,11 +90,11 @@ def class_distribution(df: DataFrame, label: str = "Left") -> DataFrame:
 
 
 def pos_weight(df: DataFrame, label: str = "Left") -> DataFrame:
-    """n0 / n1 (the boosted-tree ``scale_pos_weight``)."""
+    """n0 / n1 (the boosted-tree ``scale_pos_weight``); null without a row of class 1."""
     y = F.col(label)
     r = df.agg(F.sum(F.when(y == 0, 1).otherwise(0)).cast("bigint").alias("n0"),
                F.sum(F.when(y == 1, 1).otherwise(0)).cast("bigint").alias("n1"))
-    return r.select("n0", "n1", (F.col("n0") / F.col("n1")).alias("pos_weight"))
+    return r.select("n0", "n1", F.try_divide("n0", "n1").alias("pos_weight"))
 
 
 def balanced_weights(df: DataFrame, label: str = "Left", key: str = "Customer_ID") -> DataFrame:
@@ -98,7 +107,7 @@ def balanced_weights(df: DataFrame, label: str = "Left", key: str = "Customer_ID
                         F.sum(F.when(y == 0, 1).otherwise(0)).alias("n0"),
                         F.sum(F.when(y == 1, 1).otherwise(0)).alias("n1"))).scalar()
     n, n0, n1 = s.getField("n"), s.getField("n0"), s.getField("n1")
-    w = F.when(y == 1, n / (n1 * 2)).otherwise(n / (n0 * 2))
+    w = F.when(y == 1, F.try_divide(n, n1 * 2)).otherwise(F.try_divide(n, n0 * 2))
     return df.select(key, label, w.alias("weight"))
 
 

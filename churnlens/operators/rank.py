@@ -12,29 +12,57 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
-DEFAULT_BUCKETS = 256
-_SKETCH_ACCURACY = 10000
+#: Rows a bucket should have about, and the most buckets that are made.
+ROWS_PER_BUCKET, MAX_BUCKETS = 200_000, 10_000
+_SKETCH_ACCURACY = 100_000
 
 
-def value_bucket(df: DataFrame, col: str, n_buckets: int = DEFAULT_BUCKETS,
+def _as_number(df: DataFrame, col: str) -> Column:
+    """A double that is monotone in Spark's order of ``col``.
+
+    Strings are ordered by their bytes: the six bytes after the prefix that
+    all values share become a number (one small job finds the prefix).
+    """
+    if not isinstance(df.schema[col].dataType, StringType):
+        return F.col(col).cast("double")
+    lo, hi = df.agg(F.min(col), F.max(col)).first()
+    lo, hi = (lo or "").encode(), (hi or "").encode()
+    same = next((i for i, (x, y) in enumerate(zip(lo, hi)) if x != y), min(len(lo), len(hi)))
+    part = F.hex(F.substring(F.encode(F.col(col), "UTF-8"), same + 1, 6))
+    return F.when(F.col(col).isNotNull(), F.conv(F.rpad(part, 12, "0"), 16, 10).cast("double"))
+
+
+def value_bucket(df: DataFrame, col: str, n_buckets: int | None = None,
                  descending: bool = False, out: str = "_bk") -> DataFrame:
     """Add bucket column ``out`` from approximate quantile bounds of ``col``.
 
-    The bounds are one small job: at most ``n_buckets - 1`` numbers from a
-    mergeable sketch, so only a bounded list reaches the driver. The bucket is
-    a JVM-side binary search (``Bucketizer``). Any monotone bucketing gives an
-    exact rank; the sketch only balances the buckets.
+    The bounds are one small job that counts the rows, too: unless given, the
+    number of buckets follows the count. Only that bounded list of numbers
+    reaches the driver. The bucket is a JVM-side binary search
+    (``Bucketizer``). Any monotone bucketing gives an exact rank; the sketch
+    only balances the buckets. Nulls and NaN have buckets of their own where
+    Spark's order puts them: nulls lowest, NaN highest.
     """
     from pyspark.ml.feature import Bucketizer
-    probs = [i / n_buckets for i in range(1, n_buckets)]
-    row = df.agg(F.percentile_approx(F.col(col).cast("double"), probs, _SKETCH_ACCURACY)).first()
-    bounds = sorted(set(float(v) for v in (row[0] or []) if v is not None))
-    splits = [float("-inf")] + bounds + [float("inf")]
     tmp = "_bx_" + out
-    with_x = df.withColumn(tmp, F.col(col).cast("double"))
-    b = Bucketizer(splits=splits, inputCol=tmp, outputCol=out + "_d", handleInvalid="keep").transform(with_x)
-    idx = F.col(out + "_d").cast("int")
+    with_x = df.withColumn(tmp, _as_number(df, col))
+    most = n_buckets or MAX_BUCKETS
+    step = max(1, most // 1000) if n_buckets is None else 1
+    probs = [i / most for i in range(step, most, step)]
+    n, fine = with_x.agg(F.count(F.lit(1)), F.percentile_approx(F.when(~F.isnan(tmp), F.col(tmp)), probs, _SKETCH_ACCURACY)).first() \
+        if probs else (0, [])
+    if n_buckets is None:       # thin the bounds out to the buckets that the rows need
+        need = min(len(probs) + 1, -(-n // ROWS_PER_BUCKET))
+        fine = [fine[len(fine) * i // need] for i in range(1, need)] if fine else []
+    bounds = sorted(set(float(v) for v in (fine or []) if v is not None and abs(v) != float("inf")))
+    splits = [float("-inf"), *bounds, float("inf")]
+    if bounds:
+        b = Bucketizer(splits=splits, inputCol=tmp, outputCol=out + "_d", handleInvalid="keep").transform(with_x)
+    else:
+        b = with_x.withColumn(out + "_d", F.lit(0.0))
+    idx = F.when(F.col(tmp).isNull(), -1).when(F.isnan(tmp), len(splits)).otherwise(F.col(out + "_d").cast("int"))
     if descending:
         idx = F.lit(len(splits)) - idx
     return b.withColumn(out, idx).drop(tmp, out + "_d")
@@ -67,7 +95,7 @@ def _with_offsets(b: DataFrame, group_cols, sums: dict[str, Column]) -> DataFram
 
 
 def global_rank(df: DataFrame, order_cols, group_cols=(), descending: bool = False,
-                bucket: Column | None = None, n_buckets: int = DEFAULT_BUCKETS,
+                bucket: Column | None = None, n_buckets: int | None = None,
                 out: str = "rank", total: str | None = None) -> DataFrame:
     """1-based row number in ``order_cols`` order, within ``group_cols``.
 
@@ -92,7 +120,7 @@ def global_rank(df: DataFrame, order_cols, group_cols=(), descending: bool = Fal
 
 
 def global_cumsum(df: DataFrame, order_cols, sum_cols, group_cols=(), descending: bool = False,
-                  bucket: Column | None = None, n_buckets: int = DEFAULT_BUCKETS,
+                  bucket: Column | None = None, n_buckets: int | None = None,
                   prefix: str = "cum_", total_prefix: str | None = None) -> DataFrame:
     """Inclusive running sums of ``sum_cols`` in order, within groups.
 

@@ -147,7 +147,7 @@ def permutation_importance(model_fn, df: DataFrame, features, label: str = "Left
                                              for c in features])).alias("s")).select(key, "s.*")
     vals = vals.select("*", F.explode(F.array(*[F.lit(r) for r in range(repeats)])).alias("rep"))
     vals = vals.withColumn("_h", md5_hex(seed, "rep", "col", key))
-    hr = global_rank(vals, ["_h"], group_cols=["col", "rep"], bucket=hash_bucket(F.col("_h"), 2), out="_ra") \
+    hr = global_rank(vals, ["_h"], group_cols=["col", "rep"], bucket=hash_bucket(F.col("_h"), 4), out="_ra") \
         .select("col", "rep", "_ra", F.col("val").alias("_pval"))
     j = ex.join(hr, ["col", "rep", "_ra"])
     for c in features:

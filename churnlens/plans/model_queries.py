@@ -69,7 +69,7 @@ def _gbt(spark, sf):
 @register("gbt_test_metrics")
 def q_gbt_test_metrics(spark, sf):
     m, _, te = _gbt(spark, sf)
-    return R.approach_metrics(gbt_score(m, te, FEATURES), "XGBoost-like GBT", "prob", "Left")
+    return R.approach_metrics(gbt_score(m, te, FEATURES), "Boosted trees", "prob", "Left")
 
 
 @register("tree_importance")
@@ -195,7 +195,7 @@ def q_final_report(spark, sf):
     """Test metrics per model, the best by AUC, and tree importances."""
     knn = _knn_approach(spark, sf, "KNN", 0, KNN_BEST["k"], KNN_BEST["weights"], KNN_BEST["metric"])
     g, _, te = _gbt(spark, sf)
-    gbt = R.approach_metrics(gbt_score(g, te, FEATURES), "XGBoost", "prob", "Left", 1)
+    gbt = R.approach_metrics(gbt_score(g, te, FEATURES), "Boosted trees", "prob", "Left", 1)
     m, _, te2 = _mlp(spark, sf)
     nn = R.approach_metrics(m.transform(te2), "NeuralNet", "prob", "Left", 2)
     board = R.leaderboard(knn.unionByName(gbt).unionByName(nn))

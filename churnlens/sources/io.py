@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 import re
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,9 +11,9 @@ from pyspark.sql import types as T
 RAW_SCHEMA = T.StructType([
     T.StructField("Customer_ID", T.LongType()),
     T.StructField("Gender", T.StringType()),
-    T.StructField("Age", T.IntegerType()),
+    T.StructField("Age", T.DoubleType()),
     T.StructField("Tenure", T.IntegerType()),
-    T.StructField("Score", T.IntegerType()),
+    T.StructField("Score", T.DoubleType()),
     T.StructField("Salary", T.DoubleType()),
     T.StructField("Balance", T.DoubleType()),
     T.StructField("Products_in_Use", T.IntegerType()),
@@ -39,7 +38,6 @@ def scan_csv(spark: SparkSession, path: str, schema: T.StructType | None = RAW_S
     if blank_is_missing or schema is None:
         return r.option("nullValue", "NA").csv(path)
     text = [f.name for f in schema.fields if isinstance(f.dataType, T.StringType)]
-    nums = [f.name for f in schema.fields if f.name not in text]
     loose = T.StructType([T.StructField(f.name, T.StringType()) for f in schema.fields])
     df = spark.read.option("header", True).schema(loose).option("emptyValue", "").csv(path)
     out = []
@@ -50,31 +48,32 @@ def scan_csv(spark: SparkSession, path: str, schema: T.StructType | None = RAW_S
         else:
             out.append(F.when((c == "NA") | (F.trim(c) == ""), F.lit(None))
                        .otherwise(c).cast(f.dataType).alias(f.name))
-    del nums
     return df.select(*out)
 
 
-def _next_version(path: str) -> str:
-    parent = os.path.dirname(path.rstrip("/")) or "."
-    stem = os.path.basename(path.rstrip("/"))
+def _next_version(spark: SparkSession, path: str) -> str:
+    """``path_N`` with the next N, listed by the file system that the path names (HDFS and object stores, too)."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path.rstrip("/"))
+    fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     n = 0
-    if os.path.isdir(parent):
-        for name in os.listdir(parent):
-            m = re.fullmatch(re.escape(stem) + r"_(\d+)", name)
-            if m:
-                n = max(n, int(m.group(1)))
-    return os.path.join(parent, f"{stem}_{n + 1}")
+    for f in fs.globStatus(at.suffix("_*")) or []:
+        m = re.fullmatch(re.escape(at.getName()) + r"_(\d+)", f.getPath().getName())
+        if m:
+            n = max(n, int(m.group(1)))
+    return f"{path.rstrip('/')}_{n + 1}"
 
 
 def write_csv(df: DataFrame, path: str, versioned: bool = False) -> str:
-    """Header CSV, no quoting, overwrite; Spark creates the directory.
+    """Header CSV, no quoting, nulls as ``NA``, overwrite; Spark creates the directory.
 
     Output is a directory of part files written in parallel (no coalesce).
     ``versioned=True`` writes ``path_N`` with the next free N instead.
     """
-    target = _next_version(path) if versioned else path
-    (df.write.mode("overwrite").option("header", True).option("quoteAll", False)
-       .option("escapeQuotes", False).csv(target))
+    target = _next_version(df.sparkSession, path) if versioned else path
+    # the CSV writer quotes a field that holds the separator: so each line is one field, with a separator no text has
+    line = F.concat_ws(",", *[F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("NA")) for c in df.columns])
+    (df.select(line.alias(",".join(df.columns))).write.mode("overwrite").option("header", True).option("sep", "\u0001")
+       .option("quote", "\u0000").option("emptyValue", "").csv(target))
     return target
 
 
