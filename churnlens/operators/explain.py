@@ -5,7 +5,8 @@ every background row b: the model scores x_S + b_(not S). v(S) is the mean
 margin over the background. Because each phi_i is a fixed linear
 combination of the v(S), phi_i = sum_S v(S) c_i(S) with
 c_i(S) = w(|S| - 1) if i in S else -w(|S|), w(s) = s! (M - s - 1)! / M!,
-the attribution is one grouped sum per row: no self-join of coalitions.
+the attribution is one grouped sum per row over the scored margins: one
+shuffle, no self-join of coalitions.
 The coalitions (2^M, M <= 10) and the background sample (<= 100 rows) are
 bounded literal lists, so each row expands by a fixed factor via explode.
 """
@@ -32,7 +33,7 @@ def _coefs(m: int) -> list[list[float]]:
     return out
 
 
-def background_sample(df: DataFrame, n: int = 10, key: str = "Customer_ID", seed: int = 17) -> DataFrame:
+def background_sample(df: DataFrame, n: int = MAX_BACKGROUND, key: str = "Customer_ID", seed: int = 17) -> DataFrame:
     """The first n rows in hash order (a bounded, reproducible sample)."""
     return df.withColumn("_h", md5_hex(seed, key)).orderBy("_h").limit(n).drop("_h")
 
@@ -47,8 +48,8 @@ def shapley(score_fn, rows: DataFrame, background: DataFrame, features, key: str
     if m > MAX_FEATURES:
         raise ValueError("exact Shapley is limited to 10 features")
     bg_rows = background.select(*[F.col(c).cast("double") for c in features]).limit(MAX_BACKGROUND + 1).collect()
-    if len(bg_rows) > MAX_BACKGROUND:
-        raise ValueError("background sample is limited to 100 rows")
+    if not 0 < len(bg_rows) <= MAX_BACKGROUND:
+        raise ValueError("background sample needs 1 to 100 rows")
     masks = F.array(*[F.lit(i) for i in range(1 << m)])
     bg = F.array(*[F.struct(*[F.lit(float(r[i])).alias("b_" + c) for i, c in enumerate(features)]) for r in bg_rows])
     coef = F.array(*[F.array(*[F.lit(v) for v in row]) for row in _coefs(m)])
@@ -58,13 +59,12 @@ def shapley(score_fn, rows: DataFrame, background: DataFrame, features, key: str
     mixed = ex.select(key, "mask", *[
         F.when(F.shiftright(F.col("mask"), i).bitwiseAND(1) == 1, F.col(c)).otherwise(F.col("_bg.b_" + c)).alias(c)
         for i, c in enumerate(features)])
-    scored = score_fn(mixed)
-    v = scored.groupBy(key, "mask").agg(F.avg("margin").alias("v"))
-    vc = v.withColumn("coef", F.element_at(coef, F.col("mask") + 1))
+    # phi is linear in the margins, so one sum per row, combined on the map side, does without v(S)
+    scored = score_fn(mixed).select(key, "mask", (F.col("margin") / len(bg_rows)).alias("_v"), F.element_at(coef, F.col("mask") + 1).alias("_c"))
     full = (1 << m) - 1
-    agg = vc.groupBy(key).agg(*[F.sum(F.col("v") * F.col("coef")[i]).alias(c) for i, c in enumerate(features)],
-                              F.max(F.when(F.col("mask") == 0, F.col("v"))).alias("base_value"),
-                              F.max(F.when(F.col("mask") == full, F.col("v"))).alias("margin"))
+    agg = scored.groupBy(key).agg(*[F.sum(F.col("_v") * F.col("_c")[i]).alias(c) for i, c in enumerate(features)],
+                                  F.sum(F.when(F.col("mask") == 0, F.col("_v"))).alias("base_value"),
+                                  F.sum(F.when(F.col("mask") == full, F.col("_v"))).alias("margin"))
     long = agg.select(key, "base_value", "margin", F.explode(F.array(*[
         F.struct(F.lit(c).alias("feature"), F.col(c).alias("phi")) for c in features])).alias("s"))
     return long.select(key, "s.feature", "s.phi", "base_value", "margin")

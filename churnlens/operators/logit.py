@@ -115,11 +115,15 @@ def odds_ratio_order(table: DataFrame, k: int = 10, order: str = "asc") -> DataF
 
 
 def effect_text(table: DataFrame) -> DataFrame:
-    """L4: one sentence per significant feature, largest effect first."""
+    """L4: one sentence per significant feature, largest effect first.
+
+    The sentence gives the change of the odds for a step of 1 in the feature,
+    which is one standard deviation where the features were scaled.
+    """
     sig = table.where(F.col("significant") & (F.col("feature") != "const"))
     inc = F.col("coefficient") > 0
     mag = F.when(inc, (F.col("odds_ratio") - 1) * 100).otherwise((1 - F.col("odds_ratio")) * 100)
-    txt = F.format_string("%s: A one standard deviation increase %s the odds of customer churn by %.1f%%.",
-                          F.col("feature"), F.when(inc, F.lit("increases")).otherwise(F.lit("decreases")), mag)
+    txt = F.format_string("%s: one step up %s the odds of leaving by %.1f %%",
+                          F.col("feature"), F.when(inc, F.lit("raises")).otherwise(F.lit("lowers")), mag)
     return sig.select("feature", F.abs(F.col("odds_ratio") - 1).alias("effect_magnitude"), txt.alias("text")) \
         .orderBy(F.col("effect_magnitude").desc())

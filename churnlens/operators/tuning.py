@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from churnlens.functions.expressions import hash_bucket, md5_hex
@@ -42,21 +42,22 @@ def knn_grid(train: DataFrame, features, label: str = "Left", key: str = "Custom
                 .select(F.lit(metric).alias("metric"), F.lit(f).alias(fold_col), "qid", "nid", "distance", "rank",
                         F.col("_y").cast("int").alias("_y"))
             cands = t if cands is None else cands.unionByName(t)
-    c = cands.withColumn("k", F.explode(F.array(*[F.lit(k) for k in ks]))) \
-        .where(F.col("rank") <= F.col("k"))
+    # running sums over the ranks of a query: one row a neighbour serves every k (the last one also every larger k)
+    near = Window.partitionBy("metric", fold_col, "qid").orderBy("rank")
+    upto = near.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     y, d = F.col("_y"), F.col("distance")
-    zero = F.sum(F.when(d == 0, 1).otherwise(0))
-    p_uni = F.sum(y) / F.count(F.lit(1))
-    p_dist = F.when(zero > 0, F.sum(F.when(d == 0, y).otherwise(0)) / zero) \
-        .otherwise(F.sum(F.try_divide(y, d)) / F.sum(F.try_divide(F.lit(1.0), d)))
-    pr = c.groupBy("metric", fold_col, "k", "qid").agg(p_uni.alias("uniform"), p_dist.alias("distance"))
+    c = cands.select("metric", fold_col, "qid", "rank", F.lead("rank").over(near).isNull().alias("_last"), (F.sum(y).over(upto) / F.count(F.lit(1)).over(upto)).alias("uniform"),
+                     F.sum(F.when(d == 0, 1).otherwise(0)).over(upto).alias("_z"), F.sum(F.when(d == 0, y).otherwise(0)).over(upto).alias("_zy"),
+                     F.sum(F.try_divide(y, d)).over(upto).alias("_sy"), F.sum(F.try_divide(F.lit(1.0), d)).over(upto).alias("_s1"))
+    own = F.filter(F.array(*[F.lit(k) for k in ks]), lambda k: (k == F.col("rank")) | (F.col("_last") & (k > F.col("rank"))))
+    pr = c.select("metric", fold_col, "qid", F.explode(own).alias("k"), F.round("uniform", 9).alias("uniform"),
+                  F.round(F.when(F.col("_z") > 0, F.try_divide("_zy", "_z")).otherwise(F.try_divide("_sy", "_s1")), 9).alias("distance"))
     long = pr.select("metric", fold_col, "k", "qid", F.explode(F.array(
         *[F.struct(F.lit(w).alias("weights"), F.col(w).alias("proba")) for w in weights])).alias("s")) \
         .select("metric", fold_col, "k", "qid", "s.*")
     truth = train.select(F.col(key).alias("qid"), F.col(label).cast("int").alias("y"))
     a = M.auc_by(long.join(truth, "qid"), "proba", "y", ["metric", "k", "weights", fold_col])
-    s = a.groupBy("metric", "k", "weights").agg(F.avg("auc").alias("mean_auc"), F.stddev_pop("auc").alias("std_auc"))
-    from pyspark.sql import Window
+    s = a.groupBy("metric", "k", "weights").agg(F.round(F.avg("auc"), 12).alias("mean_auc"), F.round(F.stddev_pop("auc"), 9).alias("std_auc"))
     w = Window.partitionBy().orderBy(F.col("mean_auc").desc(), "metric", "k", "weights")
     return s.withColumn("rank", F.row_number().over(w))
 

@@ -6,14 +6,16 @@ from pyspark.sql import functions as F
 
 from churnlens.functions.expressions import label_code
 from churnlens.operators import bins as B
+from churnlens.operators import logit as L
 from churnlens.operators import metrics as M
 from churnlens.operators import prepare as X
 from churnlens.operators import profile as P
-from churnlens.operators.clean import below, below_sql
+from churnlens.operators.clean import below, below_sql, encode_gender
+from churnlens.operators.explain import background_sample, shapley
 from churnlens.operators.rank import global_rank
 from churnlens.plans.clean_queries import clean, raw
 from churnlens.plans.model_prep_queries import scored
-from churnlens.plans.oracle_sql import BASE, CLEAN, RAW, with_
+from churnlens.plans.oracle_sql import BASE, CLEAN, RAW, md5_hex, with_
 from churnlens.plans.registry import register
 from churnlens.session import scratch_path
 from churnlens.sources.fixtures import churn_base
@@ -189,3 +191,80 @@ SELECT * FROM (VALUES ('c_custkey', 'bigint'), ('c_name', 'string'), ('c_nationk
 def q_describe_schema(spark, sf):
     d = read_table(spark, sf, "customer")
     return describe_schema(d).where(F.length("sample") > 0).select("column", "type")
+
+
+# ---- L1, L2, L4, T4 on one binary feature, where the fit has a closed form ----
+
+_CELLS = """,
+c4 AS (SELECT CAST(SUM(CASE WHEN Gender = 'Male' AND Left_planted = 1 THEN 1 ELSE 0 END) AS DOUBLE) AS a,
+              CAST(SUM(CASE WHEN Gender = 'Male' AND Left_planted = 0 THEN 1 ELSE 0 END) AS DOUBLE) AS b,
+              CAST(SUM(CASE WHEN Gender <> 'Male' AND Left_planted = 1 THEN 1 ELSE 0 END) AS DOUBLE) AS c,
+              CAST(SUM(CASE WHEN Gender <> 'Male' AND Left_planted = 0 THEN 1 ELSE 0 END) AS DOUBLE) AS d FROM cb),
+fit AS (SELECT 'Gender' AS feature, ln(a * d / (b * c)) AS beta, sqrt(1 / a + 1 / b + 1 / c + 1 / d) AS se FROM c4
+        UNION ALL SELECT 'const', ln(c / d), sqrt(1 / c + 1 / d) FROM c4)"""
+
+
+def _gendered(spark, sf):
+    return encode_gender(churn_base(spark, sf))
+
+
+@register("logit_binary", with_(BASE + _CELLS, f"""
+SELECT feature, ROUND(beta, 6) AS coefficient, ROUND(se, 6) AS std_error, ROUND(beta / se, 5) AS z, ROUND(exp(beta), 6) AS odds_ratio,
+       ROUND(exp(beta - {L.Z95} * se), 5) AS ci_lower, ROUND(exp(beta + {L.Z95} * se), 5) AS ci_upper FROM fit"""))
+def q_logit_binary(spark, sf):
+    t = L.logit_inference(_gendered(spark, sf), ["Gender"], "Left_planted", scale=False)
+    return t.select("feature", F.round("coefficient", 6).alias("coefficient"), F.round("std_error", 6).alias("std_error"), F.round("z", 5).alias("z"),
+                    F.round("odds_ratio", 6).alias("odds_ratio"), F.round("ci_lower", 5).alias("ci_lower"), F.round("ci_upper", 5).alias("ci_upper"))
+
+
+@register("logit_summary_binary", with_(BASE + _CELLS + """,
+ll AS (SELECT a + b + c + d AS n, a * ln(a / (a + b)) + b * ln(b / (a + b)) + c * ln(c / (c + d)) + d * ln(d / (c + d)) AS l1,
+              (a + c) * ln((a + c) / (a + b + c + d)) + (b + d) * ln((b + d) / (a + b + c + d)) AS l0 FROM c4)""", """
+SELECT CAST(n AS BIGINT) AS n, 1 AS df_model, CAST(n - 2 AS BIGINT) AS df_resid, ROUND(l1, 5) AS loglik, ROUND(l0, 5) AS loglik_null,
+       ROUND(1 - l1 / l0, 6) AS pseudo_r2, ROUND(2 * (l1 - l0), 5) AS llr, ROUND(4 - 2 * l1, 5) AS aic FROM ll"""))
+def q_logit_summary_binary(spark, sf):
+    t = L.logit_summary(_gendered(spark, sf), ["Gender"], "Left_planted", scale=False)
+    return t.select("n", "df_model", "df_resid", *[F.round(c, 5).alias(c) for c in ("loglik", "loglik_null")], F.round("pseudo_r2", 6).alias("pseudo_r2"),
+                    F.round("llr", 5).alias("llr"), F.round("aic", 5).alias("aic"))
+
+
+@register("odds_ratio_binary", with_(BASE + _CELLS, """
+SELECT feature, ROUND(abs(exp(beta) - 1), 6) AS distance_from_1 FROM fit WHERE feature <> 'const'"""))
+def q_odds_ratio_binary(spark, sf):
+    t = L.odds_ratio_order(L.logit_inference(_gendered(spark, sf), ["Gender"], "Left_planted", scale=False), 10, "asc")
+    return t.select("feature", F.round("distance_from_1", 6).alias("distance_from_1"))
+
+
+@register("effect_text_binary", with_(BASE + _CELLS, """
+SELECT feature, ROUND(abs(exp(beta) - 1), 6) AS effect_magnitude,
+       printf('%s: one step up %s the odds of leaving by %.1f %%', feature, CASE WHEN beta > 0 THEN 'raises' ELSE 'lowers' END,
+              CASE WHEN beta > 0 THEN (exp(beta) - 1) * 100 ELSE (1 - exp(beta)) * 100 END) AS text
+FROM fit WHERE feature <> 'const' AND abs(beta / se) > 1.959964"""))
+def q_effect_text_binary(spark, sf):
+    t = L.effect_text(L.logit_inference(_gendered(spark, sf), ["Gender"], "Left_planted", scale=False))
+    return t.select("feature", F.round("effect_magnitude", 6).alias("effect_magnitude"), "text")
+
+
+@register("logit_fit_binary", with_(BASE + _CELLS, "SELECT feature, ROUND(beta, 4) AS coefficient FROM fit"))
+def q_logit_fit_binary(spark, sf):
+    m = L.logit_fit(_gendered(spark, sf), ["Gender"], "Left_planted", scale=False)
+    rows = [("Gender", float(m.coefficients[0])), ("const", float(m.intercept))]
+    return spark.createDataFrame(rows, "feature string, coefficient double").withColumn("coefficient", F.round("coefficient", 4))
+
+
+# ---- V7 on a linear margin, where each attribution has a closed form ----------
+
+_LINEAR = {"Age": 0.5, "Tenure": -1.25, "Products_in_Use": 3.0}
+
+
+@register("shapley_linear", with_(CLEAN + f""",
+bg AS (SELECT {', '.join(f'AVG({c}) AS m_{c}' for c in _LINEAR)} FROM (SELECT * FROM clean ORDER BY {md5_hex(17, 'Customer_ID')} LIMIT 100)),
+w AS (SELECT Customer_ID, {', '.join(f'{b} * ({c} - m_{c}) AS p_{c}' for c, b in _LINEAR.items())},
+             {' + '.join(f'{b} * m_{c}' for c, b in _LINEAR.items())} AS base_value,
+             {' + '.join(f'{b} * {c}' for c, b in _LINEAR.items())} AS margin FROM clean, bg)""",
+    "\nUNION ALL\n".join(f"SELECT Customer_ID, '{c}' AS feature, ROUND(p_{c}, 6) AS phi, ROUND(base_value, 6) AS base_value, ROUND(CAST(margin AS DOUBLE), 6) AS margin FROM w" for c in _LINEAR)))
+def q_shapley_linear(spark, sf):
+    d = clean(spark, sf)
+    linear = sum((F.col(c) * b for c, b in _LINEAR.items()), F.lit(0.0))
+    out = shapley(lambda x: x.withColumn("margin", linear), d, background_sample(d), list(_LINEAR))
+    return out.select("Customer_ID", "feature", *[(F.round(c, 6) + 0.0).alias(c) for c in ("phi", "base_value", "margin")])

@@ -19,7 +19,8 @@ from churnlens.operators.smote import oversample
 from churnlens.operators.trees import BEST, SMALL_GRID, gbt_fit, gbt_grid, gbt_score, tree_importance
 from churnlens.plans.clean_queries import clean
 from churnlens.plans.model_prep_queries import scaled_split, split_df
-from churnlens.plans.oracle_sql import FEATURES
+from churnlens.plans.neighbor_queries import _euclid, _manhattan, _scaled_ctes
+from churnlens.plans.oracle_sql import FEATURES, md5_hex, with_
 from churnlens.plans.registry import register
 from churnlens.session import materialize
 
@@ -80,9 +81,9 @@ def q_tree_importance(spark, sf):
 
 @register("shapley")
 def q_shapley(spark, sf):
-    m, tr, te = _gbt(spark, sf)
-    bg = background_sample(te, 10)
-    return shapley(lambda d: gbt_score(m, d, FEATURES), te, bg, FEATURES)
+    m, _, te = _gbt(spark, sf)
+    phi = shapley(lambda d: gbt_score(m, d, FEATURES), te, background_sample(te), FEATURES)
+    return materialize(phi, "shapley", sf)      # 12,800 scored rows per test row: once for both queries
 
 
 @register("shapley_summary")
@@ -124,7 +125,30 @@ def _train_folds(spark, sf, shuffle=True):
     return materialize(f, "train-folds", (sf, shuffle)), s.where("is_test = 1")
 
 
-@register("grid_search_knn")
+_GRID_SQL = with_(_scaled_ctes() + f""",
+fo AS (SELECT *, CAST((row_number() OVER (PARTITION BY "Left" ORDER BY {md5_hex(42, 'Customer_ID')}) - 1) % 5 AS INTEGER) AS fold
+       FROM scaled WHERE is_test = 0),
+kp AS (SELECT 'euclidean' AS metric, q.fold, q.Customer_ID AS qid, q."Left" AS y0, b.Customer_ID AS nid, b."Left" AS y,
+              ROUND({_euclid('q', 'b')}, 9) AS d FROM fo q, fo b WHERE q.fold <> b.fold
+       UNION ALL SELECT 'manhattan', q.fold, q.Customer_ID, q."Left", b.Customer_ID, b."Left", ROUND({_manhattan('q', 'b')}, 9)
+       FROM fo q, fo b WHERE q.fold <> b.fold),
+kr AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY metric, qid ORDER BY d, nid) AS r FROM kp) WHERE r <= 33),
+cs AS (SELECT metric, fold, qid, y0, r, SUM(y) OVER w / r AS u, SUM(CASE WHEN d = 0 THEN 1 ELSE 0 END) OVER w AS z,
+              SUM(CASE WHEN d = 0 THEN y ELSE 0 END) OVER w AS zy, SUM(CASE WHEN d > 0 THEN y / d END) OVER w AS sy,
+              SUM(CASE WHEN d > 0 THEN 1 / d END) OVER w AS s1 FROM kr WINDOW w AS (PARTITION BY metric, qid ORDER BY r)),
+pr AS (SELECT metric, fold, r AS k, 'uniform' AS weights, y0, ROUND(u, 9) AS p FROM cs WHERE r >= 3 AND r % 2 = 1
+       UNION ALL SELECT metric, fold, r, 'distance', y0, ROUND(CASE WHEN z > 0 THEN zy / z ELSE sy / s1 END, 9) FROM cs
+       WHERE r >= 3 AND r % 2 = 1),
+g AS (SELECT metric, fold, k, weights, p, SUM(y0) AS pos, SUM(1 - y0) AS neg FROM pr GROUP BY ALL),
+gc AS (SELECT *, SUM(neg) OVER (PARTITION BY metric, fold, k, weights ORDER BY p) - neg AS below FROM g),
+au AS (SELECT metric, fold, k, weights, CAST(SUM(pos * (2 * below + neg)) AS DOUBLE) / (2.0 * SUM(pos) * SUM(neg)) AS auc
+       FROM gc GROUP BY metric, fold, k, weights),
+ms AS (SELECT metric, CAST(k AS INTEGER) AS k, weights, ROUND(AVG(auc), 12) AS mean_auc, ROUND(stddev_pop(auc), 9) AS std_auc
+       FROM au GROUP BY metric, k, weights)""", """
+SELECT *, row_number() OVER (ORDER BY mean_auc DESC, metric, k, weights) AS rank FROM ms""")
+
+
+@register("grid_search_knn", _GRID_SQL)
 def q_grid_search_knn(spark, sf):
     tr, _ = _train_folds(spark, sf)
     return V.knn_grid(tr, FEATURES, "Left")
@@ -162,7 +186,7 @@ def q_learning_curve(spark, sf):
 @register("grid_search_gbt")
 def q_grid_search_gbt(spark, sf):
     """V1 for trees with ``CrossValidator(foldCol)``: a small grid by default
-    (the reference's 108-point grid is ``gbt_grid(..., grid=FULL_GRID)``)."""
+    (the reference's 108-point grid is the operator's default)."""
     s = split_df(spark, sf).where("is_test = 0")
     tr = materialize(stratified_folds(s, "Customer_ID", "Left", 5, seed=42), "gbt-folds", sf)
     return gbt_grid(tr, FEATURES, "Left", grid=SMALL_GRID)
