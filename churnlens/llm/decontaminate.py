@@ -43,25 +43,35 @@ def _seq(n: Column) -> Column:
     return F.when(n >= 1, F.sequence(F.lit(1), n.cast("int"))).otherwise(F.array().cast("array<int>"))
 
 
+#: A kept k-gram is one number: 32 bits of its hash, then 31 bits of its place; the least has the least hash and is the first of equals.
+_PLACE = 31
+
+
 def _kept(words: Column, m: int, gram: int) -> Column:
-    """For each window of m words the k-gram with the least hash and its place: array of (h, p)."""
+    """For each window of m words the k-gram with the least hash, as a number of hash and place."""
     k = min(gram, m)
-    grams = F.transform(_seq(F.size(words) - (k - 1)), lambda i: F.struct(F.xxhash64(F.slice(words, i, k)).alias("h"), i.alias("p")))
+    grams = F.transform(_seq(F.size(words) - (k - 1)), lambda i: F.shiftleft(
+        F.xxhash64(F.slice(words, i, k)).bitwiseAND(F.lit(0xFFFFFFFF)), _PLACE).bitwiseOR(i.cast("long")))
     return _let(grams, lambda g: F.transform(_seq(F.size(words) - (m - 1)), lambda i: F.array_min(F.slice(g, i, m - k + 1))))
 
 
+def _hash(kept: Column) -> Column:
+    return F.shiftright(kept, _PLACE)
+
+
+def _place(kept: Column) -> Column:
+    return kept.bitwiseAND(F.lit((1 << _PLACE) - 1)).cast("int")
+
+
 def _fingerprints(words: Column, m: int, gram: int) -> Column:
     """The distinct kept k-grams with the words around: array of (m, h, p, lo, ctx), lo the place of the first word of ctx."""
     reach = m - min(gram, m)
 
-    def distinct(kept: Column) -> Column:
-        return F.filter(kept, lambda x, i: (i == 0) | (F.get(kept, i - 1)["p"] != x["p"]))
-
     def around(x: Column) -> Column:
-        lo = F.greatest(F.lit(1), x["p"] - reach)
-        return F.struct(F.lit(m).alias("m"), x["h"].alias("h"), x["p"].alias("p"), lo.alias("lo"), F.slice(words, lo, x["p"] - lo + m).alias("ctx"))
+        lo = F.greatest(F.lit(1), _place(x) - reach)
+        return F.struct(F.lit(m).alias("m"), _hash(x).alias("h"), _place(x).alias("p"), lo.alias("lo"), F.slice(words, lo, _place(x) - lo + m).alias("ctx"))
 
-    return F.transform(_let(_kept(words, m, gram), distinct), around)
+    return F.transform(F.array_distinct(_kept(words, m, gram)), around)
 
 
 def benchmark_windows(items: DataFrame, window: int = WINDOW, gram: int = GRAM, id_col: str = "item_id", text_col: str = "text") -> DataFrame:
@@ -74,27 +84,35 @@ def benchmark_windows(items: DataFrame, window: int = WINDOW, gram: int = GRAM,
     n = F.size("w")
     spans = F.when(n >= window, F.transform(_seq(n - (window - 1)), lambda i: F.slice("w", i, window))).when(n > 0, F.array("w"))
     rows = w.select("item", F.explode(spans).alias("words")).groupBy("words").agg(F.sort_array(F.collect_set("item")).alias("items"))
-    kept = [F.when(F.size("words") == m, _let(_kept(F.col("words"), m, gram), lambda k: k[0])) for m in range(1, window + 1)]
+    kept = [F.when(F.size("words") == m, _kept(F.col("words"), m, gram)[0]) for m in range(1, window + 1)]
     return rows.select(F.size("words").alias("m"), F.coalesce(*kept).alias("k"), "words", "items").select(
-        "m", F.col("k.h").alias("h"), F.col("k.p").alias("o"), "words", "items")
+        "m", _hash(F.col("k")).alias("h"), _place(F.col("k")).alias("o"), "words", "items")
 
 
 def hits(docs: DataFrame, items: DataFrame, window: int = WINDOW, gram: int = GRAM, id_col: str = "doc_id", text_col: str = "text",
          item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
-    """Occurrences of item windows in documents: ``doc_id``, ``text_hash``, ``s`` (place of the first word), ``m`` (words), ``items``."""
+    """Occurrences of item windows in documents: ``doc_id``, ``text_hash``, ``s`` (place of the first word), ``m`` (words), ``items``.
+
+    Besides, each document has a row with ``m`` 0, whose ``s`` is its number of words.
+    """
     index = benchmark_windows(items, window, gram, item_col, item_text_col).persist()
     size = index.agg(F.sum(1 + F.size("items")).alias("n"), F.collect_set("m").alias("m")).first()  # at most `window` lengths
     lengths = sorted(size["m"])
     w = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    prints = _let(words_of(F.col("text")), lambda x: F.concat(*[_fingerprints(x, m, gram) for m in lengths]) if lengths else F.array())
-    if not lengths:
-        index.unpersist()
-        return w.where("false").selectExpr("doc_id", "xxhash64(text) text_hash", "0 s", "0 m", "array('') items")
-    rows = w.select("doc_id", F.xxhash64("text").alias("text_hash"), F.explode(prints).alias("f")).select("doc_id", "text_hash", "f.*")
-    near = F.broadcast(index) if (size["n"] or 0) <= BROADCAST_ROWS else index
+
+    def prints(x: Column) -> Column:
+        mark = F.array(F.struct(F.lit(0).alias("m"), F.lit(0).cast("long").alias("h"), F.size(x).alias("p"), F.lit(0).alias("lo"), F.array().cast("array<string>").alias("ctx")))
+        return F.concat(mark, *[_fingerprints(x, m, gram) for m in lengths])
+
+    rows = w.select("doc_id", F.xxhash64("text").alias("text_hash"), F.explode(_let(words_of(F.col("text")), prints)).alias("f")).select("doc_id", "text_hash", "f.*")
+    # every text has a fingerprint of length 0, whose place is its number of words; the index has one that meets it
+    none = F.array().cast("array<string>")
+    near = index.union(docs.sparkSession.range(1).select(F.lit(0), F.col("id"), F.lit(0), none, none))
+    near = F.broadcast(near) if (size["n"] or 0) <= BROADCAST_ROWS else near
     start = F.col("p") - F.col("o") + 1
-    found = rows.join(near, ["m", "h"]).where((start >= 1) & (F.slice("ctx", F.greatest(F.lit(1), start - F.col("lo") + 1), F.col("m")) == F.col("words")))
-    return found.select("doc_id", "text_hash", start.alias("s"), "m", "items")
+    same = F.slice("ctx", F.greatest(F.lit(1), start - F.col("lo") + 1), F.col("m")) == F.col("words")
+    found = rows.join(near, ["m", "h"]).where((F.col("m") == 0) | ((start >= 1) & same))
+    return found.select("doc_id", "text_hash", F.when(F.col("m") == 0, F.col("p")).otherwise(start).alias("s"), "m", "items")
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, window: int = WINDOW, gram: int = GRAM, id_col: str = "doc_id", text_col: str = "text",
@@ -107,23 +125,18 @@ def decontaminate(docs: DataFrame, items: DataFrame, window: int = WINDOW, gram:
     Other columns are ignored.
     """
     h = hits(docs, items, window, gram, id_col, text_col, item_col, item_text_col)
-    per = h.groupBy("doc_id", "text_hash").agg(F.collect_set(F.struct("s", "m")).alias("spans"), F.collect_set("items").alias("items"))
+    mark = F.col("m") == 0
+    per = h.groupBy("doc_id", "text_hash").agg(
+        F.max(F.when(mark, F.col("s"))).cast("long").alias("n_words"), F.count(F.when(mark, 1)).alias("rows"),
+        F.collect_set(F.when(~mark, F.struct("s", "m"))).alias("spans"), F.collect_set(F.when(~mark, F.col("items"))).alias("items"))
     covered = F.array_distinct(F.flatten(F.transform("spans", lambda x: F.sequence(x["s"], x["s"] + x["m"] - 1))))
-    names = F.array_sort(F.array_distinct(F.flatten("items")))
-    per = per.select(F.col("doc_id").alias("id"), F.col("text_hash").alias("hash"), F.size(covered).cast("long").alias("n_hit"),
-                     F.size(names).cast("long").alias("n_items"), F.sha2(F.array_join(names, ","), 256).alias("items_sha256"))
-    text = F.col(text_col).cast("string")
-    base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("text_hash"),
-                       F.regexp_count(_lower(text), F.lit(WORD)).cast("long").alias("n_words"))
-    out = base.join(per, base["doc_id"].eqNullSafe(per["id"]) & (base["text_hash"] == per["hash"]), "left")
-    return out.select("doc_id", "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"),
-                      F.coalesce("n_items", F.lit(0)).cast("long").alias("n_items"),
-                      F.coalesce("items_sha256", F.sha2(F.lit(""), 256)).alias("items_sha256"),
-                      (F.coalesce("n_hit", F.lit(0)) > 0).alias("contaminated"))
+    per = per.select("doc_id", "n_words", "rows", F.size(covered).cast("long").alias("n_hit"), F.array_sort(F.array_distinct(F.flatten("items"))).alias("names"))
+    return per.select("doc_id", "n_words", "n_hit", F.size("names").cast("long").alias("n_items"), F.sha2(F.array_join("names", ","), 256).alias("items_sha256"),
+                      (F.col("n_hit") > 0).alias("contaminated"), F.explode(F.sequence(F.lit(1).cast("long"), F.col("rows"))).alias("row")).drop("row")
 
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs``, all columns, without a hit."""
-    h = hits(docs, items, id_col=id_col, text_col=text_col).select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).distinct()
+    h = hits(docs, items, id_col=id_col, text_col=text_col).where("m > 0").select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).distinct()
     same = docs[id_col].cast("long").eqNullSafe(h["_id"]) & (F.xxhash64(docs[text_col].cast("string")) == h["_hash"])
     return docs.join(h, same, "left_anti")
