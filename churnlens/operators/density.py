@@ -44,29 +44,37 @@ def kde(df: DataFrame, col: str, by=(), n_grid: int = GRID_N, cut: float = CUT,
     st = vals.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.stddev_samp("_x").alias("sd"),
                                F.min("_x").alias("mn"), F.max("_x").alias("mx"))
     q = quantile_row(vals, "_x", [0.25, 0.75], ["q1", "q3"], by)
-    # one row per group on each side; both are bounded by the group check
-    srows = {tuple(r[c] for c in by): r.asDict() for r in st.collect()}
+    # one row per group on each side; at most one more than allowed is read
+    srows = {tuple(r[c] for c in by): r.asDict() for r in st.limit(_MAX_GROUPS + 1).collect()}
     if len(srows) > _MAX_GROUPS:
         raise ValueError("too many groups for a density grid")
     for r in q.collect():
         srows[tuple(r[c] for c in by)].update(q1=r["q1"], q3=r["q3"])
-    gmin = min(r["mn"] for r in srows.values())
-    gmax = max(r["mx"] for r in srows.values())
-    table = {}
+    gmin = min((r["mn"] for r in srows.values() if r["n"]), default=0.0)
+    gmax = max((r["mx"] for r in srows.values() if r["n"]), default=0.0)
+    keys, table = [], []
     for key, r in srows.items():
+        if not r["n"]:
+            continue            # no value at all: no density
         h = nrd0(r["n"], r["sd"], r["q1"], r["q3"], r["mn"])
         lo, hi = (gmin, gmax) if shared else (r["mn"] - cut * h, r["mx"] + cut * h)
-        table[key] = (lo, hi, h, int(r["n"]))
+        keys.append((len(keys), *key))
+        table.append((lo, hi, h, int(r["n"])))
+    # groups travel as numbers: a null group is one like any other
+    kinds = [f"`{f.name}` {f.dataType.simpleString()}" for f in vals.schema.fields if f.name in by]
+    groups = df.sparkSession.createDataFrame(keys, ", ".join(["_g int", *kinds]))
     counts = vals.groupBy(*by, "_x").agg(F.count(F.lit(1)).alias("_c"))
+    same = F.lit(True)
+    for c in by:
+        same = same & counts[c].eqNullSafe(groups[c])
+    counts = counts.join(F.broadcast(groups), same).select("_g", "_x", "_c")
     grid_idx = np.arange(n_grid, dtype=np.float64)
     norm = math.sqrt(2 * math.pi)
 
     def partial(it):
         acc = {}
         for pdf in it:
-            keys = [tuple(k) for k in pdf[by].itertuples(index=False)] if by else [()] * len(pdf)
-            pdf = pdf.assign(_k=keys)
-            for key, part in pdf.groupby("_k", sort=False):
+            for key, part in pdf.groupby("_g", sort=False):
                 lo, hi, h, _ = table[key]
                 gx = lo + grid_idx * ((hi - lo) / (n_grid - 1))
                 xs = part["_x"].to_numpy()
@@ -77,16 +85,13 @@ def kde(df: DataFrame, col: str, by=(), n_grid: int = GRID_N, cut: float = CUT,
                     s += (cs[i:i + _CHUNK, None] * np.exp(-0.5 * u * u)).sum(axis=0)
         for key, s in acc.items():
             lo, hi, h, n = table[key]
-            out = {c: [key[j]] * n_grid for j, c in enumerate(by)}
-            out["i"] = np.arange(n_grid, dtype=np.int32)
+            out = {"_g": np.full(n_grid, key, dtype=np.int32), "i": np.arange(n_grid, dtype=np.int32)}
             out["x"] = lo + grid_idx * ((hi - lo) / (n_grid - 1))
             out["d"] = s / (n * h * norm)
             yield pd.DataFrame(out)
 
-    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in counts.schema.fields if f.name in by]
-    schema = ", ".join(fields + ["i int", "x double", "d double"])
-    sums = counts.mapInPandas(partial, schema).groupBy(*by, "i", "x").agg(F.sum("d").alias("d"))
-    return sums.select(*by, "i", F.round("x", 6).alias("x"), F.round("d", 12).alias("density"))
+    sums = counts.mapInPandas(partial, "_g int, i int, x double, d double").groupBy("_g", "i", "x").agg(F.sum("d").alias("d"))
+    return sums.join(F.broadcast(groups), "_g").select(*by, "i", F.round("x", 6).alias("x"), F.round("d", 12).alias("density"))
 
 
 def nrd0(n, sd, q1, q3, first) -> float:

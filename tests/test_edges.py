@@ -117,6 +117,14 @@ def test_resolve_target(spark):
         C.resolve_target(df.select("id"))
 
 
+def test_density_of_a_null_group(spark):
+    from churnlens.operators.density import kde
+    rows = [(g, float(v)) for g in ("a", None) for v in range(20)] + [("b", None)]
+    out = kde(spark.createDataFrame(rows, "g string, x double"), "x", "g").toPandas()
+    a, n = (out[m].sort_values("i")["density"].to_numpy() for m in (out["g"] == "a", out["g"].isna()))
+    assert len(out) == 2 * 512 and (a == n).all()
+
+
 def test_below(spark):
     df = spark.createDataFrame([(499.0,), (500.0,), (None,), (float("nan"),)], "s double")
     assert [r.s for r in C.below(df, "s", 500).collect()] == [499.0]
