@@ -363,8 +363,8 @@ def remove_repeats(docs: DataFrame, length: int = 50, id_col: str = "doc_id", te
     d = every.where("doc_id is not null")
     size = d.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("bytes")).first()
     least = shuffle_partitions(spark)
-    groups = n_partitions(size["bytes"] / 18, GROUP_ENTRIES, 2 * least)
-    chunks = n_partitions(size["bytes"], CHUNK_BYTES, 2 * least)
+    groups = n_partitions(size["bytes"] / 18, GROUP_ENTRIES, least)
+    chunks = n_partitions(size["bytes"], CHUNK_BYTES, least)
     hot = _hot_buckets(d, size["n"], length)
 
     filed = d.mapInPandas(_file_runs(length, groups, chunks, hot), _ROW)
