@@ -9,11 +9,16 @@ stripes, and stripes are read in parallel.
 
 from __future__ import annotations
 
+import itertools
+import re
 import zlib
+from array import array
 from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -23,49 +28,113 @@ from churnlens.llm.common import id_text, n_partitions, ready, shared_path, shuf
 END_ID = 0
 #: Text bytes a file should have about.
 FILE_BYTES = 64 << 20
-#: Words whose ids a task remembers; beyond that it forgets them all and goes on.
-REMEMBERED = 400_000
+_SPACES = re.compile(r"\s \s")
+#: Pieces whose ids a task remembers; beyond that it forgets them all and goes on.
+REMEMBERED = 1_500_000
+#: Characters of texts that are encoded together.
+TOGETHER = 10 << 20
+
+
+class _Pieces:
+    """Ids of the pieces met so far, the space before them left out: their names, and where their ids are in the pool."""
+
+    def __init__(self):
+        self.names = pa.array([], pa.large_string())
+        self.start, self.size, self.pool = array("i"), array("i"), array("i")
+
+    def numbers(self, pieces: pa.Array, encode) -> np.ndarray:
+        """Number of each of some distinct pieces; what is new is encoded."""
+        at = pc.fill_null(pc.index_in(pieces, value_set=self.names), -1).to_numpy()
+        new = np.flatnonzero(at < 0)
+        if len(new):
+            at = at.copy()
+            at[new] = len(self.names) + np.arange(len(new))
+            names = pieces.take(pa.array(new))
+            for piece in names.to_pylist():
+                ids = encode(piece)
+                self.start.append(len(self.pool))
+                self.size.append(len(ids))
+                self.pool.extend(ids)
+            self.names = pa.concat_arrays([self.names, names])
+        return at
+
+
+def _letters(s: str) -> bool:
+    """One word of the pattern: letters of the Latin blocks only."""
+    return s.isalpha() and (s.isascii() or max(s) < "\u0250")
 
 
 class Encoder:
-    """Ids of texts by the tokenizers library, each distinct word encoded once.
-
-    A byte-level vocabulary never merges across the words that its pattern
-    cuts, so the ids of a text are the ids of its words, one after the other.
-    A text that holds one of the vocabulary's special strings is given to the
-    library whole, as these are cut out before the pattern applies.
+    """Ids of texts by the tokenizers library, each distinct piece encoded once.
+
+    The pattern of a byte-level vocabulary cuts a text into words, over whose
+    ends it never merges, and it cuts before every space that has something
+    other than white space on one side at least. So the ids of a text are the
+    ids of its pieces between such cuts, one after the other. A text with a
+    space between white space, or with one of the vocabulary's special strings
+    (these are cut out before the pattern applies), is given to the library
+    whole. So is every text if the vocabulary is not plainly byte-level.
     """
 
     def __init__(self, vocabulary: str):
-        from tokenizers import Tokenizer
         import public_tokenizers
-        self.tokenizer = Tokenizer.from_file(vocabulary)
-        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        from tokenizers import Tokenizer, pre_tokenizers
+        self.tokenizer = t = Tokenizer.from_file(vocabulary)
+        self.special = [x.content for x in t.get_added_tokens_decoder().values()]
+        self.plain = t.normalizer is None and isinstance(t.pre_tokenizer, pre_tokenizers.ByteLevel) and not t.pre_tokenizer.add_prefix_space
         self.words = regex.compile(public_tokenizers.PATTERN).findall
-        self.known: dict[str, tuple[int, ...]] = {}
+        self.tokenize = t.model.tokenize
+        # the visible character that stands for each byte in a byte-level vocabulary
+        seen = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        rest = [x for x in range(256) if x not in seen]
+        self.visible = dict(zip(seen, map(chr, seen), strict=True)) | {x: chr(256 + i) for i, x in enumerate(rest)}
+        self.stop = {c: self.piece(c) for c in ".,"}
+        self.pieces = _Pieces()
 
     def whole(self, text: str) -> list[int]:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
 
+    def word(self, word: str) -> list[int]:
+        """Ids of a word of the pattern: the library's merges over its bytes."""
+        shown = word.replace(" ", self.visible[32]) if word.isascii() and word.isprintable() else word.encode().decode("latin-1").translate(self.visible)
+        return [t.id for t in self.tokenize(shown)]
+
+    def piece(self, piece: str) -> list[int]:
+        return [i for w in self.words(piece) for i in self.word(w)]
+
+    def spaced(self, piece: str) -> list[int]:
+        """Ids of a piece with a space before it; a word alone, or before a stop, needs no search for words."""
+        if _letters(piece):
+            return self.word(" " + piece)
+        if piece[-1:] in self.stop and _letters(piece[:-1]):
+            return self.word(" " + piece[:-1]) + self.stop[piece[-1]]
+        return self.piece(" " + piece)
+
     def batch(self, texts: list[str]) -> list[np.ndarray]:
-        """Ids of each text, then the end id."""
-        cut = [None if any(s in t for s in self.special) else self.words(t) for t in texts]
-        new = list({w for words in cut if words for w in words if w not in self.known})
-        if len(self.known) + len(new) > REMEMBERED:
-            self.known = {}
-            new = list({w for words in cut if words for w in words})
-        for lo in range(0, len(new), 4096):
-            part = new[lo:lo + 4096]
-            for w, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                self.known[w] = tuple(e.ids)
-        known = self.known
+        """Ids of each text, then the end id. Arrow cuts the pieces and finds the distinct and the new ones of the batch."""
+        if len(self.pieces.names) > REMEMBERED:
+            self.pieces = _Pieces()
+        plain = [self.plain and not _SPACES.search(t) and not any(s in t for s in self.special) for t in texts]
+        cut = pc.split_pattern(pa.array([t for t, ok in zip(texts, plain, strict=True) if ok], pa.large_string()), " ")
+        end = cut.offsets.to_numpy()
+        rest = np.ones(len(cut.values), dtype=bool)
+        rest[end[:-1]] = False  # the first piece of a text has no space before it
+        first = cut.values.filter(pa.array(~rest)).to_pylist()
+        found = cut.values.filter(pa.array(rest)).dictionary_encode()
+        at = self.pieces.numbers(found.dictionary, self.spaced)[found.indices.to_numpy()]
+        start, size, pool = (np.frombuffer(x, dtype=np.int32) if len(x) else np.zeros(0, np.int32) for x in (self.pieces.start, self.pieces.size, self.pieces.pool))
+        n = size[at]
+        upto = np.concatenate([[0], np.cumsum(n, dtype=np.int64)])
+        ids = pool[np.arange(upto[-1]) + np.repeat(start[at] - upto[:-1], n)]
+        bound = upto[end - np.arange(len(end))]  # ids of all texts before, first pieces left out
+        parts = iter(zip(first, bound[:-1], bound[1:], strict=True))
         out = []
-        for text, words in zip(texts, cut, strict=True):
-            ids: list[int] = self.whole(text) if words is None else []
-            for w in words or ():
-                ids += known[w]
-            ids.append(END_ID)
-            out.append(np.array(ids, dtype=np.int32))
+        for text, ok in zip(texts, plain, strict=True):
+            if ok:
+                head, lo, hi = next(parts)
+                out.append(np.concatenate([np.array(self.piece(head), np.int32), ids[lo:hi], np.array([END_ID], np.int32)]))
+            else:
+                out.append(np.array([*self.whole(text), END_ID], dtype=np.int32))
         return out
 
 
@@ -92,9 +161,15 @@ def write_tokens(docs: DataFrame, path: str, vocabulary: str, id_col: str = "doc
 
     def run(batches):
         enc = _encoder(vocabulary)
-        for b in batches:
-            ids = enc.batch([t or "" for t in b["text"]])
-            yield pd.DataFrame({"doc_id": b["doc_id"], "ids": ids})
+        held, chars = [], 0
+        for b in itertools.chain(batches, [None]):
+            if b is not None:
+                held.append(b.assign(text=b["text"].fillna("")))
+                chars += int(held[-1]["text"].str.len().sum())
+            if held and (b is None or chars >= TOGETHER):
+                rows = pd.concat(held, ignore_index=True)
+                held, chars = [], 0
+                yield pd.DataFrame({"doc_id": rows["doc_id"], "ids": enc.batch(rows["text"].tolist())})
 
     (d.mapInPandas(run, "doc_id long, ids array<int>").write
      .option("compression", "zstd").option("orc.stripe.size", str(32 << 20)).option("orc.row.index.stride", "1000")
