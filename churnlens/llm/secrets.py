@@ -34,7 +34,7 @@ _KNOWN = re.compile(
     r"(?:[0-9a-fA-F]{32}|[0-9a-fA-F]{40}|[0-9a-fA-F]{56}|[0-9a-fA-F]{64}|[0-9a-fA-F]{96}|[0-9a-fA-F]{128}"
     r"|[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}"
     r"|[0-9+/_=-]+"
-    r"|(?:[A-Za-z]+[-_/+=]*)+)")
+    r"|[A-Za-z][A-Za-z/+=_-]*)")
 
 
 @lru_cache(maxsize=4)

@@ -1,6 +1,9 @@
 import hashlib
 import re
+import subprocess
+import sys
 from collections import Counter
+from pathlib import Path
 
 import public_tokenizers
 import pytest
@@ -9,6 +12,7 @@ from churnlens.llm import secrets
 
 VOCAB = public_tokenizers.path("byte_bpe_50k.tiktoken")
 SF = "/root/testdata/sf0.01"
+ROOT = Path(__file__).resolve().parents[2]
 
 
 def slow_base(text):
@@ -50,6 +54,14 @@ def test_random_strings_and_exclusions():
     assert found(t) == [] and len(secrets.base_spans(t)) == 1
 
 
+def test_long_runs_end():
+    """Letters before a digit are matched in linear time: nested repeats would take 2^60 steps here."""
+    code = ("import sys; from churnlens.llm import secrets; enc = secrets._encoding(sys.argv[1])\n"
+            "for t in ('a' * 60 + '1', 'AAAA' * 5000 + '1', 'ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/', 'ab-' * 5000 + '1'):\n"
+            "    secrets.random_spans(t, [], enc)")
+    subprocess.run([sys.executable, "-c", code, VOCAB], cwd=ROOT, timeout=60, check=True)
+
+
 def test_ascii_only_case():
     assert secrets.base_spans("TOKEN=abcdefghijkl") and not secrets.base_spans("toKen=abcdefghijkl") and not secrets.base_spans("paſſword=abcdefghijkl")
 
