@@ -4,6 +4,8 @@ A byte-pair vocabulary spends few tokens on text like the text it was made
 from and many on random characters. Candidates are runs of credential
 characters; a run is reported where its characters per token are few, unless
 it is a known digest or identifier, or lies inside a span of a fixed pattern.
+A run without digits is an identifier only if its parts are words to the
+vocabulary.
 """
 
 from __future__ import annotations
@@ -29,12 +31,14 @@ HEX = re.compile(r"[0-9a-f]{16,}")
 #: A random string has this many characters at least, and at most this many characters per token.
 RANDOM_LEAST, RANDOM_RATIO = 20, 2.0
 _RUN = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
-#: Digests (MD5, SHA-1, SHA-224, SHA-256, SHA-384, SHA-512 in hex) and identifiers: UUIDs, numbers, dates, paths and words in parts.
+#: Digests (MD5, SHA-1, SHA-224, SHA-256, SHA-384, SHA-512 in hex) and identifiers: UUIDs, numbers and dates.
 _KNOWN = re.compile(
     r"(?:[0-9a-fA-F]{32}|[0-9a-fA-F]{40}|[0-9a-fA-F]{56}|[0-9a-fA-F]{64}|[0-9a-fA-F]{96}|[0-9a-fA-F]{128}"
     r"|[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}"
-    r"|[0-9+/_=-]+"
-    r"|[A-Za-z][A-Za-z/+=_-]*)")
+    r"|[0-9+/_=-]+)")
+#: Paths and words in parts are identifiers, too, if the vocabulary knows their parts.
+_LETTERS = re.compile(r"[A-Za-z/+=_-]+")
+_PART = re.compile(r"[A-Za-z]+")
 
 
 @lru_cache(maxsize=4)
@@ -58,12 +62,18 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
     return out
 
 
+def _words(run: str, encoding) -> bool:
+    """Whether a run without digits is made of words: its parts between separators, capitals as small letters, compress well."""
+    parts = [x.lower() if x.isupper() else x for x in _PART.findall(run)] if _LETTERS.fullmatch(run) else []
+    return sum(map(len, parts)) > RANDOM_RATIO * sum(len(encoding.encode_ordinary(x)) for x in parts)
+
+
 def random_spans(text: str, base, encoding) -> list[tuple[int, int, str]]:
     """Runs that the vocabulary compresses badly, without known digests and identifiers and without base spans."""
     out = []
     for m in _RUN.finditer(text):
         run = m[0]
-        if _KNOWN.fullmatch(run) or len(run) > RANDOM_RATIO * len(encoding.encode_ordinary(run)):
+        if _KNOWN.fullmatch(run) or len(run) > RANDOM_RATIO * len(encoding.encode_ordinary(run)) or _words(run, encoding):
             continue
         if not any(s < m.end() and m.start() < e for s, e, _ in base):
             out.append((m.start(), m.end(), "random"))

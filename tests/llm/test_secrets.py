@@ -1,5 +1,7 @@
 import hashlib
+import random
 import re
+import string
 import subprocess
 import sys
 from collections import Counter
@@ -54,6 +56,20 @@ def test_random_strings_and_exclusions():
     assert found(t) == [] and len(secrets.base_spans(t)) == 1
 
 
+@pytest.mark.parametrize("alphabet", [string.ascii_letters, string.ascii_lowercase, string.ascii_uppercase, string.ascii_letters + "-_/+=", string.ascii_lowercase + "-_"])
+def test_random_letters_are_found(alphabet):
+    enc, g = secrets._encoding(VOCAB), random.Random(7)
+    runs = ["".join(g.choices(alphabet, k=n)) for n in (20, 32, 64) for _ in range(200)]
+    assert sum(secrets.random_spans(f"x {r} y", [], enc) == [(2, 2 + len(r), "random")] for r in runs) > 0.95 * len(runs)
+
+
+def test_words_without_digits_are_identifiers():
+    """The run as a whole has at most 2 characters a token; its parts, capitals as small letters, have more."""
+    enc = secrets._encoding(VOCAB)
+    run = "CONFIG_ARCH_HAS_DMA_SET_MASK"
+    assert len(run) <= 2 * len(enc.encode_ordinary(run)) and secrets.random_spans(run, [], enc) == []
+
+
 def test_long_runs_end():
     """Letters before a digit are matched in linear time: nested repeats would take 2^60 steps here."""
     code = ("import sys; from churnlens.llm import secrets; enc = secrets._encoding(sys.argv[1])\n"
