@@ -135,3 +135,20 @@ def test_edges(edge_docs, empty_docs):
     assert sorted((str(r.doc_id), str(r.text)) for r in out.collect()) == before  # nothing personal in these texts
     assert P.pseudonymise(empty_docs, KEY).count() == 0
     assert not re.search("Python|Pandas|Arrow|Exchange", out._jdf.queryExecution().executedPlan().toString())
+
+
+def test_iban_before_a_word_and_values_inside_failed_candidates(spark):
+    texts = [
+        ("ES91 2100 0418 4502 0005 1332 BIC X", ["n_iban", 1]), ("AT611904300234573201 EUR", ["n_iban", 1]), ("SE45 5000 0000 0583 9825 7466 USD", ["n_iban", 1]),
+        ("PL61 1090 1014 0000 0712 1981 2874 PLN BE68 5390 0754 7034 EUR NO93 8601 1117 947 NOK", ["n_iban", 3]), ("DE89 3704 0044 0532 0130 0 DE893704004405320130000", ["n_iban", 0]),
+        ("NO12 4111 1111 1111 1111", ["n_card", 1]), ("DE12 4111 1111 1111 1111 12 end", ["n_card", 1]), ("1234 4111 1111 1111 1111", ["n_card", 1]),
+        ("+1 (423) 555-7379 ZZ12 988-555-2485 378282246310005", ["n_phone", 2]),
+    ]
+    df = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(texts)], "doc_id long, text string")
+    out = P.pseudonymise(df, KEY).cache()
+    for r in out.collect():
+        text, (name, n) = texts[r.doc_id]
+        assert r[name] == n, (text, r)
+        assert re.sub(r"\d", "9", r.text) == re.sub(r"\d", "9", text) and (r.text != text) == (n > 0)
+        assert [w for w in r.text.split() if w.isalpha()] == [w for w in text.split() if w.isalpha()]
+    assert {r.doc_id: r.text for r in P.pseudonymise(out, KEY, back=True).collect()} == {i: t for i, (t, _) in enumerate(texts)}
