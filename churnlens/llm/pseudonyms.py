@@ -51,8 +51,14 @@ PATTERNS = {
     "ssn": r"(?<![0-9A-Za-z-])\d{3}-\d{2}-\d{4}(?![0-9A-Za-z-])",
     "phone": rf"(?:{_L}\+\d{{1,3}}[ .-]?)?(?:\(\d{{3}}\) ?|(?<![0-9A-Za-z])\d{{3}}[ .-])\d{{3}}[ .-]\d{{4}}{_R}",
     "iban": _iban_pattern(),
-    "card": rf"{_L}(?:\d{{4}}(?<gap>[ -])\d{{4}}\k<gap>\d{{4}}\k<gap>\d{{4}}|\d{{13,19}}){_R}",
+    "card": rf"{_L}(?:\d{{4}}(?<gap>[ -])\d{{4}}\k<gap>\d{{4}}\k<gap>\d{{4}}|\d{{4}}(?<wide>[ -])\d{{6}}\k<wide>\d{{4,5}}|\d{{13,19}}){_R}",
 }
+_NATIONAL = PATTERNS["phone"]
+#: With a country code, any grouping of 8 to 15 digits; a date, SSN or IPv4 address after a space isn't part of it.
+_NEXT = rf"(?:(?! (?:{PATTERNS['date']}|{PATTERNS['ssn']}|{PATTERNS['ip']}))[ .-]?\d)"
+PATTERNS["phone"] = rf"(?:{_NATIONAL}|(?<![0-9A-Za-z+])\+[1-9](?:\d{{0,2}}[ .-]?\(\d{{1,4}}\){_NEXT}{{4,10}}|{_NEXT}{{7,14}}){_R})"
+#: Country codes of one or two digits; all others have three.
+_SHORT_CODES = "^(?:[17]|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58])"
 _ALL = "|".join(f"(?:{p})" for p in PATTERNS.values())
 
 
@@ -187,21 +193,38 @@ def _ip(f: Feistel, m: Column) -> tuple[Column, Column]:
 _DAY0, _DAYS = "1800-01-01", (189, 773)
 
 
+#: Days after the 12th of a month in that cycle: 9 x 9833.
+_LATE, _MONTHS = (9, 9833), 4800
+
+
 def _date(f: Feistel, m: Column) -> tuple[Column, Column]:
-    iso = F.when(_sub(m, 5, 1) == "-", m).when(_sub(m, 3, 1) == "/", F.concat_ws("-", _sub(m, 7, 4), _sub(m, 1, 2), _sub(m, 4, 2))).otherwise(
+    """With slashes the month comes first where it can; a first part over 12 is a day, and stays over 12, so that it is still one."""
+    slash = _sub(m, 3, 1) == "/"
+    late = slash & (_sub(m, 1, 2) > "12")
+    iso = F.when(_sub(m, 5, 1) == "-", m).when(slash & ~late, F.concat_ws("-", _sub(m, 7, 4), _sub(m, 1, 2), _sub(m, 4, 2))).otherwise(
         F.concat_ws("-", _sub(m, 7, 4), _sub(m, 4, 2), _sub(m, 1, 2)))
-    day = F.datediff(F.try_to_date(iso, "yyyy-MM-dd"), F.lit(_DAY0).cast("date"))
+    date, day0 = F.try_to_date(iso, "yyyy-MM-dd"), F.lit(_DAY0).cast("date")
+    day = F.datediff(date, day0)
     valid = F.coalesce((day >= 0) & (day < _DAYS[0] * _DAYS[1]), F.lit(False))
     out = _let(day, lambda x: f.pair("date", F.floor(x / _DAYS[1]), x % _DAYS[1], F.lit(_DAYS[0]), F.lit(_DAYS[1])))
-    new = _let(out, lambda s: F.date_add(F.lit(_DAY0).cast("date"), (s["l"] * _DAYS[1] + s["r"]).cast("int")))
-    return valid, F.when(_sub(m, 5, 1) == "-", F.date_format(new, "yyyy-MM-dd")).when(
-        _sub(m, 3, 1) == "/", F.date_format(new, "MM/dd/yyyy")).otherwise(F.date_format(new, "dd.MM.yyyy"))
+    new = _let(out, lambda s: F.date_add(day0, (s["l"] * _DAYS[1] + s["r"]).cast("int")))
+    # late days are counted on their own: those before a month are its first day less 12 for each month
+    month = (F.year(date) - 1800) * 12 + F.month(date) - 1
+    moved = _let(day - 12 * (month + 1), lambda x: f.pair("date", F.floor(x / _LATE[1]), x % _LATE[1], F.lit(_LATE[0]), F.lit(_LATE[1])))
+    before = lambda k: F.datediff(F.add_months(day0, k), day0) - 12 * k
+    near = lambda x: F.transform(F.array(*[F.lit(i) for i in range(-2, 3)]), lambda i: F.floor(x * _MONTHS / (_LATE[0] * _LATE[1])).cast("int") + i)
+    of = lambda x: F.array_max(F.filter(near(x), lambda k: (k >= 0) & (k < _MONTHS) & (before(k) <= x)))
+    new_late = _let(_let(moved, lambda s: s["l"] * _LATE[1] + s["r"]), lambda x: _let(of(x), lambda k: F.date_add(F.add_months(day0, k), (x - before(k)).cast("int") + 12)))
+    return valid, F.when(_sub(m, 5, 1) == "-", F.date_format(new, "yyyy-MM-dd")).when(late, F.date_format(new_late, "dd/MM/yyyy")).when(
+        slash, F.date_format(new, "MM/dd/yyyy")).otherwise(F.date_format(new, "dd.MM.yyyy"))
 
 
 def _phone(f: Feistel, m: Column) -> tuple[Column, Column]:
     d = _digits(m)
-    code = F.length(d) - 10
-    return F.lit(True), _laid(m, F.concat(_sub(d, 1, code), f.digits("phone", _sub(d, code + 1, 10))))
+    national = m.rlike(f"^(?:{_NATIONAL})$")
+    short = F.when(d.rlike("^[17]"), 1).when(d.rlike(_SHORT_CODES), 2).otherwise(3)
+    code = F.when(national, F.length(d) - 10).otherwise(short)
+    return F.lit(True), _laid(m, F.concat(_sub(d, 1, code), f.digits("phone", _sub(d, code + 1, 36))))
 
 
 def _email(f: Feistel, m: Column) -> tuple[Column, Column]:
@@ -252,8 +275,14 @@ def pseudonymise(docs: DataFrame, key: str, back: bool = False, id_col: str = "d
     """One row per document: ``doc_id``, ``text`` with pseudonyms, and ``n_<kind>`` values replaced.
 
     Kinds: e-mail addresses (the domain stays), telephone numbers (the country
-    code stays), payment cards (Luhn), IPv4 addresses, dates from 1800 to
-    2199, US social security numbers, IBANs (mod 97). What fails its check
+    code stays): 3-3-4 digits, or 8 to 15 digits of any grouping after + and a
+    country code; payment cards (Luhn): 13 to 19 digits, 4-4-4-4, 4-6-5 or
+    4-6-4; IPv4 addresses; dates from 1800 to 2199: yyyy-mm-dd, dd.mm.yyyy,
+    mm/dd/yyyy, and dd/mm/yyyy where the first part is over 12 (these are moved
+    among themselves); US social security numbers; IBANs (mod 97). Left out:
+    telephone numbers without country code that aren't 3-3-4, or without
+    separators, 19-digit cards in groups, dates with one-digit parts, two-digit
+    years or month names, small-letter IBANs. What fails its check
     stays as it is. ``back`` with the same key restores the text, unless a failed
     candidate overlaps a value and by chance passes its check with the
     pseudonym (1 in 10 for cards, 1 in 97 for IBANs). Null texts

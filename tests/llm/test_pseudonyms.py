@@ -152,3 +152,24 @@ def test_iban_before_a_word_and_values_inside_failed_candidates(spark):
         assert re.sub(r"\d", "9", r.text) == re.sub(r"\d", "9", text) and (r.text != text) == (n > 0)
         assert [w for w in r.text.split() if w.isalpha()] == [w for w in text.split() if w.isalpha()]
     assert {r.doc_id: r.text for r in P.pseudonymise(out, KEY, back=True).collect()} == {i: t for i, (t, _) in enumerate(texts)}
+
+
+def test_layouts_of_phones_dates_and_cards(spark):
+    days = [f"{d}/{m:02d}/{y}" for y in (1800, 1900, 2000, 2024, 2199) for m in (1, 2, 12) for d in range(13, 29 if m == 2 else 32)]
+    texts = [
+        ("+49 30 1234567, +33 1 23 45 67 89 and +15551234567 or +44 (0)20 7946 0958 not 5551234567 +1234567", ["n_phone", 4]),
+        ("+49 30 1234567 2024-02-29", ["n_phone", 1]), ("25/12/1990 31/01/2000 12/25/1990 05/06/2001 not 31/02/2000 13/13/2020", ["n_date", 4]),
+        ("3782 822463 10005 3782-822463-10005 378282246310005 3056 930902 5904 not 3782 822463 10006", ["n_card", 4]), (" ".join(days), ["n_date", len(days)]),
+    ]
+    df = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(texts)], "doc_id long, text string")
+    out = P.pseudonymise(df, KEY).cache()
+    rows = {r.doc_id: r for r in out.collect()}
+    for i, (text, (name, n)) in enumerate(texts):
+        assert rows[i][name] == n, (text, rows[i])
+        assert re.sub(r"\d", "9", rows[i].text) == re.sub(r"\d", "9", text) and rows[i].text != text
+    assert [re.match(r"\+\d+", x)[0][:k] for x, k in zip(re.findall(r"\+\S+", rows[0].text), (3, 3, 2, 3))] == ["+49", "+33", "+1", "+44"]
+    assert rows[1].n_date == 1
+    cards = [re.sub(r"\D", "", x) for x in re.findall(r"\d{4}[ -]?\d{6}[ -]?\d{5}", rows[3].text)]
+    assert cards[0] == cards[1] == cards[2] and luhn(cards[0]) % 10 == 0
+    assert len(set(rows[4].text.split())) == len(days) and all(12 < int(x[:2]) for x in rows[4].text.split())
+    assert {r.doc_id: r.text for r in P.pseudonymise(out, KEY, back=True).collect()} == {i: t for i, (t, _) in enumerate(texts)}
