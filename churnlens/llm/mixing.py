@@ -12,6 +12,7 @@ a document's rate follows from its own probabilities and the steps so far.
 
 from __future__ import annotations
 
+import warnings
 from dataclasses import dataclass
 
 import numpy as np
@@ -25,8 +26,10 @@ from churnlens.llm.features import Words
 BUCKETS = 1 << 12
 #: At most so many labelled documents are learned from, as many of each domain; a domain has one at least.
 SAMPLE = 3200
-#: Steps of the projected gradient at most, and the distance from the targets (share of all tokens) at which they end.
-STEPS, CLOSE = 60, 1e-4
+#: Steps of the projected gradient at most, in either metric, and the distance from the targets (share of all tokens) at which they end.
+STEPS, CLOSE = 200, 1e-4
+#: They also end where so many steps bring the totals no nearer than by this share: the targets cannot be met.
+STALL, LEAST = 25, 1e-3
 
 
 @dataclass
@@ -138,15 +141,26 @@ def fit_rates(post: DataFrame, targets: np.ndarray, steps: int = STEPS, close: f
     tokens = moment.sum()  # the probabilities of a document add up to 1
     if tokens <= 0:
         return np.zeros((0, k)), np.zeros(k)
-    history, total = np.zeros((0, k)), moment.sum(axis=1) / tokens
-    start = total
-    length = 1 / max(1e-12, np.linalg.eigvalsh(moment / tokens)[-1])
-    for _ in range(steps):
+    return descend(lambda history: (sums(history, False) / tokens).T, moment / tokens, targets, steps, close)
+
+
+def descend(totals, moment: np.ndarray, targets: np.ndarray, steps: int, close: float) -> tuple[np.ndarray, np.ndarray]:
+    """The steps and totals of ``fit_rates``; ``totals(history)`` gives the totals reached and those ahead."""
+    best = None
+    # first in the metric of the moments, in which a small domain moves as fast as a large one; if that ends too far off, anew in the plain one
+    for scale in (np.linalg.pinv(moment, rcond=1e-6, hermitian=True), np.eye(len(targets)) / max(1e-12, np.linalg.eigvalsh(moment)[-1])):
+        history, total = np.zeros((0, len(targets))), moment.sum(axis=1)
+        start, least, since = total, np.inf, 0
+        while np.abs(total - targets).max() > close and len(history) < steps and since < STALL:
+            history = np.vstack([history, scale @ (start - targets)])
+            total, start = totals(history)
+            gap = max(0, (total - targets) @ scale @ (total - targets)) ** 0.5
+            least, since = (gap, 0) if gap < least * (1 - LEAST) else (least, since + 1)
+        if best is None or np.linalg.norm(total - targets) < np.linalg.norm(best[1] - targets):
+            best = history, total
         if np.abs(total - targets).max() <= close:
             break
-        history = np.vstack([history, length * (start - targets)])
-        total, start = (sums(history, False) / tokens).T
-    return history, total
+    return best
 
 
 def rated(post: DataFrame, history: np.ndarray, domains: list[str]) -> DataFrame:
@@ -166,11 +180,14 @@ def rated(post: DataFrame, history: np.ndarray, domains: list[str]) -> DataFrame
 
 
 def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float], domain_col: str = "lang", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: ``doc_id``, ``text_hash``, ``n_tokens``, ``p``, ``rate``, ``domain``, ``n_copies``.
+    """One row per document: ``doc_id``, ``text_hash``, ``n_tokens``, ``p``, ``rate``, ``domain``, ``n_copies``, ``reached``.
 
-    ``targets`` are weights by domain, scaled to the tokens there are; domains
+    ``reached`` has the expected tokens of each domain (in the order of ``p``)
+    as shares of all tokens, the same in every row. Where they are further than
+    ``CLOSE`` from the targets, there is a warning, too; the rates are then the
+    nearest found. ``targets`` are weights by domain, scaled to the tokens there are; domains
     that it does not name have target 0. If it names none of the domains found,
-    every rate is 1. Null and empty texts have no tokens and the domains'
+    every rate is 1 and ``reached`` null. Null and empty texts have no tokens and the domains'
     shares as probabilities. Null ids stay. Rows with equal id and text have
     equal rates. An empty table gives no rows. Other columns are ignored.
     """
@@ -178,8 +195,13 @@ def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float], domain_co
     model = fit_domains(docs, labels, domain_col, id_col=id_col, text_col=text_col)
     post = written(posteriors(docs, model, id_col, text_col), "posteriors")
     t = np.array([max(0.0, float(targets.get(d, 0))) for d in model.domains])
-    history = fit_rates(post, t / t.sum())[0] if t.sum() > 0 else np.zeros((0, len(t)))
-    return rated(post, history, model.domains)
+    if t.sum() <= 0:
+        return rated(post, np.zeros((0, len(t))), model.domains).withColumn("reached", F.lit(None).cast("array<double>"))
+    t = t / t.sum()
+    history, total = fit_rates(post, t)
+    if total.any() and np.abs(total - t).max() > CLOSE:
+        warnings.warn("targets are not met: " + ", ".join(f"{d!r} has {x:.5f} of {y:.5f}" for d, x, y in zip(model.domains, total, t, strict=True)), stacklevel=2)
+    return rated(post, history, model.domains).withColumn("reached", F.array(*[F.lit(float(x)) for x in total]))
 
 
 def mixed_documents(docs: DataFrame, labels: DataFrame, targets: dict[str, float], domain_col: str = "lang", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

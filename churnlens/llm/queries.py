@@ -51,7 +51,7 @@ MIX_TARGETS = {"en": 0.4, "de": 0.2, "fr": 0.2, "es": 0.2}
 
 def op9_mixing(spark, sf_dir):
     out = mixing.mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), MIX_TARGETS)
-    return out.select("doc_id", "n_tokens", "domain", "rate", "n_copies", "p")
+    return out.select("doc_id", "n_tokens", "domain", "rate", "n_copies", "p", "reached")
 
 
 def op10_quality(spark, sf_dir):

@@ -58,6 +58,30 @@ def test_least_squares_optimum(spark, targets, slack):
     assert (r >= 0).all() and np.allclose(p.T @ (n / n.sum() * r), total)
 
 
+@pytest.mark.parametrize("small", [0.01, 0.002, 0.0005])
+def test_targets_are_met_on_skewed_sources(small):
+    """A small domain must move as far as its target asks, however little it moves the totals."""
+    g = np.random.default_rng(1)
+    y = g.choice(4, 8000, p=[1 - 3 * small, small, small, small])
+    p = np.stack([g.dirichlet(np.eye(4)[c] * 60 + 0.3) for c in y])
+    w = g.integers(1, 500, len(y)).astype(float)
+    w /= w.sum()
+    targets = np.array([0.4, 0.2, 0.2, 0.2])
+    totals = lambda h: (p.T @ (w * M.rates_of(p, h)), p.T @ (w * M.rates_of(p, h, True)))
+    history, total = M.descend(totals, (p * w[:, None]).T @ p, targets, M.STEPS, M.CLOSE)
+    assert np.abs(total - targets).max() <= M.CLOSE
+    assert np.allclose(p.T @ (w * M.rates_of(p, history)), total)
+
+
+def test_missed_targets_are_reported(spark):
+    text = "the same words in both languages"
+    docs = spark.createDataFrame([(i, text, "en" if i % 2 else "de") for i in range(40)], "doc_id long, text string, lang string")
+    with pytest.warns(UserWarning, match="targets are not met"):
+        out = M.mix(docs, docs.select("doc_id"), {"en": 0.9, "de": 0.1})
+    r = out.select("reached").distinct().collect()
+    assert len(r) == 1 and abs(r[0].reached[0] - 0.1) > 0.1
+
+
 def test_copies_as_rows(tables, mixed):
     out = M.mixed_documents(*tables, TARGETS)
     assert out.columns == tables[0].columns
