@@ -4,7 +4,7 @@ import os
 
 import pytest
 
-from conftest import ROOT, SF_SMALL  # noqa: F401
+from paths import SF_SMALL
 
 import __spark_entry__ as E
 from tools.check_oracle import TABLES, digest
