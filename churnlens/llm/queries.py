@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from churnlens.llm import decontaminate, mixing, neighbours, oracle, pseudonyms, quality, secrets, simhash, substrings, tokens, toxicity
+from churnlens.llm import decontaminate, langid, merkle, mixing, neighbours, oracle, prefixtrie, pseudonyms, quality, secrets, simhash, substrings, tokens, toxicity
 from churnlens.llm.common import table
 
 #: A run's own key comes from its secret store; this one makes the registered query repeatable.
@@ -59,5 +59,20 @@ def op10_quality(spark, sf_dir):
     return quality.score(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
 
 
-LLM_QUERIES = {f.__name__: f for f in (op1_pseudonyms, op2_secret_scan, op3_neighbours, op4_token_orc, op5_repeats, op6_decontaminate, op7_simhash, op8_toxicity, op9_mixing, op10_quality)}
-LLM_ORACLE: dict[str, str] = {"op6_decontaminate": oracle.DECONTAMINATE}
+def op11_merkle(spark, sf_dir):
+    return merkle.tampered_audit(table(spark, sf_dir, "documents"))
+
+
+def op12_language(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    return langid.predict(docs, langid.fit(docs))
+
+
+def op13_prefix_trie(spark, sf_dir):
+    return prefixtrie.rebuilt_trie(table(spark, sf_dir, "conversations"))
+
+
+LLM_QUERIES = {f.__name__: f for f in (
+    op1_pseudonyms, op2_secret_scan, op3_neighbours, op4_token_orc, op5_repeats, op6_decontaminate, op7_simhash, op8_toxicity, op9_mixing, op10_quality,
+    op11_merkle, op12_language, op13_prefix_trie)}
+LLM_ORACLE: dict[str, str] = {"op6_decontaminate": oracle.DECONTAMINATE, "op11_merkle": oracle.MERKLE, "op13_prefix_trie": oracle.PREFIX_TRIE}
