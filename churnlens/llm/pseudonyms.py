@@ -43,9 +43,10 @@ def _iban_pattern() -> str:
     return rf"{_L}(?:{known}|(?!{listed})[A-Z]{{2}}\d{{2}}(?: ?[A-Z0-9]{{4}}){{2,7}}(?: ?[A-Z0-9]{{1,3}})?){_R}"
 
 
-#: Pattern of each kind as a whole match; the order decides where two could match at one place.
+#: Pattern of each kind as a whole match; the order decides where two could match at one place. A domain name has 127
+#: parts at most (more do not fit into its 253 characters); each takes a level of the matcher's stack.
 PATTERNS = {
-    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@(?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,}+",
+    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@(?:[A-Za-z0-9-]+\.){1,127}[A-Za-z]{2,}+",
     "ip": r"(?<![0-9A-Za-z.])\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}(?![0-9A-Za-z]|\.\d)",
     "date": r"(?<![0-9A-Za-z./-])(?:\d{4}-\d{2}-\d{2}|\d{2}/\d{2}/\d{4}|\d{2}\.\d{2}\.\d{4})(?![0-9A-Za-z/-])",
     "ssn": r"(?<![0-9A-Za-z-])\d{3}-\d{2}-\d{4}(?![0-9A-Za-z-])",
@@ -254,9 +255,11 @@ def _cuts(c: Column) -> Column:
     """For each candidate, how many characters of its piece a value covers: less than 0 where it is that value itself.
 
     From left to right, a valid candidate is taken unless one taken before
-    reaches into it. One that isn't valid covers nothing.
+    reaches into it. One that isn't valid covers nothing. A fold copies the
+    list it grows at each step, so the candidates are folded in stretches of
+    the square root of their number, and the stretches' lists are joined.
     """
-    start = F.struct(F.lit(0).alias("over"), F.array().cast("array<int>").alias("cuts"))
+    stretch = F.greatest(F.lit(16), F.ceil(F.sqrt(F.size(c)))).cast("int")
 
     def step(s: Column, x: Column) -> Column:
         taken = (s["over"] == 0) & x["kind"].isNotNull()
@@ -264,7 +267,13 @@ def _cuts(c: Column) -> Column:
         cut = F.least(reach, F.length(x["p"]))
         return F.struct((reach - cut).alias("over"), F.concat(s["cuts"], F.array(F.when(taken, -cut).otherwise(cut))).alias("cuts"))
 
-    return F.aggregate(c, start, step, lambda s: s["cuts"])
+    def some(s: Column, i: Column) -> Column:
+        start = F.struct(s["over"].alias("over"), F.array().cast("array<int>").alias("cuts"))
+        return _let(F.aggregate(F.slice(c, i, stretch), start, step), lambda t: F.struct(
+            t["over"].alias("over"), F.concat(s["parts"], F.array(t["cuts"])).alias("parts")))
+
+    start = F.struct(F.lit(0).alias("over"), F.array().cast("array<array<int>>").alias("parts"))
+    return F.flatten(F.aggregate(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(c)), stretch), start, some, lambda s: s["parts"]))
 
 
 def _of_kind(kind: str) -> Callable[[Column], Column]:

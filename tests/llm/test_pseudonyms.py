@@ -173,3 +173,18 @@ def test_layouts_of_phones_dates_and_cards(spark):
     assert cards[0] == cards[1] == cards[2] and luhn(cards[0]) % 10 == 0
     assert len(set(rows[4].text.split())) == len(days) and all(12 < int(x[:2]) for x in rows[4].text.split())
     assert {r.doc_id: r.text for r in P.pseudonymise(out, KEY, back=True).collect()} == {i: t for i, (t, _) in enumerate(texts)}
+
+
+def test_long_texts_of_dense_candidates(spark):
+    """A megabyte of what could begin a value but does not end one; tens of thousands of values in one text."""
+    rows = [(i, "x@" + s * (1_000_000 // len(s)) + "com") for i, s in enumerate(["a.", "1.", "A1 ", "+1-"])]
+    rows.append((9, "x@" + "a." * 127 + "com and y@" + "a." * 128 + "com"))
+    many = " ".join(f"u{i}@example.com" for i in range(40_000))
+    rows.append((10, many))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    out = {r.doc_id: r for r in P.pseudonymise(docs, "k").collect()}
+    assert [out[i].n_email for i in (0, 1, 2, 9, 10)] == [0, 0, 0, 1, 40_000]
+    assert out[2].text == rows[2][1]
+    assert len(set(out[10].text.split())) == 40_000
+    back = P.pseudonymise(spark.createDataFrame([(10, out[10].text)], "doc_id long, text string"), "k", back=True).first()
+    assert back.text == many
