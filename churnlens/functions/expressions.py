@@ -8,7 +8,7 @@ from pyspark.sql.types import DoubleType, FloatType
 
 __all__ = [
     "is_missing", "any_missing", "encode_binary", "label_code", "md5_hex",
-    "md5_uniform", "safe_div", "r6", "r9", "hash_bucket", "numeric_columns",
+    "md5_uniform", "safe_div", "hash_bucket",
 ]
 
 # Fixed value: 2**32, scale of the first 8 hex digits of an md5.
@@ -68,15 +68,3 @@ def safe_div(num: Column, den: Column) -> Column:
     """Division that yields null on a zero divisor (ANSI mode would throw)."""
     return F.try_divide(num, den)
 
-
-def r6(c: Column) -> Column:
-    return F.round(c, 6)
-
-
-def r9(c: Column) -> Column:
-    return F.round(c, 9)
-
-
-def numeric_columns(df: DataFrame, exclude=()) -> list[str]:
-    num = ("int", "bigint", "double", "float", "smallint", "tinyint")
-    return [n for n, t in df.dtypes if t in num and n not in exclude]

@@ -1,4 +1,4 @@
-"""V7: exact interventional Shapley attributions as one Spark job.
+"""V7: interventional Shapley attributions as one Spark job: exact up to 10 features, sampled with a standard error for any number.
 
 For M features, every row is paired with every coalition S (2^M masks) and
 every background row b: the model scores x_S + b_(not S). v(S) is the mean
@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -38,6 +39,13 @@ def background_sample(df: DataFrame, n: int = MAX_BACKGROUND, key: str = "Custom
     return df.withColumn("_h", md5_hex(seed, key)).orderBy("_h").limit(n).drop("_h")
 
 
+def _background(background: DataFrame, features) -> list:
+    rows = background.select(*[F.col(c).cast("double") for c in features]).limit(MAX_BACKGROUND + 1).collect()
+    if not 0 < len(rows) <= MAX_BACKGROUND:
+        raise ValueError("background sample needs 1 to 100 rows")
+    return rows
+
+
 def shapley(score_fn, rows: DataFrame, background: DataFrame, features, key: str = "Customer_ID") -> DataFrame:
     """(key, feature, phi) plus the base value and margin per row.
 
@@ -46,10 +54,8 @@ def shapley(score_fn, rows: DataFrame, background: DataFrame, features, key: str
     """
     m = len(features)
     if m > MAX_FEATURES:
-        raise ValueError("exact Shapley is limited to 10 features")
-    bg_rows = background.select(*[F.col(c).cast("double") for c in features]).limit(MAX_BACKGROUND + 1).collect()
-    if not 0 < len(bg_rows) <= MAX_BACKGROUND:
-        raise ValueError("background sample needs 1 to 100 rows")
+        raise ValueError("exact Shapley is limited to 10 features; shapley_sampled takes any number")
+    bg_rows = _background(background, features)
     masks = F.array(*[F.lit(i) for i in range(1 << m)])
     bg = F.array(*[F.struct(*[F.lit(float(r[i])).alias("b_" + c) for i, c in enumerate(features)]) for r in bg_rows])
     coef = F.array(*[F.array(*[F.lit(v) for v in row]) for row in _coefs(m)])
@@ -70,6 +76,45 @@ def shapley(score_fn, rows: DataFrame, background: DataFrame, features, key: str
     return long.select(key, "s.feature", "s.phi", "base_value", "margin")
 
 
+def shapley_sampled(score_fn, rows: DataFrame, background: DataFrame, features, key: str = "Customer_ID", rounds: int = 1, seed: int = 17) -> DataFrame:
+    """(key, feature, phi, se, base_value, margin) for any number of features.
+
+    Coalitions are sampled as pairs of orders: a random order of the features
+    and the same backwards. On the way through an order the row's values replace
+    those of a background row one by one, and each feature gets the change of
+    the margin that it brings. Every background row serves ``rounds`` pairs, so
+    the base value is exact, and so is every attribution of an additive model;
+    ``se`` is the standard error over the pairs (0 for one pair). The attributions
+    of a row add up to its margin less the base value. A row is scored
+    2 (M + 1) times a pair: the work grows with M, not with 2^M.
+    """
+    m, bg_rows = len(features), _background(background, features)
+    rng = np.random.RandomState(seed)
+    orders = []
+    for i in range(rounds * len(bg_rows)):
+        order = rng.permutation(m)
+        orders += [(i, order), (i, order[::-1])]
+    # for each order the place of every feature: literal lists, bounded by rounds x 200 x M
+    place = F.array(*[F.array(*[F.lit(int(x)) for x in np.argsort(o)]) for _, o in orders])
+    bg = F.array(*[F.array(*[F.lit(float(v)) for v in r]) for r in bg_rows])
+    x = rows.select(F.col(key).alias("_key"), F.array(*[F.col(c).cast("double") for c in features]).alias("_x"))
+    ex = x.select("*", F.explode(F.sequence(F.lit(0), F.lit(len(orders) - 1))).alias("_o"))
+    ex = ex.select("*", F.element_at(place, F.col("_o") + 1).alias("_place"), F.element_at(bg, F.floor(F.col("_o") / 2).cast("int") % len(bg_rows) + 1).alias("_b"))
+    ex = ex.select("*", F.explode(F.sequence(F.lit(0), F.lit(m))).alias("_step"))
+    mixed = ex.select("_key", "_o", "_step", "_place", *[F.when(F.col("_place")[i] < F.col("_step"), F.col("_x")[i]).otherwise(F.col("_b")[i]).alias(c) for i, c in enumerate(features)])
+    v, step = F.col("margin"), F.col("_step")
+    gain = [F.sum(F.when(F.col("_place")[i] == step - 1, v).when(F.col("_place")[i] == step, -v).otherwise(0.0)) / 2 for i in range(m)]
+    pairs = score_fn(mixed).groupBy("_key", F.floor(F.col("_o") / 2).alias("_pair")).agg(
+        *[g.alias(f"_g{i}") for i, g in enumerate(gain)], (F.sum(F.when(step == 0, v)) / 2).alias("_base"), (F.sum(F.when(step == m, v)) / 2).alias("_margin"))
+    n = len(orders) // 2
+    se = (lambda c: F.stddev_samp(c) / F.lit(float(n) ** 0.5)) if n > 1 else (lambda c: F.lit(0.0))
+    agg = pairs.groupBy("_key").agg(*[F.avg(f"_g{i}").alias(f"_p{i}") for i in range(m)], *[se(f"_g{i}").alias(f"_s{i}") for i in range(m)],
+                                    F.avg("_base").alias("base_value"), F.avg("_margin").alias("margin"))
+    return agg.select(F.col("_key").alias(key), "base_value", "margin", F.explode(F.array(*[
+        F.struct(F.lit(c).alias("feature"), F.col(f"_p{i}").alias("phi"), F.col(f"_s{i}").alias("se")) for i, c in enumerate(features)])).alias("s")) \
+        .select(key, "s.feature", "s.phi", "s.se", "base_value", "margin")
+
+
 def shapley_summary(phi: DataFrame) -> DataFrame:
     """Mean absolute attribution per feature (the summary-plot ranking)."""
     return phi.groupBy("feature").agg(F.avg(F.abs("phi")).alias("mean_abs_phi")) \

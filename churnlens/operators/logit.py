@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from churnlens.operators.prepare import fit_scaler
+from churnlens.operators.report import top_k
 
 # Two-sided 95 % normal quantile and the significance ladder.
 Z95 = 1.959964
@@ -111,7 +112,7 @@ def odds_ratio_order(table: DataFrame, k: int = 10, order: str = "asc") -> DataF
     effect first, as the reference chart does); first k."""
     d = F.abs(F.col("odds_ratio") - 1)
     t = table.where(F.col("feature") != "const").withColumn("distance_from_1", d)
-    return t.orderBy(d.asc() if order == "asc" else d.desc()).limit(k)
+    return top_k(t, "distance_from_1", k, ascending=order == "asc")
 
 
 def effect_text(table: DataFrame) -> DataFrame:

@@ -193,3 +193,27 @@ def auc_by(df: DataFrame, score: str, label: str, group_cols) -> DataFrame:
     cum = global_cumsum(c, ["threshold"], ["pos", "neg"], group_cols=g, descending=True, total_prefix="tot_")
     num = F.sum(_big("pos") * (2 * (_big("tot_neg") - _big("cum_neg")) + _big("neg")))
     return cum.groupBy(*g, "tot_pos", "tot_neg").agg(num.cast("double").alias("_num")).select(*g, _auc("tot_pos", "tot_neg"))
+
+
+def curve_metrics(df: DataFrame, score: str, label: str, group_cols=()) -> DataFrame:
+    """E2, E4 and E6 per group from one running sum: AUC, the Youden threshold, and the counts and rates at it.
+
+    At a point of the curve the positives so far are the true positives of its
+    threshold and the negatives so far the false ones, so the scores are read
+    once. The threshold is +inf where no point beats J = 0 (see ``youden``).
+    """
+    g = list(group_cols)
+    y = F.col(label).cast("int")
+    c = df.groupBy(*g, F.col(score).cast("double").alias("threshold")).agg(F.sum(y).cast("bigint").alias("pos"), F.sum(1 - y).cast("bigint").alias("neg"))
+    t = global_cumsum(c, ["threshold"], ["pos", "neg"], group_cols=g, descending=True, total_prefix="tot_")
+    j = _big("cum_pos") * _big("tot_neg") - _big("cum_neg") * _big("tot_pos")
+    num = F.sum(_big("pos") * (2 * (_big("tot_neg") - _big("cum_neg")) + _big("neg")))
+    best = t.groupBy(*g, F.col("tot_pos").alias("P"), F.col("tot_neg").alias("N")).agg(
+        num.cast("double").alias("_num"), F.max(j).alias("_j"), F.max_by(F.struct("threshold", F.col("cum_pos").alias("tp"), F.col("cum_neg").alias("fp")), F.struct(j, F.col("threshold"))).alias("b"))
+    found = F.col("_j") > 0
+    at = best.select(*g, _auc("P", "N"), F.when(found, F.col("b.threshold")).otherwise(float("inf")).alias("threshold"),
+                     *[F.when(found, F.col(f"b.{x}")).otherwise(0).cast("bigint").alias(x) for x in ("tp", "fp")], "P", "N")
+    at = at.withColumn("fn", F.col("P") - F.col("tp")).withColumn("tn", F.col("N") - F.col("fp"))
+    tp, fp, fn, tn = (F.col(x) for x in ("tp", "fp", "fn", "tn"))
+    return at.select(*g, "auc", "threshold", "tp", "fp", "fn", "tn", F.try_divide(tp + tn, tp + fp + fn + tn).alias("accuracy"),
+                     _ratio(tp, tp + fn).alias("recall"), _ratio(tp, tp + fp).alias("precision"), _ratio(2 * tp, 2 * tp + fp + fn).alias("f1"))

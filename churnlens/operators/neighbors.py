@@ -1,11 +1,18 @@
-"""Exact k-nearest neighbours (K1) and kNN class probabilities (K2).
-
-All pairs have to be compared, but never shuffled: query rows are hashed into
-``Pq`` groups and base rows into ``Pb`` groups; tile (i, j) receives query
-group i and base group j through a cogroup, compares them with NumPy in
-Arrow batches, and emits only each query's best candidates. A final window
-per query keeps the k best of the Pb tiles (k x Pb rows per query). Tile
-sizes are bounded by ``block``, so memory per task does not grow with data.
+"""Nearest neighbours (K1) and kNN class probabilities (K2).
+
+Exact search leaves out what cannot matter. A bounded number of base rows,
+chosen by a hash of their key, are pivots; every base row belongs to its
+nearest pivot, and a pivot's radius is the distance of its farthest row. Each
+query first meets the nearest pivots that have k rows between them; its k-th
+distance there bounds the search: by the triangle inequality a pivot whose
+distance less its radius exceeds the bound holds no neighbour, and its rows are
+never sent to that query. Rows of one pivot and their queries are compared in
+tiles of at most ``block`` x ``block``, in NumPy, by a cogroup; a tile emits
+the k best rows of a query, whatever the ties, and a window a query merges the
+tiles. A table of at most ``block`` rows has one pivot, so one round does.
+
+``knn_approx`` is Spark's own random-projection join, for tables where a share
+of the neighbours will do.
 """
 
 from __future__ import annotations
@@ -17,10 +24,13 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from churnlens.session import ship_package
+from churnlens.session import ship_package, written
 
 METRICS = ("euclidean", "manhattan", "minkowski")
-_TIE_MARGIN = 1e-6
+#: Distances this near are rounded to one value, possibly.
+_TIE_MARGIN = 1e-8
+#: Pivots at most: their vectors and distances to a batch of rows are held in each task.
+MAX_PIVOTS = 1024
 
 
 def _dist(q: np.ndarray, b: np.ndarray, metric: str, p: float) -> np.ndarray:
@@ -42,67 +52,186 @@ def _dist(q: np.ndarray, b: np.ndarray, metric: str, p: float) -> np.ndarray:
     return d
 
 
-def knn_topk(query: DataFrame, base: DataFrame, features, k: int = 5, metric: str = "euclidean",
-             p: float = 2.0, query_key: str = "Customer_ID", base_key: str = "Customer_ID",
-             exclude_self: bool = False, block: int = 4096, places: int = 9,
-             carry: str | None = None) -> DataFrame:
-    """(qid, nid, distance, rank): the k nearest base rows of every query row.
+def _best(d: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(row, column) of the k smallest finite values of each row; columns are in key order.
 
-    Distances are rounded to ``places``; ties at rank k go to the smaller
-    base key. ``exclude_self`` drops pairs with equal keys (neighbours within
-    one table). ``carry`` names a base column (e.g. the label) returned as
-    ``_y`` with each neighbour, so no join back to the base is needed.
+    Values near the k-th may be rounded to it, so all of these stay; of values
+    that are equal the first k do.
     """
-    ship_package(query.sparkSession)
-    if metric not in METRICS:
-        raise ValueError(f"metric must be one of {METRICS}")
-    nq, nb = query.count(), base.count()                 # two scalars: tile grid size
-    pq, pb = max(1, math.ceil(nq / block)), max(1, math.ceil(nb / block))
-    feats = [F.col(c).cast("double") for c in features]
-    # query group i goes to tiles (i, 0..pb-1); base group j to tiles (0..pq-1, j)
-    q = query.select(F.col(query_key).alias("qid"), F.array(*feats).alias("v")) \
-        .withColumn("_j", F.explode(F.sequence(F.lit(0), F.lit(pb - 1)))) \
-        .withColumn("tile", F.pmod(F.xxhash64("qid"), F.lit(pq)) * pb + F.col("_j")).drop("_j")
-    ycol = F.col(carry).cast("double") if carry else F.lit(None).cast("double")
-    b = base.select(F.col(base_key).alias("nid"), F.array(*feats).alias("v"), ycol.alias("_y")) \
-        .withColumn("_i", F.explode(F.sequence(F.lit(0), F.lit(pq - 1)))) \
-        .withColumn("tile", F.col("_i") * pb + F.pmod(F.xxhash64("nid"), F.lit(pb))).drop("_i")
-    keep = k
+    if not d.shape[1] or k < 1:
+        return np.zeros(0, int), np.zeros(0, int)
+    kk = min(k, d.shape[1])
+    last = np.partition(d, kk - 1, axis=1)[:, kk - 1, None]
+    mask = (d <= last + _TIE_MARGIN) & np.isfinite(d)
+    for i in np.flatnonzero(mask.sum(axis=1) > 2 * kk):    # many equal distances
+        at = np.flatnonzero(mask[i])
+        order = np.lexsort([at, d[i, at]])
+        value = d[i, at[order]]
+        first = np.searchsorted(value, value)               # place of the first equal value
+        mask[i, at[order[np.arange(len(order)) - first >= kk]]] = False
+    return np.nonzero(mask)
+
+
+def _vectors(col: pd.Series) -> np.ndarray:
+    return np.array(col.tolist(), dtype=np.float64)
+
+
+class _Pivots:
+    """Pivot vectors with the radius and the number of rows of each."""
+
+    def __init__(self, vectors: np.ndarray, metric: str, p: float):
+        self.vectors, self.metric, self.p = vectors, metric, p
+        self.radius, self.count = np.zeros(len(vectors)), np.zeros(len(vectors), dtype=np.int64)
+
+    def distances(self, v: np.ndarray) -> np.ndarray:
+        return _dist(v, self.vectors, self.metric, self.p)
+
+
+def _with_home(rows: DataFrame, pivots: _Pivots) -> DataFrame:
+    """``rows`` with ``c`` (nearest pivot, ties to the first) and ``r`` (distance to it)."""
+    def run(batches):
+        for b in batches:
+            d = pivots.distances(_vectors(b["v"])) if len(b) else np.zeros((0, 1))
+            yield b.assign(c=d.argmin(axis=1).astype(np.int32), r=d.min(axis=1))
+
+    types = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields)
+    return rows.mapInPandas(run, f"{types}, c int, r double")
+
+
+def _visits(rows: DataFrame, pivots: _Pivots, least: int, bounded: bool) -> DataFrame:
+    """``rows`` once for each pivot to visit (``c``).
+
+    First round: the nearest pivots with ``least`` rows together. Second
+    round (``bounded``: rows have their k-th distance ``tau``, null if fewer were
+    found): all others that may hold a nearer row.
+    """
+    def run(batches):
+        for b in batches:
+            if not len(b):
+                continue
+            d = pivots.distances(_vectors(b["v"]))
+            order = np.argsort(d, axis=1, kind="stable")
+            have = np.cumsum(pivots.count[order], axis=1)
+            need = np.concatenate([np.zeros((len(b), 1), bool), have[:, :-1] >= least], axis=1)
+            first = np.zeros(d.shape, dtype=bool)
+            np.put_along_axis(first, order, ~need, axis=1)
+            if bounded:
+                tau = b["tau"].fillna(np.inf).to_numpy()[:, None] + _TIE_MARGIN
+                first = ~first & (d - pivots.radius <= tau)
+            i, c = np.nonzero(first)
+            yield b.iloc[i].assign(c=c.astype(np.int32))
+
+    types = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields)
+    return rows.mapInPandas(run, f"{types}, c int")
+
+
+def _tiles(visits: DataFrame, base: DataFrame, pivots: _Pivots, k: int, block: int, exclude_self: bool) -> DataFrame:
+    """Candidates (qid, nid, d, _y): the k best of every query in every tile."""
+    asked = {r["c"]: r["n"] for r in visits.groupBy("c").agg(F.count(F.lit(1)).alias("n")).collect()}     # a number a pivot
+    metric, p = pivots.metric, pivots.p
+
+    def parts(counts: dict[int, int]):
+        """How many blocks the rows of pivot ``c`` are dealt to."""
+        return F.element_at(F.array(*[F.lit(max(1, math.ceil(counts.get(c, 0) / block))) for c in range(len(pivots.vectors))]), F.col("c") + 1)
+
+    of = {c: int(n) for c, n in enumerate(pivots.count)}
+    q = visits.withColumn("i", F.pmod(F.xxhash64("qid"), parts(asked)).cast("int")).withColumn("j", F.explode(F.sequence(F.lit(0), parts(of) - 1)))
+    b = base.where(F.col("c").isin(list(asked))) if asked else base.where("false")
+    b = b.withColumn("j", F.pmod(F.xxhash64("nid"), parts(of)).cast("int")).withColumn("i", F.explode(F.sequence(F.lit(0), parts(asked) - 1)))
 
     def tile(qdf: pd.DataFrame, bdf: pd.DataFrame) -> pd.DataFrame:
         if qdf.empty or bdf.empty:
-            return pd.DataFrame({"qid": [], "nid": [], "d": [], "_y": []})
-        qv = np.array(qdf["v"].tolist(), dtype=np.float64)
-        bv = np.array(bdf["v"].tolist(), dtype=np.float64)
-        qids = qdf["qid"].to_numpy()
-        nids = bdf["nid"].to_numpy()
-        ys = bdf["_y"].to_numpy(dtype=np.float64)
-        out_q, out_n, out_d, out_y = [], [], [], []
+            return pd.DataFrame({"qid": qdf["qid"].iloc[:0], "nid": bdf["nid"].iloc[:0], "d": [], "_y": []})
+        bdf = bdf.sort_values("nid")
+        qv, bv = _vectors(qdf["v"]), _vectors(bdf["v"])
+        qids, nids, ys = qdf["qid"].to_numpy(), bdf["nid"].to_numpy(), bdf["_y"].to_numpy(dtype=np.float64)
+        apart = qdf["_g"].to_numpy(), bdf["_g"].to_numpy()
+        out: list = [[], [], [], []]
         for s in range(0, len(qv), 512):
             d = _dist(qv[s:s + 512], bv, metric, p)
             if exclude_self:
                 d[qids[s:s + 512][:, None] == nids[None, :]] = np.inf
-            kk = min(keep, d.shape[1])
-            part = np.partition(d, kk - 1, axis=1)[:, kk - 1] if kk > 0 else np.full(d.shape[0], -np.inf)
-            mask = d <= (part + _TIE_MARGIN)[:, None]
-            mask &= np.isfinite(d)
-            r, c = np.nonzero(mask)
-            out_q.append(qids[s:s + 512][r])
-            out_n.append(nids[c])
-            out_d.append(d[r, c])
-            out_y.append(ys[c])
-        return pd.DataFrame({"qid": np.concatenate(out_q), "nid": np.concatenate(out_n), "d": np.concatenate(out_d),
-                             "_y": np.concatenate(out_y)})
-
-    qt = query.schema[query_key].dataType.simpleString()
-    bt = base.schema[base_key].dataType.simpleString()
-    cand = q.groupBy("tile").cogroup(b.groupBy("tile")).applyInPandas(tile, f"qid {qt}, nid {bt}, d double, _y double")
+            d[apart[0][s:s + 512][:, None] == apart[1][None, :]] = np.inf
+            r, c = _best(d, k)
+            for x, y in zip(out, (qids[s:s + 512][r], nids[c], d[r, c], ys[c])):
+                x.append(y)
+        return pd.DataFrame(dict(zip(("qid", "nid", "d", "_y"), map(np.concatenate, out))))
+
+    qt, bt = visits.schema["qid"].dataType.simpleString(), base.schema["nid"].dataType.simpleString()
+    return q.groupBy("c", "i", "j").cogroup(b.groupBy("c", "i", "j")).applyInPandas(tile, f"qid {qt}, nid {bt}, d double, _y double")
+
+
+def knn_topk(query: DataFrame, base: DataFrame, features, k: int = 5, metric: str = "euclidean", p: float = 2.0,
+             query_key: str = "Customer_ID", base_key: str = "Customer_ID", exclude_self: bool = False, block: int = 4096, places: int = 9,
+             carry: str | None = None, apart: str | None = None) -> DataFrame:
+    """(qid, nid, distance, rank): the k nearest base rows of every query row, exactly.
+
+    Distances are rounded to ``places``; ties at rank k go to the smaller
+    base key. ``exclude_self`` drops pairs with equal keys (neighbours within
+    one table). ``carry`` names a base column (e.g. the label) returned as
+    ``_y`` with each neighbour, so no join back to the base is needed.
+    ``apart`` names a column of both tables whose equal values are no
+    neighbours (the fold: all folds of a cross-validation in one pass).
+    """
+    ship_package(query.sparkSession)
+    if metric not in METRICS:
+        raise ValueError(f"metric must be one of {METRICS}")
+    feats = F.array(*[F.col(c).cast("double") for c in features])
+    group = F.col(apart).cast("int") if apart else F.lit(None).cast("int")
+    q = query.select(F.col(query_key).alias("qid"), feats.alias("v"), F.coalesce(group, F.lit(-1)).alias("_g"))
+    b = base.select(F.col(base_key).alias("nid"), feats.alias("v"), (F.col(carry).cast("double") if carry else F.lit(None).cast("double")).alias("_y"),
+                    F.coalesce(group, F.lit(-2)).alias("_g"))
+    nb = b.count()
+    n_pivots = min(MAX_PIVOTS, max(1, math.ceil(nb / block)))
+    chosen = b.orderBy(F.xxhash64("nid"), "nid").limit(n_pivots).select("v").collect() if n_pivots > 1 else []
+    if len(chosen) < 2:
+        pivots = _Pivots(np.zeros((1, 1)), metric, p)
+        pivots.count[0] = nb
+        cand = _tiles(q.withColumn("c", F.lit(0)), b.withColumn("c", F.lit(0)), pivots, k, block, exclude_self)
+    else:
+        pivots = _Pivots(np.array([r["v"] for r in chosen], dtype=np.float64), metric, p)
+        b = written(_with_home(b, pivots), "knn-base")
+        for r in b.groupBy("c").agg(F.max("r").alias("r"), F.count(F.lit(1)).alias("n")).collect():       # a row a pivot
+            pivots.radius[r["c"]], pivots.count[r["c"]] = r["r"], r["n"]
+        b = b.drop("r")
+        least = (2 * k if apart else k) + exclude_self      # some of them may not count; too few only widen the second round
+        cand = written(_tiles(written(_visits(q, pivots, least, False), "knn-first"), b, pivots, k, block, exclude_self), "knn-near")
+        kth = cand.groupBy("qid").agg(F.try_element_at(F.sort_array(F.collect_list("d")), F.lit(k)).alias("tau"))    # some k distances a query
+        far = written(_visits(q.join(kth, "qid", "left"), pivots, least, True).drop("tau"), "knn-second")
+        cand = cand.unionByName(_tiles(far, b, pivots, k, block, exclude_self))
     cand = cand.withColumn("distance", F.round("d", places))
     w = Window.partitionBy("qid").orderBy("distance", "nid")
     out = cand.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).drop("d")
     return out if carry else out.drop("_y")
 
 
+def knn_approx(query: DataFrame, base: DataFrame, features, k: int = 5, query_key: str = "Customer_ID", base_key: str = "Customer_ID",
+               tables: int = 6, sample: int = 256, widen: float = 2.0, seed: int = 17, exclude_self: bool = False, places: int = 9) -> DataFrame:
+    """(qid, nid, distance, rank): approximate euclidean neighbours by Spark's random-projection hashing.
+
+    A sample of at most ``sample`` queries, chosen by a hash of their key, is
+    searched exactly; the largest of their k-th distances bounds the join, and
+    buckets are ``widen`` times as long. Queries in thinner regions can have
+    fewer than k rows: this is the approximate choice, ``knn_topk`` the exact one.
+    """
+    from pyspark.ml.feature import BucketedRandomProjectionLSH, VectorAssembler
+    few = query.orderBy(F.xxhash64(F.col(query_key)), query_key).limit(sample)
+    near = knn_topk(few, base, features, k, "euclidean", query_key=query_key, base_key=base_key, exclude_self=exclude_self)
+    reach = near.agg(F.max("distance")).first()[0]
+    if reach is None:
+        return near
+    reach = float(reach) * (1 + 1e-9) + 1e-9
+    va = VectorAssembler(inputCols=list(features), outputCol="v")
+    q = va.transform(query.select(F.col(query_key).alias("qid"), *[F.col(c).cast("double").alias(c) for c in features])).select("qid", "v")
+    b = va.transform(base.select(F.col(base_key).alias("nid"), *[F.col(c).cast("double").alias(c) for c in features])).select("nid", "v")
+    model = BucketedRandomProjectionLSH(inputCol="v", outputCol="h", bucketLength=widen * reach, numHashTables=tables, seed=seed).fit(b)
+    j = model.approxSimilarityJoin(q, b, reach, "d").select(F.col("datasetA.qid").alias("qid"), F.col("datasetB.nid").alias("nid"), F.round("d", places).alias("distance"))
+    if exclude_self:
+        j = j.where(~F.col("qid").eqNullSafe(F.col("nid")))
+    w = Window.partitionBy("qid").orderBy("distance", "nid")
+    return j.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("qid", "nid", "distance", "rank")
+
+
 def knn_proba(topk: DataFrame, base: DataFrame, label: str = "Left", base_key: str = "Customer_ID",
               weights: str = "uniform", k: int | None = None, places: int = 9) -> DataFrame:
     """K2: (qid, proba, pred) from the neighbour table.

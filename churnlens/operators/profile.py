@@ -140,6 +140,16 @@ def box_stats(df: DataFrame, col: str, by=(), k: float = 1.5) -> DataFrame:
     return j.groupBy(*[data[c].alias(c) for c in by], *fcols).agg(*stats)
 
 
+def box_outliers(df: DataFrame, col: str, by=(), key: str = "Customer_ID", k: float = 1.5) -> DataFrame:
+    """A10: the rows that a box plot draws as points: group, key and value of each row outside its group's fence."""
+    by = [by] if isinstance(by, str) else list(by)
+    f = box_stats(df, col, by, k).select(*[F.col(c).alias(f"_by_{c}") for c in by], "lower_fence", "upper_fence")
+    d = df.select(*by, key, F.col(col).cast("double").alias(col)).where(F.col(col).isNotNull())
+    cond = [F.col(c).eqNullSafe(F.col(f"_by_{c}")) for c in by]
+    j = d.join(f, cond) if by else d.select("*", *[f.select(c).scalar().alias(c) for c in ("lower_fence", "upper_fence")])
+    return j.where((F.col(col) < F.col("lower_fence")) | (F.col(col) > F.col("upper_fence"))).select(*by, key, col)
+
+
 def box_facets(df: DataFrame, cols, by: str = "Left") -> DataFrame:
     """A10 over U2: one box per (variable, class)."""
     long = melt(df, [by], cols)

@@ -4,12 +4,15 @@ A window with no partition keys moves every row into one task. Instead the
 rows get a *bucket* that respects the sort order (hash prefix for hash order,
 approximate-quantile bounds for value order). Per-bucket totals form a small
 table (groups x buckets rows); a running sum over it gives each bucket its
-offset, and a window partitioned by (group, bucket) finishes the job. Equal
-leading order values always share a bucket, so ties stay together.
+offset, and a window partitioned by (group, bucket) finishes the job. A bucket
+that one frequent leading value overfills is cut again by bounds of the next
+order column, so that value is no single task.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
@@ -35,8 +38,8 @@ def _as_number(df: DataFrame, col: str) -> Column:
 
 
 def value_bucket(df: DataFrame, col: str, n_buckets: int | None = None,
-                 descending: bool = False, out: str = "_bk") -> DataFrame:
-    """Add bucket column ``out`` from approximate quantile bounds of ``col``.
+                 descending: bool = False, out: str = "_bk") -> tuple[DataFrame, int]:
+    """Add bucket column ``out`` from approximate quantile bounds of ``col``; also the number of rows (0 if not counted).
 
     The bounds are one small job that counts the rows, too: unless given, the
     number of buckets follows the count. Only that bounded list of numbers
@@ -56,7 +59,9 @@ def value_bucket(df: DataFrame, col: str, n_buckets: int | None = None,
     if n_buckets is None:       # thin the bounds out to the buckets that the rows need
         need = min(len(probs) + 1, -(-n // ROWS_PER_BUCKET))
         fine = [fine[len(fine) * i // need] for i in range(1, need)] if fine else []
-    bounds = sorted(set(float(v) for v in (fine or []) if v is not None and abs(v) != float("inf")))
+    fine = [float(v) for v in (fine or []) if v is not None and abs(v) != float("inf")]
+    # a value that is several bounds fills buckets on its own: it gets one to itself
+    bounds = sorted({*fine, *[math.nextafter(v, math.inf) for v in set(fine) if fine.count(v) > 1]})
     splits = [float("-inf"), *bounds, float("inf")]
     if bounds:
         b = Bucketizer(splits=splits, inputCol=tmp, outputCol=out + "_d", handleInvalid="keep").transform(with_x)
@@ -65,7 +70,50 @@ def value_bucket(df: DataFrame, col: str, n_buckets: int | None = None,
     idx = F.when(F.col(tmp).isNull(), -1).when(F.isnan(tmp), len(splits)).otherwise(F.col(out + "_d").cast("int"))
     if descending:
         idx = F.lit(len(splits)) - idx
-    return b.withColumn(out, idx).drop(tmp, out + "_d")
+    return b.withColumn(out, idx).drop(tmp, out + "_d"), n
+
+
+def _refined(b: DataFrame, first: str, second: str, descending: bool, limit: int) -> DataFrame:
+    """``b`` with buckets that hold one value of ``first``, and over twice ``limit`` rows, cut by bounds of ``second``.
+
+    Every such bucket is an interval [h, h + 1) of one number line, on which its
+    rows lie in the order of ``second`` (nulls lowest, NaN highest); the bounds
+    of all of them are one list, and a row's place among them one search.
+    """
+    from pyspark.ml.feature import Bucketizer
+    heavy = b.groupBy("_bk").agg(F.count(F.lit(1)).alias("n"), F.min(first).alias("lo"), F.max(first).alias("hi")) \
+        .where((F.col("n") > 2 * limit) & F.col("lo").eqNullSafe(F.col("hi"))).select("_bk", "n").collect()     # MAX_BUCKETS rows at most
+    if not heavy:
+        return b
+    spark = b.sparkSession
+    h = F.broadcast(spark.createDataFrame([(r["_bk"], float(i)) for i, r in enumerate(heavy)], f"_bk {b.schema['_bk'].dataType.simpleString()}, _h double"))
+    x = b.join(h, "_bk", "left").withColumn("_x", _as_number(b, second))
+    seen = F.col("_h").isNotNull() & F.col("_x").isNotNull() & ~F.isnan("_x") & (F.abs("_x") != float("inf"))
+    ends = F.broadcast(x.where(seen).groupBy("_h").agg(F.min("_x").alias("_lo"), F.max("_x").alias("_hi")))
+    x = x.join(ends, "_h", "left")
+    inside = F.coalesce(F.try_divide(F.col("_x") - F.col("_lo"), F.col("_hi") - F.col("_lo")), F.lit(0.0)) / 2 + 0.25
+    place = F.when(F.col("_x").isNull(), 0.1).when(F.isnan("_x"), 0.9).otherwise(F.least(F.greatest(inside, F.lit(0.2)), F.lit(0.8)))
+    x = x.withColumn("_z", F.coalesce(F.col("_h") + place, F.lit(-1.0)))
+    need = -(-max(r["n"] for r in heavy) // limit)
+    cuts = x.where("_h is not null").groupBy("_h").agg(F.percentile_approx("_z", [i / need for i in range(1, need)], _SKETCH_ACCURACY).alias("q")).collect()
+    splits = sorted({float("-inf"), float("inf"), *[float(i) for i in range(len(heavy))], *[v for r in cuts for v in r["q"]]})
+    sub = Bucketizer(splits=splits, inputCol="_z", outputCol="_sub", handleInvalid="keep").transform(x)
+    at = F.col("_sub").cast("long")
+    at = F.lit(len(splits)) - at if descending else at
+    return sub.withColumn("_bk", F.col("_bk").cast("long") * (len(splits) + 1) + at).drop("_h", "_x", "_lo", "_hi", "_z", "_sub")
+
+
+def _bucketed(df: DataFrame, order_cols, n_buckets: int | None, descending: bool, bucket: Column | None) -> DataFrame:
+    """``df`` with ``_bk``: the given bucket, or value bounds of the first order column, cut further by the second."""
+    if bucket is not None:
+        return df.withColumn("_bk", bucket)
+    if not isinstance(order_cols[0], str):
+        raise ValueError("give `bucket` when ordering by an expression")
+    b, n = value_bucket(df, order_cols[0], n_buckets, descending)
+    if len(order_cols) < 2 or not isinstance(order_cols[1], str):
+        return b
+    limit = ROWS_PER_BUCKET if n_buckets is None else max(1, -(-(n or df.count()) // n_buckets))
+    return _refined(b, order_cols[0], order_cols[1], descending, limit) if n_buckets or (n or 0) > 2 * limit else b
 
 
 def _order_exprs(order_cols, descending):
@@ -104,13 +152,7 @@ def global_rank(df: DataFrame, order_cols, group_cols=(), descending: bool = Fal
     order column. ``total`` optionally names a column with the group size.
     """
     cols = df.columns
-    if bucket is None:
-        first = order_cols[0] if isinstance(order_cols[0], str) else None
-        if first is None:
-            raise ValueError("give `bucket` when ordering by an expression")
-        b = value_bucket(df, first, n_buckets, descending)
-    else:
-        b = df.withColumn("_bk", bucket)
+    b = _bucketed(df, order_cols, n_buckets, descending, bucket)
     j = _with_offsets(b, group_cols, {"n": F.lit(1)})
     w = Window.partitionBy(*group_cols, "_bk").orderBy(*_order_exprs(order_cols, descending))
     sel = [F.col(c) for c in cols] + [(F.col("_off_n") + F.row_number().over(w)).cast("bigint").alias(out)]
@@ -128,11 +170,7 @@ def global_cumsum(df: DataFrame, order_cols, sum_cols, group_cols=(), descending
     pass a unique order (pre-aggregate ties first) when ties matter.
     """
     cols = df.columns
-    if bucket is None:
-        first = order_cols[0] if isinstance(order_cols[0], str) else None
-        b = value_bucket(df, first, n_buckets, descending)
-    else:
-        b = df.withColumn("_bk", bucket)
+    b = _bucketed(df, order_cols, n_buckets, descending, bucket)
     sums = {c: F.col(c) for c in sum_cols}
     j = _with_offsets(b, group_cols, sums)
     w = (Window.partitionBy(*group_cols, "_bk").orderBy(*_order_exprs(order_cols, descending))

@@ -9,13 +9,20 @@ positive class. Second-order boosting is not reproduced: compare AUC.
 
 from __future__ import annotations
 
+import itertools
+import uuid
+from concurrent.futures import ThreadPoolExecutor
+
+import numpy as np
+import pandas as pd
 from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from churnlens.session import checkpoint_dir
+from churnlens.operators import metrics as M
+from churnlens.session import checkpoint_dir, scratch_path, ship_package, write_table, written
 
 # The reference's tuned booster.
 BEST = dict(max_depth=3, learning_rate=0.05, n_estimators=200, subsample=1.0, colsample=0.8)
@@ -55,39 +62,147 @@ def tree_importance(model, features, spark) -> DataFrame:
     return spark.createDataFrame(rows, "feature string, importance double").orderBy(F.col("importance").desc())
 
 
-# The reference's two tree grids, for tuning (108 points) and for the rebalancing experiment (162).
-TUNING_GRID = dict(max_depth=[3, 5, 7], learning_rate=[0.1, 0.01, 0.05], n_estimators=[100, 200, 300],
-                   subsample=[0.8, 1.0], colsample=[0.8, 1.0])
-REBALANCING_GRID = dict(max_depth=[3, 4, 5], learning_rate=[0.01, 0.05, 0.1], n_estimators=[100, 200],
-                        subsample=[0.8, 0.9, 1.0], colsample=[0.8, 0.9, 1.0])
-# Two points, for the registered query: every fit is a distributed job.
-SMALL_GRID = dict(max_depth=[3, 4], learning_rate=[0.1], n_estimators=[20], subsample=[1.0], colsample=[0.8])
-
-
-def gbt_grid(train: DataFrame, features, label: str = "Left", fold_col: str = "fold", grid=TUNING_GRID,
-             parallelism: int = 4, seed: int = 17) -> DataFrame:
-    """V1 for trees: ``CrossValidator`` over a fold column, AUC with exact
-    ranks (numBins=0); one row per grid point with the mean fold AUC."""
-    from pyspark.ml.evaluation import BinaryClassificationEvaluator
-    from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
-    checkpoint_dir(train.sparkSession)
-    d = assemble(train, features).withColumn("label", F.col(label).cast("double")) \
-        .withColumn(fold_col, F.col(fold_col).cast("int"))
-    gbt = GBTClassifier(seed=seed, maxBins=64)
-    strat = [("all" if c >= 1 else str(c)) for c in grid["colsample"]]
-    pg = (ParamGridBuilder().addGrid(gbt.maxDepth, grid["max_depth"]).addGrid(gbt.stepSize, grid["learning_rate"])
-          .addGrid(gbt.maxIter, grid["n_estimators"]).addGrid(gbt.subsamplingRate, grid["subsample"])
-          .addGrid(gbt.featureSubsetStrategy, strat).build())
-    ev = BinaryClassificationEvaluator(metricName="areaUnderROC", numBins=0)
-    n_folds = d.select(fold_col).distinct().count()
-    cv = CrossValidator(estimator=gbt, estimatorParamMaps=pg, evaluator=ev, foldCol=fold_col, numFolds=n_folds,
-                        parallelism=parallelism, seed=seed)
-    m = cv.fit(d)
+# ---- the fitted ensemble as a table ------------------------------------------
+
+def node_table(model) -> DataFrame:
+    """One row per node of a fitted ensemble: ``tree``, ``weight``, ``node``, ``feature`` (null for a leaf), ``threshold``
+    (left if at most), ``left``, ``right``, ``prediction``, ``gain`` and ``count`` (rows that reached it).
+
+    Spark saves an ensemble as such a table; it is written beside the
+    checkpoints and read from there.
+    """
+    spark = SparkSession.active()
+    path = scratch_path(spark, f"trees-{uuid.uuid4().hex}")
+    model.write().overwrite().save(path)
+    d, meta = spark.read.parquet(f"{path}/data"), spark.read.parquet(f"{path}/treesMetadata").toDF("tree", "metadata", "weight")
+    leaf = F.col("nodeData.leftChild") < 0
+    nodes = d.select(F.col("treeID").alias("tree"), F.col("nodeData.id").alias("node"), F.when(~leaf, F.col("nodeData.split.featureIndex")).alias("feature"),
+                     F.when(~leaf, F.col("nodeData.split.leftCategoriesOrThreshold")[0]).alias("threshold"), F.when(~leaf, F.col("nodeData.leftChild")).alias("left"),
+                     F.when(~leaf, F.col("nodeData.rightChild")).alias("right"), F.col("nodeData.prediction").alias("prediction"),
+                     F.when(~leaf, F.col("nodeData.gain")).alias("gain"), F.col("nodeData.rawCount").alias("count"))
+    return nodes.join(meta.select("tree", "weight"), "tree")
+
+
+def split_gain(nodes: DataFrame, features) -> DataFrame:
+    """V6 as the reference's booster counts it: per feature the number of splits, their average gain, and its share.
+
+    A split's gain is its decrease of impurity times the rows that it parts;
+    features without a split have gain 0.
+    """
+    names = nodes.sparkSession.createDataFrame(list(enumerate(features)), "feature int, name string")
+    g = nodes.where("feature is not null").groupBy("feature").agg(F.count(F.lit(1)).alias("n_splits"), F.avg(F.col("gain") * F.col("count")).alias("average_gain"))
+    j = names.join(g, "feature", "left").select(F.col("name").alias("feature"), F.coalesce("n_splits", F.lit(0)).alias("n_splits"), F.coalesce("average_gain", F.lit(0.0)).alias("average_gain"))
+    total = j.agg(F.sum("average_gain")).scalar()
+    return j.withColumn("importance", F.coalesce(F.try_divide(F.col("average_gain"), total), F.lit(0.0)))
+
+
+def importances(model, features, spark) -> DataFrame:
+    """Both importances side by side: Spark's (gain summed by tree, normalised) and the average gain."""
+    return tree_importance(model, features, spark).withColumnRenamed("importance", "summed_gain").join(
+        split_gain(node_table(model), features).withColumnRenamed("importance", "gain_share"), "feature").orderBy(F.col("gain_share").desc(), "feature")
+
+
+class StagedTrees:
+    """The trees of an ensemble as arrays, small enough for every task: trees x nodes numbers."""
+
+    def __init__(self, nodes: DataFrame):
+        rows = nodes.orderBy("tree", "node").toPandas()       # the model itself
+        self.trees = []
+        for _, t in rows.groupby("tree", sort=True):
+            at = {n: i for i, n in enumerate(t["node"])}
+            leaf = t["feature"].isna().to_numpy()
+            child = lambda c: np.array([at[int(x)] if not pd.isna(x) else i for i, x in enumerate(t[c])], dtype=np.int32)  # noqa: E731, B023
+            self.trees.append((float(t["weight"].iloc[0]), t["feature"].fillna(0).to_numpy(np.int32), np.where(leaf, np.inf, t["threshold"].fillna(0).to_numpy(np.float64)),
+                               child("left"), child("right"), t["prediction"].to_numpy(np.float64)))
+
+    def margins(self, x: np.ndarray, stages) -> np.ndarray:
+        """Log-odds of class 1 after the first k trees, for each k of ``stages``: one column each."""
+        out, total, done = np.empty((len(x), len(stages))), np.zeros(len(x)), 0
+        order = np.argsort(stages, kind="stable")
+        for s in order:
+            for weight, feature, threshold, left, right, prediction in self.trees[done:stages[s]]:
+                at = np.zeros(len(x), dtype=np.int32)
+                while True:
+                    go = np.where(x[np.arange(len(x)), feature[at]] <= threshold[at], left[at], right[at])
+                    if (go == at).all():
+                        break
+                    at = go
+                total += weight * prediction[at]
+            done = max(done, min(stages[s], len(self.trees)))
+            out[:, s] = 2 * total
+        return out
+
+
+def staged_scores(model, df: DataFrame, features, stages) -> DataFrame:
+    """``df`` with ``margins``: the log-odds after each of ``stages`` trees, all in one pass."""
+    ship_package(df.sparkSession)
+    shared, stages = df.sparkSession.sparkContext.broadcast(StagedTrees(node_table(model))), list(stages)
+
+    @F.pandas_udf("array<double>")
+    def margins(*cols: pd.Series) -> pd.Series:
+        x = np.column_stack([c.to_numpy(np.float64) for c in cols])
+        return pd.Series(list(shared.value.margins(x, stages)))
+
+    return df.withColumn("margins", margins(*[F.col(c).cast("double") for c in features]))
+
+
+# ---- grids ---------------------------------------------------------------------
+
+# The reference's two tree grids, for tuning (108 points) and for the rebalancing experiment (162),
+# keys in the order in which its library varies them.
+TUNING_GRID = dict(colsample=[0.8, 1.0], learning_rate=[0.1, 0.01, 0.05], max_depth=[3, 5, 7], n_estimators=[100, 200, 300], subsample=[0.8, 1.0])
+REBALANCING_GRID = dict(colsample=[0.8, 0.9, 1.0], learning_rate=[0.01, 0.05, 0.1], max_depth=[3, 4, 5], n_estimators=[100, 200],
+                        subsample=[0.8, 0.9, 1.0])
+
+
+def staged_fits(grid: dict) -> list[dict]:
+    """The fits that a grid needs: one a point of the other parameters, with the most trees asked for."""
+    rest = {k: v for k, v in grid.items() if k != "n_estimators"}
+    return [dict(zip(rest, v)) | {"n_estimators": max(grid["n_estimators"])} for v in itertools.product(*rest.values())]
+
+
+def gbt_grid(train: DataFrame, features, label: str = "Left", fold_col: str = "fold", grid: dict | None = None,
+             parallelism: int = 8, seed: int = 17, prepare=None) -> DataFrame:
+    """V1 for trees: mean and population sd of the fold AUC of every grid point, with ``rank``.
+
+    Boosting adds trees one after the other, so one fit of the most trees
+    serves every number of trees: its prefixes are scored in one pass over the
+    held-out fold. The fits run side by side, ``parallelism`` at a time. Ties
+    go to the first point in the order of the grid's keys. ``prepare(train,
+    held_out)`` may change both parts of a fold (resample, scale) and give a
+    weight for the positive class: it returns (train, held_out, pos_weight).
+    """
+    spark, grid = train.sparkSession, grid or TUNING_GRID
+    checkpoint_dir(spark)
+    folds = sorted(r[0] for r in train.select(F.col(fold_col).cast("int")).distinct().collect())     # k numbers
+    stages, fits = sorted(grid["n_estimators"]), staged_fits(grid)
+    parts = {}
+    for f in folds:
+        tr, va = train.where(F.col(fold_col) != f), train.where(F.col(fold_col) == f)
+        tr, va, weight = prepare(tr, va) if prepare else (tr, va, None)
+        parts[f] = written(tr.select(*features, label), "gbt-train"), written(va.select(*features, label), "gbt-held-out"), weight
+
+    def one(job):
+        i, f = job
+        tr, va, weight = parts[f]
+        model = gbt_fit(tr, features, label, pos_weight=weight, seed=seed, **fits[i])
+        s = staged_scores(model, va, features, stages).select(F.posexplode("margins").alias("stage", "score"), F.col(label).cast("int").alias("y"))
+        return write_table(s.select(F.lit(i).alias("fit"), F.lit(f).alias("fold"), "stage", "y", F.round("score", 9).alias("score")), "gbt-scores")
+
+    with ThreadPoolExecutor(parallelism) as pool:
+        paths = list(pool.map(one, itertools.product(range(len(fits)), folds)))
+    auc = M.auc_by(spark.read.parquet(*paths), "score", "y", ["fit", "stage", "fold"])
+    s = auc.groupBy("fit", "stage").agg(F.round(F.avg("auc"), 12).alias("mean_auc"), F.round(F.stddev_pop("auc"), 9).alias("std_auc"))
     rows = []
-    for pm, auc, sd in zip(pg, m.avgMetrics, m.stdMetrics):
-        p = {k.name: v for k, v in pm.items()}
-        rows.append((p["maxDepth"], float(p["stepSize"]), p["maxIter"], float(p["subsamplingRate"]),
-                     p["featureSubsetStrategy"], float(auc), float(sd)))
-    return train.sparkSession.createDataFrame(
-        rows, "max_depth int, learning_rate double, n_estimators int, subsample double, colsample string, "
-              "mean_auc double, std_auc double").orderBy(F.col("mean_auc").desc())
+    for point, values in enumerate(itertools.product(*grid.values())):
+        p = dict(zip(grid, values))
+        fit = next(i for i, x in enumerate(fits) if all(x[k] == v for k, v in p.items() if k != "n_estimators"))
+        rows.append((point, fit, stages.index(p["n_estimators"]), p["max_depth"], float(p["learning_rate"]), p["n_estimators"], float(p["subsample"]), float(p["colsample"])))
+    named = spark.createDataFrame(rows, "point int, fit int, stage int, max_depth int, learning_rate double, n_estimators int, subsample double, colsample double")
+    return named.join(s, ["fit", "stage"]).drop("fit", "stage").withColumn("rank", F.row_number().over(Window.orderBy(F.col("mean_auc").desc(), "point")))
+
+
+def winner(ranked: DataFrame) -> dict:
+    """The parameters of the point of rank 1, as :func:`gbt_fit` takes them (the refit)."""
+    r = ranked.where("rank = 1").first()
+    return {k: r[k] for k in ("max_depth", "learning_rate", "n_estimators", "subsample", "colsample")}

@@ -1,26 +1,33 @@
 """Tuning and resampled evaluation (V1-V5).
 
-Model fits are Spark jobs; the driver only loops over folds and grid points
-(the reference's worker pool becomes Spark's scheduler). The kNN grid needs
-one top-k pass per metric and fold: every k and both weightings are scored
-from the same neighbour table with one grouped AUC job.
+Scores come first, metrics after: a cross-validation writes one table of
+(model, fold, label, score), whatever the models, and one grouped running sum
+over it gives every fold's AUC, threshold, accuracy and recall. For kNN all
+folds are one neighbour job (rows of the query's own fold are no neighbours),
+every k and both weightings are read off the same neighbours, and a learning
+curve takes its prefixes from the same tiles.
 """
 
 from __future__ import annotations
 
-import math
+from concurrent.futures import ThreadPoolExecutor
+from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from churnlens.functions.expressions import hash_bucket, md5_hex
 from churnlens.operators import metrics as M
-from churnlens.operators.neighbors import knn_proba, knn_topk
-from churnlens.operators.rank import global_rank
+from churnlens.operators.neighbors import _best, _dist, _vectors, knn_proba, knn_topk
+from churnlens.operators.rank import global_cumsum, global_rank
+from churnlens.session import ship_package, written
 
 
-def _folds(df: DataFrame, fold_col: str) -> list:
-    return sorted(r[0] for r in df.select(fold_col).distinct().collect())      # k values
+def fold_sizes(df: DataFrame, fold_col: str = "fold") -> dict[int, int]:
+    """Rows of each fold (k numbers)."""
+    return {int(r[0]): r[1] for r in df.groupBy(F.col(fold_col).cast("int").alias("f")).count().where("f is not null").collect()}
 
 
 def knn_grid(train: DataFrame, features, label: str = "Left", key: str = "Customer_ID", fold_col: str = "fold",
@@ -35,33 +42,35 @@ def knn_grid(train: DataFrame, features, label: str = "Left", key: str = "Custom
     kmax = max(ks)
     cands = None
     for metric in metrics:
-        for f in _folds(train, fold_col):
-            q = train.where(F.col(fold_col) == f)
-            b = train.where(F.col(fold_col) != f)
-            t = knn_topk(q, b, features, k=kmax, metric=metric, query_key=key, base_key=key, carry=label) \
-                .select(F.lit(metric).alias("metric"), F.lit(f).alias(fold_col), "qid", "nid", "distance", "rank",
-                        F.col("_y").cast("int").alias("_y"))
-            cands = t if cands is None else cands.unionByName(t)
+        t = knn_topk(train, train, features, k=kmax, metric=metric, query_key=key, base_key=key, carry=label, apart=fold_col) \
+            .select(F.lit(metric).alias("metric"), "qid", "nid", "distance", "rank", F.col("_y").cast("int").alias("_y"))
+        cands = t if cands is None else cands.unionByName(t)
     # running sums over the ranks of a query: one row a neighbour serves every k (the last one also every larger k)
-    near = Window.partitionBy("metric", fold_col, "qid").orderBy("rank")
+    near = Window.partitionBy("metric", "qid").orderBy("rank")
     upto = near.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     y, d = F.col("_y"), F.col("distance")
-    c = cands.select("metric", fold_col, "qid", "rank", F.lead("rank").over(near).isNull().alias("_last"), (F.sum(y).over(upto) / F.count(F.lit(1)).over(upto)).alias("uniform"),
+    c = cands.select("metric", "qid", "rank", F.lead("rank").over(near).isNull().alias("_last"), (F.sum(y).over(upto) / F.count(F.lit(1)).over(upto)).alias("uniform"),
                      F.sum(F.when(d == 0, 1).otherwise(0)).over(upto).alias("_z"), F.sum(F.when(d == 0, y).otherwise(0)).over(upto).alias("_zy"),
                      F.sum(F.try_divide(y, d)).over(upto).alias("_sy"), F.sum(F.try_divide(F.lit(1.0), d)).over(upto).alias("_s1"))
     own = F.filter(F.array(*[F.lit(k) for k in ks]), lambda k: (k == F.col("rank")) | (F.col("_last") & (k > F.col("rank"))))
-    pr = c.select("metric", fold_col, "qid", F.explode(own).alias("k"), F.round("uniform", 9).alias("uniform"),
+    pr = c.select("metric", "qid", F.explode(own).alias("k"), F.round("uniform", 9).alias("uniform"),
                   F.round(F.when(F.col("_z") > 0, F.try_divide("_zy", "_z")).otherwise(F.try_divide("_sy", "_s1")), 9).alias("distance"))
-    long = pr.select("metric", fold_col, "k", "qid", F.explode(F.array(
+    long = pr.select("metric", "k", "qid", F.explode(F.array(
         *[F.struct(F.lit(w).alias("weights"), F.col(w).alias("proba")) for w in weights])).alias("s")) \
-        .select("metric", fold_col, "k", "qid", "s.*")
-    truth = train.select(F.col(key).alias("qid"), F.col(label).cast("int").alias("y"))
-    a = M.auc_by(long.join(truth, "qid"), "proba", "y", ["metric", "k", "weights", fold_col])
+        .select("metric", "k", "qid", "s.*")
+    truth = train.select(F.col(key).alias("qid"), F.col(fold_col).alias("_f"), F.col(label).cast("int").alias("y"))
+    a = M.auc_by(long.join(truth, "qid"), "proba", "y", ["metric", "k", "weights", "_f"])
     s = a.groupBy("metric", "k", "weights").agg(F.round(F.avg("auc"), 12).alias("mean_auc"), F.round(F.stddev_pop("auc"), 9).alias("std_auc"))
     w = Window.partitionBy().orderBy(F.col("mean_auc").desc(), "metric", "k", "weights")
     return s.withColumn("rank", F.row_number().over(w))
 
 
+def knn_winner(ranked: DataFrame) -> dict:
+    """The parameters of rank 1 (the refit of a kNN is the whole training set)."""
+    r = ranked.where("rank = 1").first()
+    return dict(k=r["k"], weights=r["weights"], metric=r["metric"])
+
+
 def knn_fit_score(k: int = 5, weights: str = "uniform", metric: str = "euclidean", features=None,
                   label: str = "Left", key: str = "Customer_ID"):
     """A (fit, score) pair for a kNN classifier: scoring is the neighbour job."""
@@ -72,91 +81,182 @@ def knn_fit_score(k: int = 5, weights: str = "uniform", metric: str = "euclidean
     return score
 
 
-def cv_with_threshold(df: DataFrame, score_fn, label: str = "Left", fold_col: str = "fold",
-                      model: str = "model") -> DataFrame:
-    """V3: per fold: fit on the other folds, Youden threshold on the held-out
-    fold, accuracy/recall there, AUC; long format (model, fold, metric, value)."""
-    out = None
-    for f in _folds(df, fold_col):
-        tr, va = df.where(F.col(fold_col) != f), df.where(F.col(fold_col) == f)
-        s = score_fn(tr, va)
-        t = F.lit(float(M.youden(s, "proba", label).first()["threshold"]))
-        m = M.metrics_from_counts(M.confusion_counts(s, label, M.apply_threshold(F.col("proba"), t)))
-        a = F.lit(M.auc(s, "proba", label).first()["auc"]).cast("double")
-        row = m.select(F.lit(model).alias("model"), F.lit(f).alias("fold"), F.explode(F.array(
-            F.struct(F.lit("AUC").alias("metric"), a.alias("value")),
-            F.struct(F.lit("Accuracy").alias("metric"), F.col("accuracy").alias("value")),
-            F.struct(F.lit("Recall").alias("metric"), F.col("recall").alias("value")),
-            F.struct(F.lit("Threshold").alias("metric"), t.alias("value")))).alias("s")).select("model", "fold", "s.*")
-        out = row if out is None else out.unionByName(row)
-    return out
+def knn_cv_scores(df: DataFrame, features, k: int, weights: str, metric: str, label: str = "Left", key: str = "Customer_ID",
+                  fold_col: str = "fold", model: str = "KNN") -> DataFrame:
+    """(model, fold, y, score) of every row, from its neighbours in the other folds: one job for all folds."""
+    t = knn_topk(df, df, features, k=k, metric=metric, query_key=key, base_key=key, carry=label, apart=fold_col)
+    p = knn_proba(t, df, label, key, weights=weights)
+    truth = df.select(F.col(key).alias("qid"), F.col(fold_col).cast("int").alias("fold"), F.col(label).cast("int").alias("y"))
+    return p.join(truth, "qid").select(F.lit(model).alias("model"), "fold", "y", F.col("proba").alias("score"))
+
+
+def fold_cv_scores(df: DataFrame, score_fn, label: str = "Left", fold_col: str = "fold", model: str = "model", score: str = "proba",
+                   parallelism: int = 1) -> DataFrame:
+    """The same for any ``score_fn(train, rows)``, one call a fold, ``parallelism`` of them at a time."""
+    def one(f):
+        s = score_fn(df.where(F.col(fold_col) != f), df.where(F.col(fold_col) == f))
+        return s.select(F.lit(model).alias("model"), F.lit(f).alias("fold"), F.col(label).cast("int").alias("y"), F.col(score).cast("double").alias("score"))
+
+    with ThreadPoolExecutor(parallelism) as pool:
+        parts = list(pool.map(one, sorted(fold_sizes(df, fold_col))))
+    return reduce(DataFrame.unionByName, parts)
+
+
+def cv_metrics(scores: DataFrame, model: str = "model", fold: str = "fold") -> DataFrame:
+    """V3: (model, fold, metric, value) from scores of all models and folds, in one pass: AUC, and accuracy and recall at the fold's Youden threshold."""
+    m = M.curve_metrics(scores, "score", "y", [model, fold])
+    return m.select(model, fold, F.explode(F.array(*[F.struct(F.lit(n).alias("metric"), F.col(c).cast("double").alias("value")) for n, c in (
+        ("AUC", "auc"), ("Accuracy", "accuracy"), ("Recall", "recall"), ("Threshold", "threshold"))])).alias("s")).select(model, fold, "s.*")
+
+
+def cv_summary(scores: DataFrame) -> DataFrame:
+    """V3: mean and population sd over the folds, by model and metric."""
+    return cv_metrics(scores).groupBy("model", "metric").agg(F.avg("value").alias("mean"), F.stddev_pop("value").alias("std"))
+
+
+def cross_val_auc(scores: DataFrame) -> DataFrame:
+    """V2: mean of the fold AUCs and +-2 population sd, by model."""
+    a = M.auc_by(scores, "score", "y", ["model", "fold"])
+    return a.groupBy("model").agg(F.avg("auc").alias("mean"), (F.stddev_pop("auc") * 2).alias("plus_minus"))
+
+
+LEARNING_SIZES = tuple(i / 10 for i in range(1, 11))
 
 
-def cross_val_auc(df: DataFrame, score_fn, label: str = "Left", fold_col: str = "fold") -> DataFrame:
-    """V2: fold AUCs with mean and +-2 population sd."""
-    cv = cv_with_threshold(df, score_fn, label, fold_col).where(F.col("metric") == "AUC")
-    return cv.groupBy("model").agg(F.collect_list(F.struct("fold", "value")).alias("folds"),
-                                   F.avg("value").alias("mean"), (F.stddev_pop("value") * 2).alias("plus_minus"))
-
-
-def learning_curve(df: DataFrame, score_fn, label: str = "Left", key: str = "Customer_ID", fold_col: str = "fold",
-                   sizes=(0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 1.0)) -> DataFrame:
-    """V4: train and validation accuracy for growing training sets (the first
-    n rows in key order of the training folds)."""
-    rows = []
-    sizes_by_fold = {r[0]: r[1] for r in df.groupBy(fold_col).count().collect()}    # k numbers
-    total = sum(sizes_by_fold.values())
-    n_max = min(total - c for c in sizes_by_fold.values())    # same absolute sizes for every fold
-    for f in _folds(df, fold_col):
-        tr = global_rank(df.where(F.col(fold_col) != f), [key], out="_pos")
-        va = df.where(F.col(fold_col) == f)
-        for frac in sizes:
-            n = int(frac * n_max)
-            sub = tr.where(F.col("_pos") <= n).drop("_pos")
-            a_tr = _accuracy(score_fn(sub, sub), label).first()[0]
-            a_va = _accuracy(score_fn(sub, va), label).first()[0]
-            rows.append((int(f), n, float(a_tr), float(a_va)))      # folds x sizes numbers
-    out = df.sparkSession.createDataFrame(rows, "fold int, train_size long, train_score double, val_score double")
-    return out.groupBy("train_size").agg(F.avg("train_score").alias("train_mean"),
-                                         F.stddev_pop("train_score").alias("train_std"),
-                                         F.avg("val_score").alias("val_mean"),
-                                         F.stddev_pop("val_score").alias("val_std"))
-
-
-def _accuracy(scored: DataFrame, label: str) -> DataFrame:
-    hit = F.when((F.col("proba") > 0.5).cast("int") == F.col(label).cast("int"), 1.0).otherwise(0.0)
-    return scored.agg(F.avg(hit).alias("acc"))
+def train_sizes(sizes: dict[int, int], fractions=LEARNING_SIZES) -> list[int]:
+    """Absolute training sizes: shares of the smallest training part, the same for every fold."""
+    n_max = sum(sizes.values()) - max(sizes.values())
+    return [int(round(f * n_max, 9)) for f in fractions]
+
+
+def fold_positions(df: DataFrame, key: str, fold_col: str, folds) -> DataFrame:
+    """``df`` with ``_pos``: for each fold the row's place in key order among the rows of the other folds (0 for its own)."""
+    r = df.withColumn("_f", F.col(fold_col).cast("int"))
+    for i, f in enumerate(folds):
+        r = r.withColumn(f"_in{i}", (F.col("_f") != f).cast("long"))
+    c = global_cumsum(r, [key], [f"_in{i}" for i in range(len(folds))])
+    pos = F.array(*[F.when(F.col(f"_in{i}") == 1, F.col(f"cum__in{i}")).otherwise(0) for i in range(len(folds))])
+    return c.select(*df.columns, pos.alias("_pos"))
+
+
+def knn_learning_scores(df: DataFrame, features, k: int, weights: str, metric: str, label: str = "Left", key: str = "Customer_ID",
+                        fold_col: str = "fold", fractions=LEARNING_SIZES, block: int = 2048) -> DataFrame:
+    """(part, fold, train_size, y, score): each training prefix of each fold scored on itself (``train``) and on the fold (``validation``).
+
+    The prefixes are the first rows, in key order, of the other folds. A tile
+    computes each distance once and keeps the k best rows of every prefix that
+    a query belongs to; the labels and distances of a query's prefix travel as
+    two arrays.
+    """
+    ship_package(df.sparkSession)
+    sizes = fold_sizes(df, fold_col)
+    folds = sorted(sizes)
+    ends = np.array(train_sizes(sizes, fractions))
+    d = fold_positions(df, key, fold_col, folds).select(
+        F.col(key).alias("id"), F.array(*[F.col(c).cast("double") for c in features]).alias("v"), F.col(label).cast("int").alias("y"), "_pos",
+        F.col(fold_col).cast("int").alias("f"))
+    d = written(d, "learning-rows")
+    parts = max(1, -(-sum(sizes.values()) // block))
+    at = F.pmod(F.xxhash64("id"), F.lit(parts))
+    every = F.sequence(F.lit(0), F.lit(parts - 1))
+    q = d.withColumn("i", at).withColumn("j", F.explode(every))
+    b = d.withColumn("j", at).withColumn("i", F.explode(every))
+
+    def tile(qdf: pd.DataFrame, bdf: pd.DataFrame) -> pd.DataFrame:
+        bdf = bdf.sort_values("id")
+        qv, bv = _vectors(qdf["v"]), _vectors(bdf["v"])
+        ids, nids, ys = qdf["id"].to_numpy(), bdf["id"].to_numpy(), bdf["y"].to_numpy()
+        qpos, bpos = (np.array(x["_pos"].tolist()) for x in (qdf, bdf))
+        qf = qdf["f"].to_numpy()
+        out = []
+        for s in range(0, len(qv), 256):
+            dist = _dist(qv[s:s + 256], bv, metric, 2.0)
+            for fi, f in enumerate(folds):
+                for n in ends:
+                    asked = (qf[s:s + 256] == f) | ((qpos[s:s + 256, fi] > 0) & (qpos[s:s + 256, fi] <= n))
+                    cols = np.flatnonzero((bpos[:, fi] > 0) & (bpos[:, fi] <= n))
+                    rows = np.flatnonzero(asked)
+                    if not len(rows) or not len(cols):
+                        continue
+                    r, c = _best(dist[np.ix_(rows, cols)], k)
+                    cut = np.flatnonzero(np.diff(r)) + 1
+                    who = r[np.concatenate([[0], cut])] if len(r) else r
+                    out.append(pd.DataFrame({"qid": ids[s:s + 256][rows][who], "fold": f, "train_size": int(n), "d": np.split(dist[rows[r], cols[c]], cut),
+                                             "nid": np.split(nids[cols[c]], cut), "ny": np.split(ys[cols[c]], cut)}))
+        return pd.concat(out, ignore_index=True) if out else pd.DataFrame({"qid": ids[:0], "fold": [], "train_size": [], "d": [], "nid": [], "ny": []})
+
+    kt = df.schema[key].dataType.simpleString()
+    cand = q.groupBy("i", "j").cogroup(b.groupBy("i", "j")).applyInPandas(
+        tile, f"qid {kt}, fold int, train_size long, d array<double>, nid array<{kt}>, ny array<int>")
+    near = F.transform(F.arrays_zip("d", "nid", "ny"), lambda x: F.struct(F.round(x["d"], 9).alias("d"), x["nid"].alias("nid"), x["ny"].alias("y")))
+    best = cand.groupBy("qid", "fold", "train_size").agg(F.slice(F.array_sort(F.flatten(F.collect_list(near))), 1, k).alias("nb"))
+    total = lambda x: F.aggregate(x, F.lit(0.0), lambda a, v: a + v)
+    one = lambda x: total(F.transform(F.col("nb"), x))
+    if weights == "uniform":
+        score = one(lambda x: x["y"].cast("double")) / F.size("nb")
+    else:
+        zero = one(lambda x: (x["d"] == 0).cast("double"))
+        score = F.when(zero > 0, one(lambda x: F.when(x["d"] == 0, x["y"].cast("double")).otherwise(0.0)) / zero).otherwise(
+            F.try_divide(one(lambda x: F.coalesce(F.try_divide(x["y"].cast("double"), x["d"]), F.lit(0.0))),
+                         one(lambda x: F.coalesce(F.try_divide(F.lit(1.0), x["d"]), F.lit(0.0)))))
+    truth = d.select(F.col("id").alias("qid"), "y", "f")
+    j = best.join(truth, "qid")
+    part = F.when(F.col("f") == F.col("fold"), "validation").otherwise("train")
+    return j.select(part.alias("part"), "fold", "train_size", "y", F.round(score, 9).alias("score"))
+
+
+def learning_curve(scores: DataFrame, by: str = "accuracy") -> DataFrame:
+    """V4: mean and population sd over the folds of the train and validation score (accuracy at 0.5, or AUC) by training size."""
+    if by == "auc":
+        v = M.auc_by(scores, "score", "y", ["part", "fold", "train_size"]).withColumnRenamed("auc", "value")
+    else:
+        hit = F.when((F.col("score") > 0.5).cast("int") == F.col("y"), 1).otherwise(0)
+        v = scores.groupBy("part", "fold", "train_size").agg((F.sum(hit) / F.count(F.lit(1))).alias("value"))
+    aggs = []
+    for part, name in (("train", "train"), ("validation", "val")):
+        own = F.when(F.col("part") == part, F.col("value"))
+        aggs += [F.avg(own).alias(f"{name}_mean"), F.stddev_pop(own).alias(f"{name}_std")]
+    return v.groupBy("train_size").agg(*aggs)
+
+
+def fit_learning_scores(df: DataFrame, score_fn, label: str = "Left", key: str = "Customer_ID", fold_col: str = "fold", fractions=LEARNING_SIZES,
+                        score: str = "proba") -> DataFrame:
+    """The scores of a learning curve for any ``score_fn(train, rows)``, two calls a fold and size."""
+    sizes = fold_sizes(df, fold_col)
+    folds, out = sorted(sizes), None
+    d = written(fold_positions(df, key, fold_col, folds), "learning-rows")
+    for i, f in enumerate(folds):
+        for n in train_sizes(sizes, fractions):
+            sub = d.where((F.col("_pos")[i] > 0) & (F.col("_pos")[i] <= n)).drop("_pos")
+            for part, rows in (("train", sub), ("validation", d.where(F.col(fold_col) == f).drop("_pos"))):
+                s = score_fn(sub, rows).select(F.lit(part).alias("part"), F.lit(f).alias("fold"), F.lit(n).cast("long").alias("train_size"),
+                                               F.col(label).cast("int").alias("y"), F.col(score).cast("double").alias("score"))
+                out = s if out is None else out.unionByName(s)
+    return out
 
 
 def permutation_importance(model_fn, df: DataFrame, features, label: str = "Left", key: str = "Customer_ID",
                            repeats: int = 10, seed: int = 17) -> DataFrame:
     """V5: mean and sd of the accuracy drop when one column is permuted.
 
-    All features x repeats permutations are built in one job: the value of
-    column c for the row at key position r comes from the row at position r
-    in the order md5(seed:repeat:c:key); one scoring pass scores them all.
+    One shuffle builds all permutations: the row at key position r takes its
+    value from the row at position r in the order md5(seed:repeat:key), the
+    same for every column of a repeat; one scoring pass scores them all.
     ``model_fn(df)`` must add ``prob``.
     """
-    base = model_fn(df)
-    base_acc = base.agg(F.avg(F.when((F.col("prob") > 0.5).cast("int") == F.col(label).cast("int"), 1.0)
-                              .otherwise(0.0))).scalar()
-    pos = global_rank(df, [key], out="_ra")
-    combos = F.array(*[F.struct(F.lit(c).alias("col"), F.lit(r).alias("rep")) for c in features
-                       for r in range(repeats)])
-    ex = pos.select("*", F.explode(combos).alias("cr")).select("*", "cr.col", "cr.rep").drop("cr")
-    vals = df.select(key, F.explode(F.array(*[F.struct(F.lit(c).alias("col"), F.col(c).cast("double").alias("val"))
-                                             for c in features])).alias("s")).select(key, "s.*")
-    vals = vals.select("*", F.explode(F.array(*[F.lit(r) for r in range(repeats)])).alias("rep"))
-    vals = vals.withColumn("_h", md5_hex(seed, "rep", "col", key))
-    hr = global_rank(vals, ["_h"], group_cols=["col", "rep"], bucket=hash_bucket(F.col("_h"), 4), out="_ra") \
-        .select("col", "rep", "_ra", F.col("val").alias("_pval"))
-    j = ex.join(hr, ["col", "rep", "_ra"])
-    for c in features:
-        j = j.withColumn(c, F.when(F.col("col") == c, F.col("_pval")).otherwise(F.col(c).cast("double")))
-    sc = model_fn(j.drop("_pval", "_ra"))
-    acc = sc.groupBy("col", "rep").agg(F.avg(F.when((F.col("prob") > 0.5).cast("int") == F.col(label).cast("int"),
-                                                    1.0).otherwise(0.0)).alias("acc"))
-    drop = acc.select("col", "rep", (base_acc - F.col("acc")).alias("drop"))
-    return drop.groupBy(F.col("col").alias("feature")).agg(F.avg("drop").alias("importance_mean"),
-                                                          F.stddev_pop("drop").alias("importance_std")) \
+    feats = F.array(*[F.col(c).cast("double") for c in features])
+    hit = F.when((F.col("prob") > 0.5).cast("int") == F.col(label).cast("int"), 1.0).otherwise(0.0)
+    base_acc = model_fn(df).agg(F.avg(hit)).scalar()
+    # one order a repeat serves all columns: each row meets the row at its place in that order, with all its values
+    reps = F.explode(F.array(*[F.lit(r) for r in range(repeats)])).alias("_rep")
+    own = global_rank(df.select(key, label, *features), [key], out="_ra").select("*", reps)
+    other = df.select(F.col(key), feats.alias("_other")).select(key, "_other", reps).withColumn("_h", md5_hex(seed, "_rep", key))
+    other = global_rank(other, ["_h"], group_cols=["_rep"], bucket=hash_bucket(F.col("_h"), 4), out="_ra").select("_rep", "_ra", "_other")
+    j = own.join(other, ["_rep", "_ra"]).select("*", F.explode(F.array(*[F.lit(c) for c in features])).alias("_col"))
+    for i, c in enumerate(features):
+        j = j.withColumn(c, F.when(F.col("_col") == c, F.col("_other")[i]).otherwise(F.col(c).cast("double")))
+    acc = model_fn(j.drop("_other", "_ra")).groupBy("_col", "_rep").agg(F.avg(hit).alias("acc"))
+    drop = acc.select("_col", "_rep", (base_acc - F.col("acc")).alias("drop"))
+    return drop.groupBy(F.col("_col").alias("feature")).agg(F.avg("drop").alias("importance_mean"),
+                                                            F.stddev_pop("drop").alias("importance_std")) \
         .orderBy(F.col("importance_mean").asc())

@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from churnlens.operators import clean as C
 from churnlens.plans.oracle_sql import CLEAN, ENC, RAW, with_
 from churnlens.plans.registry import register
-from churnlens.session import scratch_path
+from churnlens.session import inputs_key, stored
 from churnlens.sources.fixtures import branches, churn_raw
 from churnlens.sources.io import tag_and_append
 
@@ -34,24 +32,15 @@ def in_range(spark, sf):
     return C.keep_range(deduped(spark, sf), "Score")
 
 
-_OUTPUTS: dict = {}
-
-
 def clean(spark, sf):
     """The cleaned table as the analysis steps read it.
 
     Like the reference (clean once, write the output table, analyse that
-    file), the chain runs once per session and sf, is written as Parquet to
-    the shared checkpoint folder, and is read back. This also cuts the
-    lineage the later jobs would otherwise recompute.
+    file), the chain runs once per session and input files, is written as
+    Parquet to the shared checkpoint folder, and is read back. This also cuts
+    the lineage the later jobs would otherwise recompute.
     """
-    key = (spark.sparkContext.applicationId, sf)
-    path = _OUTPUTS.get(key)
-    if path is None:
-        path = scratch_path(spark, f"clean-{uuid.uuid4().hex}")
-        C.clean_table(raw(spark, sf)).write.mode("overwrite").parquet(path)
-        _OUTPUTS[key] = path
-    return spark.read.parquet(path)
+    return stored(spark, "clean", inputs_key(spark, sf), lambda: C.clean_table(raw(spark, sf)))
 
 
 @register("tag_append", with_(RAW, "SELECT * FROM craw"))

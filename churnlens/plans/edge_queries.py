@@ -11,7 +11,7 @@ from churnlens.operators import metrics as M
 from churnlens.operators import prepare as X
 from churnlens.operators import profile as P
 from churnlens.operators.clean import below, below_sql, encode_gender
-from churnlens.operators.explain import background_sample, shapley
+from churnlens.operators.explain import background_sample, shapley, shapley_sampled
 from churnlens.operators.rank import global_rank
 from churnlens.plans.clean_queries import clean, raw
 from churnlens.plans.model_prep_queries import scored
@@ -257,14 +257,27 @@ def q_logit_fit_binary(spark, sf):
 _LINEAR = {"Age": 0.5, "Tenure": -1.25, "Products_in_Use": 3.0}
 
 
-@register("shapley_linear", with_(CLEAN + f""",
+_LINEAR_SQL = with_(CLEAN + f""",
 bg AS (SELECT {', '.join(f'AVG({c}) AS m_{c}' for c in _LINEAR)} FROM (SELECT * FROM clean ORDER BY {md5_hex(17, 'Customer_ID')} LIMIT 100)),
 w AS (SELECT Customer_ID, {', '.join(f'{b} * ({c} - m_{c}) AS p_{c}' for c, b in _LINEAR.items())},
              {' + '.join(f'{b} * m_{c}' for c, b in _LINEAR.items())} AS base_value,
              {' + '.join(f'{b} * {c}' for c, b in _LINEAR.items())} AS margin FROM clean, bg)""",
-    "\nUNION ALL\n".join(f"SELECT Customer_ID, '{c}' AS feature, ROUND(p_{c}, 6) AS phi, ROUND(base_value, 6) AS base_value, ROUND(CAST(margin AS DOUBLE), 6) AS margin FROM w" for c in _LINEAR)))
+    "\nUNION ALL\n".join(f"SELECT Customer_ID, '{c}' AS feature, ROUND(p_{c}, 6) AS phi, ROUND(base_value, 6) AS base_value, ROUND(CAST(margin AS DOUBLE), 6) AS margin FROM w" for c in _LINEAR))
+
+
+@register("shapley_linear", _LINEAR_SQL)
 def q_shapley_linear(spark, sf):
     d = clean(spark, sf)
     linear = sum((F.col(c) * b for c, b in _LINEAR.items()), F.lit(0.0))
     out = shapley(lambda x: x.withColumn("margin", linear), d, background_sample(d), list(_LINEAR))
     return out.select("Customer_ID", "feature", *[(F.round(c, 6) + 0.0).alias(c) for c in ("phi", "base_value", "margin")])
+
+
+@register("shapley_sampled_linear", _LINEAR_SQL)
+def q_shapley_sampled_linear(spark, sf):
+    """The sampled attributions of an additive model are its exact ones: every background row serves as many pairs."""
+    d = clean(spark, sf)
+    linear = sum((F.col(c) * b for c, b in _LINEAR.items()), F.lit(0.0))
+    out = shapley_sampled(lambda x: x.withColumn("margin", linear), d, background_sample(d), list(_LINEAR))
+    return out.select("Customer_ID", "feature", *[(F.round(c, 6) + 0.0).alias(c) for c in ("phi", "base_value", "margin")])
+

@@ -9,7 +9,7 @@ from churnlens.operators import prepare as X
 from churnlens.plans.clean_queries import clean
 from churnlens.plans.oracle_sql import BASE, CLEAN, FEATURES, md5_hex, with_
 from churnlens.plans.registry import register
-from churnlens.session import materialize
+from churnlens.session import inputs_key, stored
 from churnlens.sources.fixtures import churn_base
 
 MONEY = {"Salary": 2, "Balance": 2}
@@ -73,9 +73,11 @@ st AS (SELECT {stats} FROM split WHERE is_test = 0)""", f'SELECT Customer_ID, "L
 
 def scaled_split(spark, sf, seed=SEED):
     """Split + scaler fitted on the training rows; written once per session."""
-    s = split_df(spark, sf, seed)
-    model = X.fit_scaler(s.where("is_test = 0"), FEATURES, MONEY)
-    return materialize(model.transform(s), "scaled-split", (sf, seed))
+    def make():
+        s = split_df(spark, sf, seed)
+        return X.fit_scaler(s.where("is_test = 0"), FEATURES, MONEY).transform(s)
+
+    return stored(spark, "scaled-split", (inputs_key(spark, sf), seed), make)
 
 
 @register("scale", _scale_sql())

@@ -168,6 +168,15 @@ def q_box_by_source(spark, sf):
     return P.box_stats(long, "value", ["variable", "Source"])
 
 
+@register("box_outlier_rows", "WITH " + CLEAN + """,
+qq AS (SELECT Source, quantile_cont(Salary, 0.25) AS q1, quantile_cont(Salary, 0.75) AS q3 FROM clean GROUP BY Source)
+SELECT clean.Source, Customer_ID, Salary FROM clean JOIN qq USING (Source)
+WHERE Salary < ROUND(q1 - 1.5 * (q3 - q1), 6) OR Salary > ROUND(q3 + 1.5 * (q3 - q1), 6)""")
+def q_box_outlier_rows(spark, sf):
+    """The points of the box plot of salary by branch."""
+    return P.box_outliers(clean(spark, sf), "Salary", "Source")
+
+
 _MELT6 = _union([f"SELECT \"Left\", '{c}' AS variable, CAST({c} AS DOUBLE) AS value FROM clean" for c in NUM6])
 
 

@@ -5,9 +5,10 @@ from __future__ import annotations
 import os
 import re
 import tempfile
+import uuid
 import zipfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
@@ -85,18 +86,41 @@ def ship_package(spark: SparkSession) -> None:
     _SHIPPED.add(key)
 
 
-_TABLES: dict = {}
+def write_table(df: DataFrame, name: str) -> str:
+    """Write ``df`` to a fresh folder beside the checkpoints; its path."""
+    path = scratch_path(df.sparkSession, f"{name}-{uuid.uuid4().hex}")
+    df.write.parquet(path)
+    return path
 
 
-def materialize(df, name: str, key=None):
-    """Write ``df`` once per session and key to the shared checkpoint folder
-    and return the re-read table (cuts lineage; survives executor loss)."""
-    spark = df.sparkSession
+def written(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written and read again: cuts the lineage, survives executor loss."""
+    return df.sparkSession.read.schema(df.schema).parquet(write_table(df, name))
+
+
+def inputs_key(spark: SparkSession, sf_dir: str) -> tuple:
+    """What identifies the tables in a folder: names, lengths and times of the files below it (two levels), on any store."""
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    at = hadoop.Path(sf_dir)
+    fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    seen = []
+    for f in fs.listStatus(at):
+        for g in fs.listStatus(f.getPath()) if f.isDirectory() else [f]:
+            seen.append((g.getPath().toString(), g.getLen(), g.getModificationTime()))
+    return (sf_dir, *sorted(seen))
+
+
+_ONCE: dict = {}
+
+
+def once(spark: SparkSession, name: str, key, build):
+    """What ``build()`` gives, kept for the session by name and key (paths of written tables, fitted models)."""
     k = (spark.sparkContext.applicationId, name, key)
-    path = _TABLES.get(k)
-    if path is None:
-        import uuid
-        path = scratch_path(spark, f"{name}-{uuid.uuid4().hex}")
-        df.write.mode("overwrite").parquet(path)
-        _TABLES[k] = path
-    return spark.read.parquet(path)
+    if k not in _ONCE:
+        _ONCE[k] = build()
+    return _ONCE[k]
+
+
+def stored(spark: SparkSession, name: str, key, make) -> DataFrame:
+    """The table that ``make()`` gives, made and written once per session, name and key."""
+    return spark.read.parquet(once(spark, f"table {name}", key, lambda: write_table(make(), name)))

@@ -226,7 +226,7 @@ def test_mlp_learns_planted_signal(spark):
     pdf = pd.DataFrame({"Customer_ID": np.arange(2000), "a": X[:, 0], "b": X[:, 1], "c": X[:, 2], "Left": y})
     df = spark.createDataFrame(pdf)
     m = mlp_fit(df, ["a", "b", "c"], "Left", hidden=(16,), activation="tanh", learning_rate=0.01, max_iter=15,
-                n_partitions=2)
+                shards=2)
     assert M.auc(m.transform(df), "prob", "Left").first()["auc"] > 0.85
 
 
