@@ -9,25 +9,36 @@ from pyspark.sql import functions as F
 from churnlens.llm.common import crc_mod_sql, id_text
 
 
-def sample(docs: DataFrame, labels: DataFrame, label: str, per_label: int, mod: int, held_out: int,
-           id_col: str = "doc_id", text_col: str = "text", carry: str | None = None) -> tuple[pd.DataFrame, dict[int, int]]:
-    """At most ``per_label`` documents of each label, by a hash of their id, and the number of all labelled ones.
+def picked(docs: DataFrame, labels: DataFrame, label: str, per_label: int, mod: int, held_out: int, id_col: str = "doc_id") -> tuple[dict[int, int], dict[int, int]]:
+    """Label by id of at most ``per_label`` documents of each label, by a hash of their id, and the number of all labelled ones.
 
     Only rows whose crc32 of the id modulo ``mod`` is not ``held_out`` count.
-    Null ids and null labels do not; an id with several labels has the largest,
-    one with several texts the smallest. The bound holds for the rows that
-    reach the driver: columns ``doc_id``, ``y``, ``text`` and ``carry``.
+    Null ids and null labels do not; an id with several labels has the largest.
     """
     lab = labels.select(F.col(id_col).cast("long").alias("doc_id"), F.col(label).cast("int").alias("y")).dropna()
     lab = lab.where(crc_mod_sql("doc_id", mod) != held_out).groupBy("doc_id").agg(F.max("y").alias("y"))
     lab = lab.join(docs.select(F.col(id_col).cast("long").alias("doc_id")).distinct(), "doc_id", "left_semi")
     counts = {int(r["y"]): int(r["count"]) for r in lab.groupBy("y").count().collect()}  # one row a label
-    picked = [r for y in counts for r in lab.where(F.col("y") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_label).collect()]
-    y = {r["doc_id"]: r["y"] for r in picked}
+    rows = [r for y in counts for r in lab.where(F.col("y") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_label).collect()]
+    return {r["doc_id"]: r["y"] for r in rows}, counts
+
+
+def order_of(ids: pd.Series) -> pd.Series:
+    """The key by which a sample is ordered: a hash of the id."""
+    return ids.map(lambda i: (int(i) * 2654435761) % 2**32)
+
+
+def sample(docs: DataFrame, labels: DataFrame, label: str, per_label: int, mod: int, held_out: int,
+           id_col: str = "doc_id", text_col: str = "text", carry: str | None = None) -> tuple[pd.DataFrame, dict[int, int]]:
+    """The documents of :func:`picked`, and the number of all labelled ones.
+
+    An id with several texts has the smallest. The bound holds for the rows
+    that reach the driver: columns ``doc_id``, ``y``, ``text`` and ``carry``.
+    """
+    y, counts = picked(docs, labels, label, per_label, mod, held_out, id_col)
     cols = id_text(docs, id_col, text_col) if carry is None else docs.select(
         F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.col(carry).cast("string").alias("carry"))
     take = [F.min(F.struct("text", *(["carry"] if carry else []))).alias("x")]
     rows = cols.where(F.col("doc_id").isin(list(y))).groupBy("doc_id").agg(*take).select("doc_id", "x.*").toPandas()
     rows["y"] = [y[i] for i in rows["doc_id"]]
-    order = rows["doc_id"].map(lambda i: (int(i) * 2654435761) % 2**32)
-    return rows.iloc[order.argsort(kind="stable").to_numpy()].reset_index(drop=True), counts
+    return rows.iloc[order_of(rows["doc_id"]).argsort(kind="stable").to_numpy()].reset_index(drop=True), counts

@@ -75,7 +75,7 @@ def fit_domains(docs: DataFrame, labels: DataFrame, domain_col: str = "lang", si
     y = np.array([[picked[i] == k for k in domains] for i in rows["doc_id"]], dtype=np.float32)
     share = np.array([counts[k] for k in domains], dtype=np.float64)
     model = DomainModel(domains, np.zeros((BUCKETS, len(domains)), np.float32), np.log(share / share.sum()))
-    scale = 1 / np.sqrt((x * x).sum(axis=0) / len(x) + 1e-8)  # each word as if of unit size
+    scale = 1 / np.sqrt(np.einsum("ij,ij->j", x, x) / len(x) + 1e-8)  # each word as if of unit size
     for _ in range(steps):  # gradient steps on the mean log loss
         z = x @ model.weights + model.bias
         p = np.exp(z - z.max(axis=1, keepdims=True))

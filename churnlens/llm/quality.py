@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from churnlens.llm.common import crc_mod, id_text, ready
 from churnlens.llm.features import Words, shape_counts
-from churnlens.llm.labelled import sample
+from churnlens.llm.labelled import order_of, picked
 
 BUCKETS = 2048
 LATENT = 48
@@ -55,24 +55,34 @@ class QualityModel:
         return z / np.maximum(1e-12, np.linalg.norm(z, axis=1, keepdims=True))
 
     def scores(self, x: np.ndarray) -> np.ndarray:
-        """Exact cosines with all labelled vectors, a block of documents at a time; ties go to the vector first in order."""
+        """Exact cosines with all labelled vectors, a block of documents at a time; equal ones (to 9 places) go to the vector first in order."""
         if self.axes is None:
             return np.full(len(x), self.prior)
         out = np.empty(len(x))
         k = min(NEIGHBOURS, len(self.labels))
         for lo in range(0, len(x), 256):
-            c = self.embed(x[lo:lo + 256]) @ self.vectors.T
-            top = np.argpartition(-c, k - 1, axis=1)[:, :k]
+            c = np.round(self.embed(x[lo:lo + 256]) @ self.vectors.T, 9)
+            top = nearest(c, k)
             w = np.maximum(np.take_along_axis(c, top, axis=1), 0) ** SHARPNESS + 1e-9
             out[lo:lo + 256] = (w * self.labels[top]).sum(axis=1) / w.sum(axis=1)
         return np.clip(out, 0, 1)
 
 
+def nearest(c: np.ndarray, k: int) -> np.ndarray:
+    """For each row the places of its k largest values; of those equal to the last, the first in order."""
+    if k >= c.shape[1]:
+        return np.broadcast_to(np.arange(c.shape[1]), c.shape)
+    least = np.partition(c, c.shape[1] - k, axis=1)[:, c.shape[1] - k, None]
+    above, level = c > least, c == least
+    level &= np.cumsum(level, axis=1) <= k - above.sum(axis=1, keepdims=True)
+    return np.nonzero(above | level)[1].reshape(len(c), k)
+
+
 def decompose(x: np.ndarray, k: int, seed: int = 1) -> np.ndarray:
     """The first k right singular vectors of x, by subspace iteration."""
     g = np.random.default_rng(seed)
     k = min(k, *x.shape)
-    y = x @ g.normal(size=(x.shape[1], min(k + 10, *x.shape)))
+    y = x @ g.normal(size=(x.shape[1], min(k + 10, *x.shape))).astype(x.dtype)
     for _ in range(4):
         y = x @ (x.T @ np.linalg.qr(y)[0])
     q = np.linalg.qr(y)[0]
@@ -86,17 +96,32 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", per_label: i
     Without rows of both labels every score is the share of label 1 among the
     labelled rows (0.5 without any).
     """
-    rows, counts = sample(docs, labels, label, per_label, mod, held_out, id_col, text_col)
+    label_of, counts = picked(docs, labels, label, per_label, mod, held_out, id_col)
     prior = counts.get(1, 0) / max(1, sum(counts.values())) if counts else 0.5
-    y = rows["y"].to_numpy().astype(np.float64)
-    if len(set(y)) < 2:
+    if len(set(label_of.values())) < 2:
         return QualityModel(None, None, None, None, prior)
-    words = Words(1 << 31)
-    x = np.array([terms(t, words) for t in rows["text"]])
-    model = QualityModel(x.mean(axis=0), None, None, y, prior)
-    model.axes = decompose(x - model.mean, LATENT)
-    model.vectors = model.embed(x)
-    return model
+    ready(docs.sparkSession)
+
+    def run(batches):
+        words = Words(1 << 31)
+        for b in batches:
+            yield pd.DataFrame({"doc_id": b["doc_id"], "x": [terms(t, words).astype(np.float32).tobytes() for t in b["text"]]})
+
+    # the texts stay in the tasks: a row of BUCKETS + 3 numbers each reaches the driver
+    d = id_text(docs, id_col, text_col).where(F.col("doc_id").isin(list(label_of))).groupBy("doc_id").agg(F.min("text").alias("text"))
+    rows = d.mapInPandas(run, "doc_id long, x binary").collect()
+    rows.sort(key=lambda r: r["doc_id"])
+    order = order_of(pd.Series([r["doc_id"] for r in rows])).argsort(kind="stable")
+    x = np.empty((len(rows), BUCKETS + 3), dtype=np.float32)
+    for i, at in enumerate(order):
+        x[i] = np.frombuffer(rows[at]["x"], dtype=np.float32)
+    y = np.array([label_of[rows[at]["doc_id"]] for at in order], dtype=np.float64)
+    del rows
+    mean = x.mean(axis=0, dtype=np.float64)
+    x -= mean.astype(np.float32)
+    axes = decompose(x, LATENT).astype(np.float64)
+    z = x @ axes
+    return QualityModel(mean, axes, z / np.maximum(1e-12, np.linalg.norm(z, axis=1, keepdims=True)), y, prior)
 
 
 def score(docs: DataFrame, model: QualityModel, mod: int = 5, held_out: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

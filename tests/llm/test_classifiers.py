@@ -137,3 +137,37 @@ def test_votes_match_brute_force(quality_model, tables):
         top = np.argsort(-c, kind="stable")[:quality.NEIGHBOURS]
         wt = np.maximum(c[top], 0) ** quality.SHARPNESS + 1e-9
         assert abs((wt * m.labels[top]).sum() / wt.sum() - s) < 1e-6
+
+
+def test_nearest_ties():
+    """Of equal cosines the first vectors vote, whatever the order in which a selection would find them."""
+    g = np.random.default_rng(5)
+    c = np.round(g.normal(size=(50, 400)), 1)
+    c[:, 100:300] = 0.5
+    for k in (1, 25, 399, 400):
+        want = [sorted(range(400), key=lambda j, r=r: (-r[j], j))[:k] for r in c]
+        assert [sorted(x) for x in quality.nearest(c, k)] == [sorted(x) for x in want]
+    axes = np.eye(4)[:, :2]
+    vectors = np.tile([[1.0, 0.0]], (200, 1))
+    labels = np.arange(200) < 10
+    m = quality.QualityModel(np.zeros(4), axes, vectors, labels.astype(float), 0.5)
+    assert m.scores(np.array([[2.0, 0, 0, 0]]))[0] == pytest.approx(10 / quality.NEIGHBOURS)
+
+
+def test_toxicity_against_plain_forward(tables, toxic_model):
+    """Filters slid over the embedded words one place at a time."""
+    docs, _ = tables
+    net, words = toxic_model.net, Words(toxicity.BUCKETS)
+    got = {r.doc_id: r.score for r in toxicity.score(docs, toxic_model).collect()}
+    for d in docs.orderBy("doc_id").limit(12).collect():
+        ids = words.ids(d.text).tolist()
+        e = [net.p["emb"][a].astype(np.float64) + net.p["emb"][b] for a, b in ids] + [np.zeros(toxicity.DIM)] * (max(toxicity.WIDTHS) - (1 if ids else 0))
+        pooled = []
+        for k in toxicity.WIDTHS:
+            w, b = net.p[f"w{k}"].astype(np.float64), net.p[f"b{k}"]
+            places = range(max(1, len(ids)))
+            for f in range(toxicity.FILTERS):
+                pooled.append(max(0.0, max(sum(e[i + j] @ w[j, :, f] for j in range(k)) for i in places) + b[f]))
+        z = np.array(pooled) @ net.p["out"] + net.p["bias"][0]
+        odds = toxic_model.slope * np.clip(z, np.log(1e-9), -np.log(1e-9)) + toxic_model.offset
+        assert got[d.doc_id] == pytest.approx(1 / (1 + np.exp(-odds)), abs=1e-3)
