@@ -7,11 +7,11 @@ blocks (one join key per choice). The number of blocks follows the number of
 distinct fingerprints: keys have about as many bits as are needed to keep the
 rows of a key few; the links found are the same for any choice.
 
-Rows of one key are compared in tiles of bounded size. For each tile the
-distances to many reference fingerprints (pivots) are computed once. By the
-triangle inequality a pair whose distances to any pivot differ by more than
-``max_bits`` is no link; such pairs are discarded, only survivors are verified
-with the exact distance. A tile returns the edges of a spanning forest of its
+The distances of every fingerprint to many reference fingerprints (pivots) are
+computed once, before the keys are made, and travel with it. Rows of one key
+are compared in tiles of bounded size. By the triangle inequality a pair whose
+distances to any pivot differ by more than ``max_bits`` is no link; such pairs
+are discarded, only survivors are verified with the exact distance. A tile returns the edges of a spanning forest of its
 links, never all pairs, so a dense cluster gives no quadratic output and no
 link between two clusters is lost.
 """
@@ -21,11 +21,12 @@ from __future__ import annotations
 import itertools
 import math
 import re
+from functools import reduce
 
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from churnlens.llm.common import fresh, id_text, n_partitions, ready, shuffle_partitions, written
@@ -38,8 +39,20 @@ TILE = 2048
 PIVOTS = 16
 
 
-def _pivots() -> np.ndarray:
-    return np.random.default_rng(20).integers(0, 2**64, PIVOTS, dtype=np.uint64)
+def _pivots() -> list[int]:
+    return [int(x) for x in np.random.default_rng(20).integers(0, 2**64, PIVOTS, dtype=np.uint64)]
+
+
+def pivot_table(fp: Column) -> list[Column]:
+    """The distances to all pivots, a byte each, eight to a number: columns ``d0``, ``d1`` and so on."""
+    far = [F.bit_count(fp.bitwiseXOR(F.lit(_signed(p)))).cast("long") for p in _pivots()]
+    packed = [reduce(Column.bitwiseOR, [F.shiftleft(x, 8 * i) for i, x in enumerate(far[lo:lo + 8])]) for lo in range(0, PIVOTS, 8)]
+    return [x.alias(f"d{i}") for i, x in enumerate(packed)]
+
+
+def _apart(da: np.ndarray, db: np.ndarray) -> np.ndarray:
+    """Largest difference of two rows of the pivot table."""
+    return np.abs(da - db).max(axis=1)
 
 
 def fingerprint(text: str | None, shingle: int) -> int:
@@ -118,12 +131,10 @@ def _survivors(a, b, da, db, max_bits):
         yield i[ok], j[ok]
 
 
-def _forest(a, b, pivots, max_bits):
-    """Edges of a spanning forest of the links between a and b (may be the same array)."""
-    dist = lambda x: np.bitwise_count(x[:, None] ^ pivots[None, :]).astype(np.int8)
+def _forest(a, b, da, db, max_bits):
+    """Edges of a spanning forest of the links between a and b (may be the same array); da and db are their pivot distances."""
     nodes = np.concatenate([a, b])
     root = np.arange(len(nodes))
-    da, db = dist(a), dist(b)
     out = []
 
     def find(x):
@@ -159,7 +170,8 @@ def links(fps: DataFrame, n: int, max_bits: int) -> DataFrame:
     """Edges (a, b) between distinct fingerprints (column ``fp``) that join all that are within ``max_bits``."""
     spark = fps.sparkSession
     masks = [_signed(m) for m in _masks(_plan(n, max_bits), max_bits)]
-    keys = fps.select("fp", F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(m)) for m in masks])).alias("t", "key"))
+    table = [f"d{i}" for i in range(PIVOTS // 8)]
+    keys = fps.select("fp", *pivot_table(F.col("fp"))).select("fp", *table, F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(m)) for m in masks])).alias("t", "key"))
     # tiles of a key: their number follows the rows of the key, which are counted with map-side sums
     many = keys.groupBy("t", "key").count().where(F.col("count") > 1)
     tiles = F.ceil(F.col("count") / TILE).cast("int")
@@ -168,10 +180,9 @@ def links(fps: DataFrame, n: int, max_bits: int) -> DataFrame:
     # tile pairs (i, j): a row goes to every pair that holds its own tile
     pair = F.transform(F.sequence(F.lit(0), F.col("tiles") - 1),
                        lambda x: F.struct(F.least(x, F.col("own")).alias("i"), F.greatest(x, F.col("own")).alias("j")))
-    rows = keys.select("fp", "t", "key", "own", F.explode(pair).alias("p")).select("fp", "t", "key", "own", "p.i", "p.j")
+    rows = keys.select("fp", *table, "t", "key", "own", F.explode(pair).alias("p")).select("fp", *table, "t", "key", "own", "p.i", "p.j")
     parts = n_partitions(n * len(masks), 200_000, shuffle_partitions(spark))
     rows = rows.repartition(parts, "t", "key", "i", "j").sortWithinPartitions("t", "key", "i", "j")
-    pivots = _pivots()
 
     def compare(batches):
         left = None
@@ -188,16 +199,21 @@ def links(fps: DataFrame, n: int, max_bits: int) -> DataFrame:
             end = np.append(cut, len(left))
             done = len(start) if b is None else len(start) - 1  # the last group may go on in the next batch
             fp, own = left["fp"].to_numpy().view(np.uint64), left["own"].to_numpy()
-            out = []
-            for s, e in zip(start[:done], end[:done], strict=True):
-                if e - s == 2:
-                    if np.bitwise_count(fp[s] ^ fp[s + 1]) <= max_bits and (g[s, 2] == g[s, 3] or own[s] != own[s + 1]):
-                        out.append((fp[s], fp[s + 1]))
-                elif g[s, 2] == g[s, 3]:
-                    out += _forest(fp[s:e], fp[s:e], pivots, max_bits)
+            dist = np.ascontiguousarray(left[table].to_numpy(dtype=np.int64)).view(np.int8).reshape(len(left), PIVOTS)
+            start_, end_ = start[:done], end[:done]
+            # keys of two rows, which are most, all at once; then each larger one
+            s = start_[end_ - start_ == 2]
+            s = s[_apart(dist[s], dist[s + 1]) <= max_bits] if len(s) else s
+            s = s[(np.bitwise_count(fp[s] ^ fp[s + 1]) <= max_bits) & ((g[s, 2] == g[s, 3]) | (own[s] != own[s + 1]))]
+            out = list(zip(fp[s], fp[s + 1]))
+            for s, e in zip(start_, end_, strict=True):
+                if e - s < 3:
+                    continue
+                if g[s, 2] == g[s, 3]:
+                    out += _forest(fp[s:e], fp[s:e], dist[s:e], dist[s:e], max_bits)
                 else:
                     mine = own[s:e] == g[s, 2]
-                    out += _forest(fp[s:e][mine], fp[s:e][~mine], pivots, max_bits)
+                    out += _forest(fp[s:e][mine], fp[s:e][~mine], dist[s:e][mine], dist[s:e][~mine], max_bits)
             left = left.iloc[start[done]:].reset_index(drop=True) if done < len(start) else None
             if out:
                 x = np.array(out, dtype=np.uint64).view(np.int64)
