@@ -10,29 +10,30 @@ stripes, and stripes are read in parallel.
 from __future__ import annotations
 
 import itertools
-import re
 import zlib
-from array import array
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-import regex
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from churnlens.llm.common import id_text, n_partitions, ready, shared_path, shuffle_partitions
 
 END_ID = 0
+#: Words of letters of the Latin blocks alone.
+LETTERS = "^[A-Za-z\u00aa\u00b5\u00ba\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+$"
+#: Signs that end a word of letters and are one id each after it.
+STOPS = (".", ",")
 #: Text bytes a file should have about.
 FILE_BYTES = 64 << 20
-_SPACES = re.compile(r"\s \s")
-#: Pieces whose ids a task remembers; beyond that it forgets them all and goes on.
-REMEMBERED = 1_500_000
-#: Characters of texts that are encoded together.
-TOGETHER = 10 << 20
+#: A space between white space (of any plane: more than the pattern's own is no harm).
+SPACES = r"[\s\x0b\x1c-\x1f\x85\p{Z}] [\s\x0b\x1c-\x1f\x85\p{Z}]"
+#: Bytes of pieces and their ids that a task remembers; beyond that it forgets them all and goes on.
+REMEMBERED = 32 << 20
+#: Bytes of texts, and pieces new to a task, that are encoded together.
+TOGETHER, AT_ONCE = 3 << 20, 1_000
 
 
 class _Pieces:
@@ -40,30 +41,27 @@ class _Pieces:
 
     def __init__(self):
         self.names = pa.array([], pa.large_string())
-        self.start, self.size, self.pool = array("i"), array("i"), array("i")
+        self.start, self.size, self.pool = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)
+
+    def bytes(self) -> int:
+        return self.names.nbytes + self.pool.nbytes + self.start.nbytes + self.size.nbytes
 
     def numbers(self, pieces: pa.Array, encode) -> np.ndarray:
-        """Number of each of some distinct pieces; what is new is encoded."""
+        """Number of each of some distinct pieces; what is new is encoded: ``encode`` gives all ids and how many each piece has."""
         at = pc.fill_null(pc.index_in(pieces, value_set=self.names), -1).to_numpy()
         new = np.flatnonzero(at < 0)
         if len(new):
             at = at.copy()
             at[new] = len(self.names) + np.arange(len(new))
             names = pieces.take(pa.array(new))
-            for piece in names.to_pylist():
-                ids = encode(piece)
-                self.start.append(len(self.pool))
-                self.size.append(len(ids))
-                self.pool.extend(ids)
+            ids, size = encode(names)
+            self.start = np.concatenate([self.start, len(self.pool) + np.cumsum(size) - size])
+            self.size = np.concatenate([self.size, size])
+            self.pool = np.concatenate([self.pool, ids])
             self.names = pa.concat_arrays([self.names, names])
         return at
 
 
-def _letters(s: str) -> bool:
-    """One word of the pattern: letters of the Latin blocks only."""
-    return s.isalpha() and (s.isascii() or max(s) < "\u0250")
-
-
 class Encoder:
     """Ids of texts by the tokenizers library, each distinct piece encoded once.
 
@@ -77,65 +75,110 @@ class Encoder:
     """
 
     def __init__(self, vocabulary: str):
-        import public_tokenizers
         from tokenizers import Tokenizer, pre_tokenizers
         self.tokenizer = t = Tokenizer.from_file(vocabulary)
         self.special = [x.content for x in t.get_added_tokens_decoder().values()]
-        self.plain = t.normalizer is None and isinstance(t.pre_tokenizer, pre_tokenizers.ByteLevel) and not t.pre_tokenizer.add_prefix_space
-        self.words = regex.compile(public_tokenizers.PATTERN).findall
-        self.tokenize = t.model.tokenize
+        p = t.pre_tokenizer
+        self.plain = t.normalizer is None and isinstance(p, pre_tokenizers.ByteLevel) and not p.add_prefix_space and p.use_regex
         # the visible character that stands for each byte in a byte-level vocabulary
         seen = [*range(33, 127), *range(161, 173), *range(174, 256)]
-        rest = [x for x in range(256) if x not in seen]
-        self.visible = dict(zip(seen, map(chr, seen), strict=True)) | {x: chr(256 + i) for i, x in enumerate(rest)}
-        self.stop = {c: self.piece(c) for c in ".,"}
+        self.visible = {x: chr(256 + i) for i, x in enumerate(x for x in range(256) if x not in seen)}
+        # ids that begin with a space: the first one of every piece with a space before it, and no other
+        self.space = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str(" ")[0][0]
+        self.opens = np.zeros(t.get_vocab_size(), dtype=bool)
+        self.opens[[i for x, i in t.get_vocab().items() if x.startswith(self.space)]] = True
+        self.stop = [self.whole(x) for x in STOPS]
+        self.plain &= all(len(x) == 1 for x in self.stop)
         self.pieces = _Pieces()
 
     def whole(self, text: str) -> list[int]:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
 
-    def word(self, word: str) -> list[int]:
-        """Ids of a word of the pattern: the library's merges over its bytes."""
-        shown = word.replace(" ", self.visible[32]) if word.isascii() and word.isprintable() else word.encode().decode("latin-1").translate(self.visible)
-        return [t.id for t in self.tokenize(shown)]
-
-    def piece(self, piece: str) -> list[int]:
-        return [i for w in self.words(piece) for i in self.word(w)]
-
-    def spaced(self, piece: str) -> list[int]:
-        """Ids of a piece with a space before it; a word alone, or before a stop, needs no search for words."""
-        if _letters(piece):
-            return self.word(" " + piece)
-        if piece[-1:] in self.stop and _letters(piece[:-1]):
-            return self.word(" " + piece[:-1]) + self.stop[piece[-1]]
-        return self.piece(" " + piece)
-
-    def batch(self, texts: list[str]) -> list[np.ndarray]:
+    def spaced(self, pieces: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of distinct pieces with a space before each, one after the other, and how many each has.
+
+        A word of Latin letters is one word of the pattern, with a stop after
+        it, too: its letters are merged once.
+        """
+        last = pc.index_in(pc.utf8_slice_codeunits(pieces, -1), value_set=pa.array(STOPS, pa.large_string()))
+        stop = pc.fill_null(last, -1).to_numpy().copy()
+        stem = pc.if_else(pc.is_valid(last), pc.utf8_slice_codeunits(pieces, 0, -1), pieces)
+        word = pc.match_substring_regex(stem, LETTERS)
+        words = pc.dictionary_encode(stem.filter(word))
+        at, alone = np.empty(len(pieces), dtype=np.int64), ~word.to_numpy(zero_copy_only=False)
+        at[~alone] = words.indices.to_numpy()
+        at[alone] = len(words.dictionary) + np.arange(alone.sum())
+        stop[alone] = -1
+        merge = self.tokenizer.model.tokenize
+        found = [[t.id for t in merge(self.space + (w if w.isascii() else w.encode().decode("latin-1").translate(self.visible)))] for w in words.dictionary.to_pylist()]
+        pool, size = self._others(pieces.filter(pc.invert(word)).to_pylist())
+        pool = np.concatenate([np.fromiter(itertools.chain.from_iterable(found), np.int32), pool])
+        size = np.concatenate([np.fromiter(map(len, found), np.int64, len(found)), size])
+        start, n = (np.cumsum(size) - size)[at], size[at] + (stop >= 0)
+        ids = np.append(pool, np.int32(END_ID))[np.arange(n.sum()) + np.repeat(start - (np.cumsum(n) - n), n)]
+        ids[(np.cumsum(n) - 1)[stop >= 0]] = np.array([x[0] for x in self.stop], dtype=np.int32)[stop[stop >= 0]]
+        return ids, n
+
+    def _others(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The same by the library. Many pieces are given to it as one text, and it cuts them.
+
+        A piece that is empty or begins with white space could meet white space
+        before it there: it is a text of its own.
+        """
+        joined = [i for i, x in enumerate(pieces) if x and not x[0].isspace()]
+        rest = sorted(set(range(len(pieces))).difference(joined))
+        groups = [joined[lo:lo + AT_ONCE] for lo in range(0, len(joined), AT_ONCE)] + [[i] for i in rest]
+        texts = [" " + " ".join([pieces[i] for i in g]) for g in groups]
+        size, start, out, upto = np.zeros(len(pieces), np.int64), np.zeros(len(pieces), np.int64), [np.zeros(0, np.int32)], 0
+        for g, text in zip(groups, texts, strict=True):
+            ids = np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype=np.int32)
+            first = np.flatnonzero(self.opens[ids]) if len(g) > 1 else np.zeros(1, np.int64)
+            assert len(first) == len(g)
+            start[g], size[g] = upto + first, np.diff(np.append(first, len(ids)))
+            out.append(ids)
+            upto += len(ids)
+        ids = np.concatenate(out)
+        return ids[np.arange(size.sum()) + np.repeat(start - (np.cumsum(size) - size), size)], size
+
+    def encoded(self, texts: pa.Array) -> pa.ListArray:
         """Ids of each text, then the end id. Arrow cuts the pieces and finds the distinct and the new ones of the batch."""
-        if len(self.pieces.names) > REMEMBERED:
+        if self.pieces.bytes() > REMEMBERED:
             self.pieces = _Pieces()
-        plain = [self.plain and not _SPACES.search(t) and not any(s in t for s in self.special) for t in texts]
-        cut = pc.split_pattern(pa.array([t for t, ok in zip(texts, plain, strict=True) if ok], pa.large_string()), " ")
-        end = cut.offsets.to_numpy()
-        rest = np.ones(len(cut.values), dtype=bool)
+        texts = texts.cast(pa.large_string())
+        odd = pc.match_substring_regex(texts, SPACES)
+        for x in self.special:
+            odd = pc.or_(odd, pc.match_substring(texts, x))
+        odd = odd.to_numpy(zero_copy_only=False) | (not self.plain)
+        cut = pc.split_pattern(texts.filter(pa.array(~odd)), " ")
+        end = cut.offsets.to_numpy() - cut.offsets[0].as_py()
+        values = cut.flatten()
+        rest = np.ones(len(values), dtype=bool)
         rest[end[:-1]] = False  # the first piece of a text has no space before it
-        first = cut.values.filter(pa.array(~rest)).to_pylist()
-        found = cut.values.filter(pa.array(rest)).dictionary_encode()
+        first = values.filter(pa.array(~rest)).to_pylist()
+        found = values.filter(pa.array(rest)).dictionary_encode()
         at = self.pieces.numbers(found.dictionary, self.spaced)[found.indices.to_numpy()]
-        start, size, pool = (np.frombuffer(x, dtype=np.int32) if len(x) else np.zeros(0, np.int32) for x in (self.pieces.start, self.pieces.size, self.pieces.pool))
+        start, size, pool = self.pieces.start, self.pieces.size, self.pieces.pool
         n = size[at]
         upto = np.concatenate([[0], np.cumsum(n, dtype=np.int64)])
         ids = pool[np.arange(upto[-1]) + np.repeat(start[at] - upto[:-1], n)]
         bound = upto[end - np.arange(len(end))]  # ids of all texts before, first pieces left out
-        parts = iter(zip(first, bound[:-1], bound[1:], strict=True))
-        out = []
-        for text, ok in zip(texts, plain, strict=True):
-            if ok:
-                head, lo, hi = next(parts)
-                out.append(np.concatenate([np.array(self.piece(head), np.int32), ids[lo:hi], np.array([END_ID], np.int32)]))
+        stop = np.array([END_ID], dtype=np.int32)
+        whole = iter(texts.filter(pa.array(odd)).to_pylist())
+        plain = iter(zip(first, bound[:-1], bound[1:], strict=True))
+        parts, length = [np.zeros(0, np.int32)], np.empty(len(texts), dtype=np.int64)
+        for i, is_odd in enumerate(odd):
+            if is_odd:
+                own = [np.array(self.whole(next(whole)), dtype=np.int32), stop]
             else:
-                out.append(np.array([*self.whole(text), END_ID], dtype=np.int32))
-        return out
+                head, lo, hi = next(plain)
+                own = [np.array(self.whole(head), dtype=np.int32), ids[lo:hi], stop]
+            length[i] = sum(map(len, own))
+            parts += own
+        offsets = np.concatenate([[0], np.cumsum(length)]).astype(np.int32)
+        return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(parts)))
+
+    def batch(self, texts: list[str]) -> list[np.ndarray]:
+        return [x.values.to_numpy() for x in self.encoded(pa.array(texts, pa.large_string()))]
 
 
 @lru_cache(maxsize=2)
@@ -161,17 +204,19 @@ def write_tokens(docs: DataFrame, path: str, vocabulary: str, id_col: str = "doc
 
     def run(batches):
         enc = _encoder(vocabulary)
-        held, chars = [], 0
+        held, size = [], 0
         for b in itertools.chain(batches, [None]):
             if b is not None:
-                held.append(b.assign(text=b["text"].fillna("")))
-                chars += int(held[-1]["text"].str.len().sum())
-            if held and (b is None or chars >= TOGETHER):
-                rows = pd.concat(held, ignore_index=True)
-                held, chars = [], 0
-                yield pd.DataFrame({"doc_id": rows["doc_id"], "ids": enc.batch(rows["text"].tolist())})
-
-    (d.mapInPandas(run, "doc_id long, ids array<int>").write
+                held.append(b)
+                size += b.nbytes
+            if held and (b is None or size >= TOGETHER):
+                rows = pa.Table.from_batches(held).combine_chunks()
+                held, size = [], 0
+                for x in rows.to_batches():
+                    ids = enc.encoded(pc.fill_null(x.column("text"), ""))
+                    yield pa.RecordBatch.from_arrays([x.column("doc_id"), ids], ["doc_id", "ids"])
+
+    (d.mapInArrow(run, "doc_id long, ids array<int>").write
      .option("compression", "zstd").option("orc.stripe.size", str(32 << 20)).option("orc.row.index.stride", "1000")
      .option("orc.create.index", "true").option("orc.bloom.filter.columns", "doc_id").option("orc.bloom.filter.fpp", "0.01")
      .orc(path))
@@ -191,9 +236,10 @@ def token_digests(spark: SparkSession, path: str) -> DataFrame:
     """
     ready(spark)
 
-    @F.pandas_udf("long")
-    def crc(ids: pd.Series) -> pd.Series:
-        return pd.Series([zlib.crc32(np.ascontiguousarray(x, dtype="<u4").tobytes()) for x in ids], dtype="int64")
+    @F.arrow_udf("long")
+    def crc(ids: pa.Array) -> pa.Array:
+        at, data = ids.offsets.to_numpy(), memoryview(np.ascontiguousarray(ids.values.to_numpy(), dtype="<u4")).cast("B")
+        return pa.array([zlib.crc32(data[4 * lo:4 * hi]) for lo, hi in zip(at[:-1], at[1:])], pa.int64())
 
     # the file's number follows the range of ids it holds; within it, the row's own order breaks ties
     rows = read_tokens(spark, path).select(

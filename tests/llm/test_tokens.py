@@ -50,3 +50,18 @@ def test_forgetting_words_changes_nothing(monkeypatch):
     enc = tokens.Encoder(VOCAB)
     texts = ["a b c d e f", "g  h\n\ni", "d'é 漢字's"]
     assert [list(x) for x in enc.batch(texts)] == [enc.whole(t) + [0] for t in texts]
+
+
+def test_pieces_against_the_library(monkeypatch):
+    """Texts put together at random from pieces that the encoder takes apart in different ways, with little memory and few at once."""
+    import random
+    library, g = Tokenizer.from_file(VOCAB), random.Random(3)
+    parts = ["word", "Word.", "x,", "été", "naïve.", "12", "3.5", "a\nb", "\n", "\t x", "", " ", ".", ",", "..", "don't", "漢字", "😀,", "é.", "foo-bar", "<|endoftext|>", "end\n", " ", " z", "A" * 300, "ſ", "µ,"]
+    texts = [g.choice(["", " "]).join(g.choice(parts) + g.choice([" ", " ", " ", "", "\n"]) for _ in range(g.randrange(12))) for _ in range(4000)]
+    want = [library.encode(t, add_special_tokens=False).ids + [0] for t in texts]
+    for remembered, at_once in ((48 << 20, 1000), (1, 3), (2000, 1)):
+        monkeypatch.setattr(tokens, "REMEMBERED", remembered)
+        monkeypatch.setattr(tokens, "AT_ONCE", at_once)
+        enc = tokens.Encoder(VOCAB)
+        got = [x.tolist() for lo in range(0, len(texts), 37) for x in enc.batch(texts[lo:lo + 37])]
+        assert got == want
