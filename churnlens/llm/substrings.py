@@ -3,10 +3,11 @@
 A byte goes if a string of ``length`` bytes over it also starts in a document
 with a smaller id. To find equal strings, positions are put into buckets by
 their first q = 16 bytes and buckets are refined by what they hold at later
-offsets, as a suffix sorter does that sorts by bucket pointers: the identifier
-of 2q bytes at i is made from the identifiers of q bytes at i and at i + q,
-and so on to ``length`` bytes; each level reuses the last one. A bucket that
-holds one document only is final and is not refined.
+offsets, as a suffix sorter does that sorts by bucket pointers: what begins with
+q equal bytes is sorted by the bucket identifiers at i + q, the new buckets of
+2q bytes by those at i + 2q, and so on to ``length`` bytes; each level reuses
+the buckets that the last one has made. A bucket that holds one document only
+is final and is not refined.
 
 Only sampled positions are sorted. Each string (window) is filed under the
 least identifier among its 16-byte buckets, and neighbouring windows filed
@@ -18,13 +19,16 @@ whatever is around them.
    equal windows: all but those of the smallest document are covered. What
    equals a smaller document's run within one task is never sent.
 2. Buckets with several documents and several different runs stay open: the
-   first document of each different run sends the bytes of the run, buckets are
-   refined to the full length, and windows are compared.
+   first document of each different run sends the bytes of the run, and the
+   positions of a group of buckets are sorted: first by their bytes, then by
+   the identifiers of later offsets, which are ranks in the last sort. Windows
+   of one bucket at the full length are equal byte by byte.
 3. Covered windows go back to their documents, in groups of documents of
    bounded size, and what is left is hashed.
 
-Identifiers have 64 bits; two windows are taken as equal if their bucket (64
-bits) and their refined identifier (48 bits for runs, 64 for windows) agree.
+In step 1, where a task has the texts of its own documents only, an
+identifier is a hash of the identifiers of its parts (64 bits of the bucket, 48
+of the run); in step 2 it is a rank, so windows are compared exactly.
 A bucket that a good part of a large corpus shares (a common line) would be one
 group of unbounded size. Such buckets are looked for in a sample of documents,
 which steers the work but not the result: their windows are filed singly, under
@@ -265,6 +269,51 @@ def _open_bytes(length: int, groups: int):
     return run
 
 
+def _ends(ident: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of each entry the smallest and the largest document of its bucket."""
+    if not len(doc):
+        return doc, doc
+    order = np.lexsort((doc, ident))
+    new = np.flatnonzero(_first_of(ident[order]))
+    at = np.repeat(np.arange(len(new)), np.diff(np.append(new, len(order))))
+    low, high = np.empty_like(doc), np.empty_like(doc)
+    low[order], high[order] = doc[order][new][at], doc[order][np.append(new[1:], len(order)) - 1][at]
+    return low, high
+
+
+def bucket_pointers(b: np.ndarray, windows: np.ndarray, doc: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, offset, identifier) of the windows of the rows of ``b`` that several documents may have, refined to ``length`` bytes.
+
+    ``windows`` says at which offsets of a row a window starts, ``doc`` whose the
+    row is. Identifiers are ranks: of the first bytes at first, then of pairs of
+    identifiers, a position's own and that at a later offset. Only positions
+    that an open window still needs are sorted again; the others keep none.
+    """
+    v = sum(b[:, i:b.shape[1] - 7 + i].astype(np.uint64) << np.uint64(8 * (7 - i)) for i in range(8))
+    at = np.unique(v, return_inverse=True)[1].reshape(v.shape).astype(np.int64)
+    size, (row, t) = 8, np.nonzero(windows)
+    while size < length:
+        step = min(size, length - size)
+        n = at.shape[1] - step
+        # the offsets at which later levels look this one's identifiers up
+        need, later, reach = np.zeros((len(b), n), dtype=bool), size + step, {0}
+        while later < length:
+            on = min(later, length - later)
+            reach, later = reach | {r + on for r in reach}, later + on
+        for r in reach:
+            need[row, t + r] = True
+        i, j = np.nonzero(need)
+        key = at[i, j] * (at.max() + 1) + at[i, j + step]
+        up = np.full((len(b), n), -1, dtype=np.int64)
+        up[i, j] = np.unique(key, return_inverse=True)[1]
+        at, size = up, size + step
+        low, high = _ends(at[row, t], doc[row])
+        row, t = row[low < high], t[low < high]  # a bucket of one document is final
+        if not len(row):
+            break
+    return row, t, at[row, t]
+
+
 def _refine(length: int, chunks: int):
     """One group of open buckets, refined to the full length: windows that a smaller document has too."""
     wide = RUN + length - 1
@@ -275,14 +324,9 @@ def _refine(length: int, chunks: int):
         out = []
         for _, i in _by((rows["h"] >> np.uint64(32)) % np.uint64(max(1, len(b) // 20_000))):  # a part of the buckets at a time
             part = {f: x[i] for f, x in rows.items()}
-            n = part["n"].astype(np.int64)
-            _, full = _refined(b[i], length)
-            run_, t = np.nonzero(np.arange(RUN) < n[:, None])
-            h, ident, doc = part["h"][run_], full[run_, t], _ids(part)[run_]
-            order = np.lexsort((doc, ident, h))
-            new = _first_of(h[order], ident[order])
-            covered = np.zeros(len(order), dtype=bool)
-            covered[order] = doc[order] > doc[order][np.flatnonzero(new)][np.cumsum(new) - 1]
+            run_, t, ident = bucket_pointers(b[i], np.arange(RUN) < part["n"].astype(np.int64)[:, None], _ids(part), length)
+            doc = _ids(part)[run_]
+            covered = doc > _ends(ident, doc)[0]
             run_, t = run_[covered], t[covered]
             start = np.ones(len(t), dtype=bool)  # neighbours in a run go together
             start[1:] = (run_[1:] != run_[:-1]) | (t[1:] != t[:-1] + 1)

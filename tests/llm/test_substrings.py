@@ -119,3 +119,25 @@ def test_pack_round_trip():
     rows["doc"] = g.integers(-5, 5, 50).view(np.uint64)
     back = S._unpack(S._FILED, [S._pack(S._FILED, rows, slice(0, 20)), S._pack(S._FILED, rows, slice(20, 50))])
     assert all((back[f] == rows[f]).all() for f in rows)
+
+
+@pytest.mark.parametrize("length", [24, 37, 50])
+def test_bucket_pointers_are_exact(length):
+    """Windows get the same identifier if and only if their bytes are equal; windows of one document alone are left out."""
+    g = np.random.default_rng(length)
+    pool = g.integers(0, 2, (6, 84)).astype(np.uint8)
+    b = pool[g.integers(0, 6, 300)].copy()
+    flip = g.random(300) < 0.5
+    b[flip, g.integers(0, 84, 300)[flip]] ^= 1
+    doc = g.integers(0, 40, 300).astype(np.int64)
+    windows = np.arange(35) < g.integers(1, 36, 300)[:, None]
+    row, t, ident = S.bucket_pointers(b, windows, doc, length)
+    by_bytes = {}
+    for r, o in zip(*np.nonzero(windows)):
+        by_bytes.setdefault(b[r, o:o + length].tobytes(), []).append((r, o))
+    shared = {w: x for w, x in by_bytes.items() if len({doc[r] for r, _ in x}) > 1}
+    assert sorted(zip(row.tolist(), t.tolist())) == sorted((int(r), int(o)) for x in shared.values() for r, o in x)
+    found = {}
+    for r, o, i in zip(row, t, ident):
+        found.setdefault(i, set()).add(b[r, o:o + length].tobytes())
+    assert len(found) == len(shared) and all(len(x) == 1 for x in found.values())
