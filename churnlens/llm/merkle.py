@@ -217,7 +217,7 @@ def manifest(docs: DataFrame, fields: tuple[str, ...] = FIELDS, group_col: str =
     leaves = docs.select(
         F.coalesce(F.concat(F.lit("="), group), F.lit("")).alias("g"), docs[id_col].cast("long").alias("doc_id"),
         leaf_hash([docs[f] for f in fields]).alias("node"), *[e.alias(f"carry_{k}") for k, e in carry.items()])
-    leaves = placed(leaves, ["doc_id", "node"])
+    leaves = placed(written(leaves, "merkle-leaves"), ["doc_id", "node"])  # texts are read and hashed once
     rounds = _rounds(leaves, levels)
     # the groups' roots are the leaves of one more tree
     groups = placed(rounds[-1].select(F.lit("").alias("g"), F.col("g").alias("of"), "node"), ["of"])
