@@ -9,7 +9,7 @@ distance less its radius exceeds the bound holds no neighbour, and its rows are
 never sent to that query. Rows of one pivot and their queries are compared in
 tiles of at most ``block`` x ``block``, in NumPy, by a cogroup; a tile emits
 the k best rows of a query, whatever the ties, and a window a query merges the
-tiles. A table of at most ``block`` rows has one pivot, so one round does.
+tiles. A table of a few blocks has one pivot, so one round does.
 
 ``knn_approx`` is Spark's own random-projection join, for tables where a share
 of the neighbours will do.
@@ -31,6 +31,8 @@ METRICS = ("euclidean", "manhattan", "minkowski")
 _TIE_MARGIN = 1e-8
 #: Pivots at most: their vectors and distances to a batch of rows are held in each task.
 MAX_PIVOTS = 1024
+#: Blocks of base rows that a pivot has, about: below that a second round costs more than it can leave out.
+BLOCKS = 4
 
 
 def _dist(q: np.ndarray, b: np.ndarray, metric: str, p: float) -> np.ndarray:
@@ -182,7 +184,7 @@ def knn_topk(query: DataFrame, base: DataFrame, features, k: int = 5, metric: st
     b = base.select(F.col(base_key).alias("nid"), feats.alias("v"), (F.col(carry).cast("double") if carry else F.lit(None).cast("double")).alias("_y"),
                     F.coalesce(group, F.lit(-2)).alias("_g"))
     nb = b.count()
-    n_pivots = min(MAX_PIVOTS, max(1, math.ceil(nb / block)))
+    n_pivots = min(MAX_PIVOTS, max(1, math.ceil(nb / (BLOCKS * block))))
     chosen = b.orderBy(F.xxhash64("nid"), "nid").limit(n_pivots).select("v").collect() if n_pivots > 1 else []
     if len(chosen) < 2:
         pivots = _Pivots(np.zeros((1, 1)), metric, p)

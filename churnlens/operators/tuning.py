@@ -60,7 +60,7 @@ def knn_grid(train: DataFrame, features, label: str = "Left", key: str = "Custom
         .select("metric", "k", "qid", "s.*")
     truth = train.select(F.col(key).alias("qid"), F.col(fold_col).alias("_f"), F.col(label).cast("int").alias("y"))
     a = M.auc_by(long.join(truth, "qid"), "proba", "y", ["metric", "k", "weights", "_f"])
-    s = a.groupBy("metric", "k", "weights").agg(F.round(F.avg("auc"), 12).alias("mean_auc"), F.round(F.stddev_pop("auc"), 9).alias("std_auc"))
+    s = a.groupBy("metric", "k", "weights").agg(F.round(F.avg("auc"), 9).alias("mean_auc"), F.round(F.stddev_pop("auc"), 9).alias("std_auc"))
     w = Window.partitionBy().orderBy(F.col("mean_auc").desc(), "metric", "k", "weights")
     return s.withColumn("rank", F.row_number().over(w))
 
@@ -140,7 +140,7 @@ def fold_positions(df: DataFrame, key: str, fold_col: str, folds) -> DataFrame:
 
 
 def knn_learning_scores(df: DataFrame, features, k: int, weights: str, metric: str, label: str = "Left", key: str = "Customer_ID",
-                        fold_col: str = "fold", fractions=LEARNING_SIZES, block: int = 2048) -> DataFrame:
+                        fold_col: str = "fold", fractions=LEARNING_SIZES, block: int = 512, base_block: int = 16384) -> DataFrame:
     """(part, fold, train_size, y, score): each training prefix of each fold scored on itself (``train``) and on the fold (``validation``).
 
     The prefixes are the first rows, in key order, of the other folds. A tile
@@ -156,11 +156,10 @@ def knn_learning_scores(df: DataFrame, features, k: int, weights: str, metric: s
         F.col(key).alias("id"), F.array(*[F.col(c).cast("double") for c in features]).alias("v"), F.col(label).cast("int").alias("y"), "_pos",
         F.col(fold_col).cast("int").alias("f"))
     d = written(d, "learning-rows")
-    parts = max(1, -(-sum(sizes.values()) // block))
-    at = F.pmod(F.xxhash64("id"), F.lit(parts))
-    every = F.sequence(F.lit(0), F.lit(parts - 1))
-    q = d.withColumn("i", at).withColumn("j", F.explode(every))
-    b = d.withColumn("j", at).withColumn("i", F.explode(every))
+    n_q, n_b = (max(1, -(-sum(sizes.values()) // x)) for x in (block, base_block))
+    part = lambda n: F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")  # noqa: E731  (both sides' keys must have one type)
+    q = d.withColumn("i", part(n_q)).withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(n_b - 1))))
+    b = d.withColumn("j", part(n_b)).withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(n_q - 1))))
 
     def tile(qdf: pd.DataFrame, bdf: pd.DataFrame) -> pd.DataFrame:
         bdf = bdf.sort_values("id")
@@ -169,7 +168,7 @@ def knn_learning_scores(df: DataFrame, features, k: int, weights: str, metric: s
         qpos, bpos = (np.array(x["_pos"].tolist()) for x in (qdf, bdf))
         qf = qdf["f"].to_numpy()
         out = []
-        for s in range(0, len(qv), 256):
+        for s in range(0, len(qv), 256):      # of these rows every distance is held
             dist = _dist(qv[s:s + 256], bv, metric, 2.0)
             for fi, f in enumerate(folds):
                 for n in ends:

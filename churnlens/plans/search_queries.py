@@ -68,7 +68,7 @@ g{sfx} AS (SELECT metric, fold, k, weights, p, SUM(y0) AS pos, SUM(1 - y0) AS ne
 gc{sfx} AS (SELECT *, SUM(neg) OVER (PARTITION BY metric, fold, k, weights ORDER BY p) - neg AS below FROM g{sfx}),
 au{sfx} AS (SELECT metric, fold, k, weights, CAST(SUM(pos * (2 * below + neg)) AS DOUBLE) / (2.0 * SUM(pos) * SUM(neg)) AS auc
        FROM gc{sfx} GROUP BY metric, fold, k, weights),
-ms{sfx} AS (SELECT metric, CAST(k AS INTEGER) AS k, weights, ROUND(AVG(auc), 12) AS mean_auc, ROUND(stddev_pop(auc), 9) AS std_auc
+ms{sfx} AS (SELECT metric, CAST(k AS INTEGER) AS k, weights, ROUND(AVG(auc), 9) AS mean_auc, ROUND(stddev_pop(auc), 9) AS std_auc
        FROM au{sfx} GROUP BY metric, k, weights),
 gr{sfx} AS (SELECT *, row_number() OVER (ORDER BY mean_auc DESC, metric, k, weights) AS rank FROM ms{sfx})"""
 
@@ -226,7 +226,7 @@ def q_learning_curve_mlp(spark, sf):
 # ---- V1 with refit: networks and trees -----------------------------------------
 
 def _mlp_grid(spark, sf):
-    return stored(spark, "mlp-grid", inputs_key(spark, sf), lambda: N.mlp_grid(train_folds(spark, sf, shuffle=False), FEATURES, "Left"))
+    return stored(spark, "mlp-grid", inputs_key(spark, sf), lambda: N.mlp_grid(train_folds(spark, sf, shuffle=False), FEATURES, "Left", shards=4))
 
 
 @register("grid_search_mlp")
