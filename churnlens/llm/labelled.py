@@ -14,11 +14,14 @@ def picked(docs: DataFrame, labels: DataFrame, label: str, per_label: int, mod:
 
     Only rows whose crc32 of the id modulo ``mod`` is not ``held_out`` count.
     Null ids and null labels do not; an id with several labels has the largest.
+    Labels other than 0 and 1 are an error.
     """
     lab = labels.select(F.col(id_col).cast("long").alias("doc_id"), F.col(label).cast("int").alias("y")).dropna()
     lab = lab.where(crc_mod_sql("doc_id", mod) != held_out).groupBy("doc_id").agg(F.max("y").alias("y"))
     lab = lab.join(docs.select(F.col(id_col).cast("long").alias("doc_id")).distinct(), "doc_id", "left_semi")
-    counts = {int(r["y"]): int(r["count"]) for r in lab.groupBy("y").count().collect()}  # one row a label
+    counts = {int(r["y"]): int(r["count"]) for r in lab.groupBy("y").count().limit(3).collect()}
+    if not set(counts) <= {0, 1}:
+        raise ValueError(f"{label} must be 0 or 1, not {sorted(set(counts) - {0, 1})}")
     rows = [r for y in counts for r in lab.where(F.col("y") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_label).collect()]
     return {r["doc_id"]: r["y"] for r in rows}, counts
 

@@ -53,12 +53,14 @@ def fit_domains(docs: DataFrame, labels: DataFrame, domain_col: str = "lang", si
     The sample has ``size`` documents at most, as many of each domain (domains
     are few), by a hash of the id; an id with several rows counts once. The bias starts at the
     domains' shares among all labelled rows. Without labelled rows there is
-    one domain, the empty string.
+    one domain, the empty string. More domains than ``size`` are an error.
     """
     ids = labels.select(F.col(id_col).cast("long").alias("doc_id")).dropna().distinct()
     d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(domain_col).cast("string").alias("domain")).dropna()
     known = written(d.join(ids, "doc_id", "left_semi").groupBy("doc_id").agg(F.min("domain").alias("domain")), "domains")
-    counts = {r["domain"]: r["count"] for r in known.groupBy("domain").count().collect()}  # one row a domain
+    counts = {r["domain"]: r["count"] for r in known.groupBy("domain").count().limit(size + 1).collect()}
+    if len(counts) > size:
+        raise ValueError(f"more than {size} domains")
     if not counts:
         return DomainModel([""], np.zeros((BUCKETS, 1), np.float32), np.zeros(1))
     domains = sorted(counts)

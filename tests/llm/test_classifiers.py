@@ -171,3 +171,13 @@ def test_toxicity_against_plain_forward(tables, toxic_model):
         z = np.array(pooled) @ net.p["out"] + net.p["bias"][0]
         odds = toxic_model.slope * np.clip(z, np.log(1e-9), -np.log(1e-9)) + toxic_model.offset
         assert got[d.doc_id] == pytest.approx(1 / (1 + np.exp(-odds)), abs=1e-3)
+
+
+def test_other_labels_are_refused(spark, tables):
+    from pyspark.sql import functions as F
+    docs, labels = tables
+    other = labels.withColumn("quality", F.lit(2)).withColumn("toxic", F.lit(-1))
+    with pytest.raises(ValueError):
+        quality.fit(docs, other)
+    with pytest.raises(ValueError):
+        toxicity.fit(docs, other)
