@@ -62,3 +62,48 @@ def test_own_cell_of_rotated_partitions(spark):
     near = K.knn_approx(d.where("Customer_ID < 300"), d, list("abcde"), 5, exclude_self=True)
     assert near.groupBy().agg(F.max("rank")).first()[0] == 5
     assert exact.join(near, ["qid", "nid"]).count() >= 0.9 * 1500
+
+
+def test_attributions_of_trees_from_their_leaves(spark):
+    """The same numbers as from scored coalitions, and every row is scored once."""
+    from churnlens.operators import trees as T
+    from churnlens.operators.explain import shapley, shapley_sampled
+    g = np.random.default_rng(4)
+    names = ["a", "b", "c", "e"]
+    pdf = pd.DataFrame(np.round(g.normal(size=(300, 4)), 2), columns=names).assign(Customer_ID=np.arange(300))
+    pdf["Left"] = ((pdf["a"] * pdf["b"] > 0) | (pdf["c"] > 1)).astype(int)
+    d = spark.createDataFrame(pdf)
+    m = T.gbt_fit(d, names, max_depth=3, learning_rate=0.3, n_estimators=6, colsample=1.0)
+    trees, few, back = T.StagedTrees(T.node_table(m)), d.limit(15), d.orderBy("Customer_ID").limit(7)
+    for f, kw in ((shapley, {}), (shapley_sampled, dict(rounds=2))):
+        want = f(lambda x: T.gbt_score(m, x, names), few, back, names, **kw)
+        scored = []
+        got = f(lambda x: scored.append(x.count()) or T.gbt_score(m, x, names), few, back, names, trees=trees, **kw)
+        assert got.columns == want.columns and max(scored) <= 15
+        j = want.toPandas().merge(got.toPandas(), on=["Customer_ID", "feature"], suffixes=("", "_t"))
+        assert len(j) == 60 and j["phi"].abs().max() > 0.1
+        for c in set(want.columns) - {"Customer_ID", "feature"}:
+            assert np.allclose(j[c], j[f"{c}_t"], atol=1e-9), c
+
+
+def test_sampled_attributions_shuffle_no_scored_rows(spark, monkeypatch):
+    from churnlens.operators import explain as E
+    monkeypatch.setattr(E, "SCORED_ROWS", 500)
+    d = spark.createDataFrame(pd.DataFrame({"Customer_ID": range(100), "a": np.arange(100.0), "b": np.arange(100.0) ** 2}))
+    s = E.shapley_sampled(lambda x: x.withColumn("margin", F.col("a") - F.col("b")), d, d.limit(4), ["a", "b"])
+    plan = s._jdf.queryExecution().executedPlan().toString()
+    assert plan.split("== Initial Plan ==")[-1].count("Exchange hashpartitioning") == 1      # the rows themselves, in 5 partitions of 20 rows or so
+    assert s.count() == 200
+
+
+def test_networks_of_a_shard_are_shared_out(spark):
+    """More tasks train than there are shards, with the same weights."""
+    from churnlens.operators import mlp as N
+    g = np.random.default_rng(6)
+    pdf = pd.DataFrame(g.normal(size=(80, 3)), columns=["a", "b", "c"]).assign(Customer_ID=np.arange(80), Left=np.arange(80) % 2, fold=np.arange(80) % 4)
+    t = N.store_shards(spark.createDataFrame(pdf), ["a", "b", "c"], fold_col="fold", shards=2)
+    specs = [N.Spec((4,), left_out=f) for f in range(4)]
+    s = N.spread(t, specs)
+    assert s.select("shard", "part").distinct().count() == 8 and N.spread(t, specs[:1]) is t
+    for spec, state in zip(specs, N.fit_many(t, 3, specs, 3), strict=True):
+        assert (state.vec == N.fit_many(t, 3, [spec], 3)[0].vec).all()
