@@ -107,3 +107,29 @@ def test_networks_of_a_shard_are_shared_out(spark):
     assert s.select("shard", "part").distinct().count() == 8 and N.spread(t, specs[:1]) is t
     for spec, state in zip(specs, N.fit_many(t, 3, specs, 3), strict=True):
         assert (state.vec == N.fit_many(t, 3, [spec], 3)[0].vec).all()
+
+
+def test_trees_train_on_equal_parts(spark, monkeypatch):
+    """Rows that lie in one file of many train in parts of equal size, one a core at most."""
+    from churnlens.operators import trees as T
+    monkeypatch.setattr(T, "TASK_ROWS", (100, 1000))
+    d = spark.range(0, 2000, numPartitions=6).where("id < 1000").select(F.rand(1).alias("a"), F.rand(2).alias("b"), (F.col("id") % 2).cast("int").alias("Left"))
+    seen = []
+
+    def fit(self, rows):
+        seen.append([len(p) for p in rows.rdd.glom().collect()])
+
+    monkeypatch.setattr(T.GBTClassifier, "fit", fit)
+    T.gbt_fit(d, ["a", "b"])
+    sizes = [n for n in seen[0] if n]
+    assert sum(sizes) == 1000 and len(sizes) == min(10, spark.sparkContext.defaultParallelism) and max(sizes) <= 1.2 * min(sizes)
+
+
+def test_folds_are_prepared_once_for_several_grids(spark):
+    from churnlens.operators import trees as T
+    d = spark.range(300).select((F.col("id") % 7).cast("double").alias("a"), F.rand(2).alias("b"), (F.col("id") % 2).cast("int").alias("Left"), (F.col("id") % 3).cast("int").alias("fold"))
+    calls = []
+    grid = dict(colsample=[1.0], learning_rate=[0.1], max_depth=[2], n_estimators=[2, 3], subsample=[1.0])
+    parts = T.fold_parts(d, ["a", "b"], prepare=lambda a, b: calls.append(1) or (a, b, None))
+    one, two = (T.gbt_grid(d, ["a", "b"], grid=grid, parts=parts).toPandas() for _ in range(2))
+    assert len(calls) == 3 and one.equals(two) and one.equals(T.gbt_grid(d, ["a", "b"], grid=grid).toPandas())
