@@ -133,3 +133,28 @@ def test_folds_are_prepared_once_for_several_grids(spark):
     parts = T.fold_parts(d, ["a", "b"], prepare=lambda a, b: calls.append(1) or (a, b, None))
     one, two = (T.gbt_grid(d, ["a", "b"], grid=grid, parts=parts).toPandas() for _ in range(2))
     assert len(calls) == 3 and one.equals(two) and one.equals(T.gbt_grid(d, ["a", "b"], grid=grid).toPandas())
+
+
+def test_layers_are_searched_by_boxes(monkeypatch):
+    """The neighbours in overlapping subsets of a table: all of them, from few distances."""
+    g = np.random.default_rng(3)
+    b = np.round(g.random((4000, 2)) * 100, 1)
+    member = g.random((3, 4000)) < np.array([[0.2], [0.6], [1.0]])
+    done, dist = [], K._dist
+    monkeypatch.setattr(K, "_dist", lambda *a: done.append(len(a[0]) * len(a[1])) or dist(*a))
+    got = {q: set(cols) for q, cols, _ in K._search_layers(b[:2000], np.full(2000, np.inf), b, member, 5, "manhattan", 1.0)}
+    d = dist(b[:2000], b, "manhattan", 1.0)
+    for q in range(0, 2000, 10):
+        for m in member:
+            near = np.flatnonzero(m)
+            assert set(near[np.lexsort([near, np.round(d[q, near], 9)])[:5]]) <= got[q]
+    assert sum(done) < 0.5 * d.size and max(map(len, got.values())) < 60
+
+
+def test_learning_curve_in_cells(spark):
+    from churnlens.operators import tuning as V
+    g = np.random.default_rng(4)
+    d = spark.createDataFrame(pd.DataFrame({"Customer_ID": range(160), "a": g.random(160), "b": g.integers(0, 4, 160).astype(float), "Left": g.integers(0, 2, 160), "fold": np.arange(160) % 3}))
+    one, cells = (V.knn_learning_scores(d, ["a", "b"], 4, "distance", "manhattan", fractions=(0.1, 0.5, 1.0), block=n).toPandas() for n in (4096, 5))
+    key = ["part", "fold", "train_size", "y", "score"]
+    assert one.sort_values(key).reset_index(drop=True).equals(cells.sort_values(key).reset_index(drop=True))
