@@ -1,4 +1,4 @@
-"""A bounded sample of labelled documents, from which the classifiers learn."""
+"""The labelled documents that the classifiers learn from: all of them, or a bounded sample."""
 
 from __future__ import annotations
 
@@ -26,6 +26,25 @@ def picked(docs: DataFrame, labels: DataFrame, label: str, per_label: int, mod:
     return {r["doc_id"]: r["y"] for r in rows}, counts
 
 
+def labelled(docs: DataFrame, labels: DataFrame, label: str, mod: int, held_out: int, id_col: str = "doc_id", text_col: str = "text",
+             carry: str | None = None) -> tuple[DataFrame, dict[int, int]]:
+    """All labelled documents that may be learned from (``doc_id``, ``y``, ``text``, ``carry``), and their number by label.
+
+    Ids, labels and texts count as in :func:`picked` and :func:`sample`.
+    """
+    lab = labels.select(F.col(id_col).cast("long").alias("doc_id"), F.col(label).cast("int").alias("y")).dropna()
+    lab = lab.where(crc_mod_sql("doc_id", mod) != held_out).groupBy("doc_id").agg(F.max("y").alias("y"))
+    own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"),
+                      (F.col(carry) if carry else F.lit(None)).cast("string").alias("carry"))
+    own = own.where(F.col("doc_id").isNotNull() & (crc_mod_sql("doc_id", mod) != held_out)).join(lab, "doc_id")
+    rows = own.groupBy("doc_id").agg(F.max("y").alias("y"), F.min(F.struct("text", "carry")).alias("x")).select("doc_id", "y", "x.*")
+    seen = lab.join(docs.select(F.col(id_col).cast("long").alias("doc_id")).distinct(), "doc_id", "left_semi")
+    counts = {int(r["y"]): int(r["count"]) for r in seen.groupBy("y").count().limit(3).collect()}
+    if not set(counts) <= {0, 1}:
+        raise ValueError(f"{label} must be 0 or 1, not {sorted(set(counts) - {0, 1})}")
+    return rows, counts
+
+
 def order_of(ids: pd.Series) -> pd.Series:
     """The key by which a sample is ordered: a hash of the id."""
     return ids.map(lambda i: (int(i) * 2654435761) % 2**32)

@@ -2,6 +2,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from churnlens.llm import quality, toxicity
 from churnlens.llm.features import Words, shape_counts
@@ -181,3 +182,20 @@ def test_other_labels_are_refused(spark, tables):
         quality.fit(docs, other)
     with pytest.raises(ValueError):
         toxicity.fit(docs, other)
+
+
+def test_toxicity_learns_from_all_labelled_rows(spark, tables, monkeypatch):
+    from churnlens.llm.labelled import labelled
+    docs = spark.range(9000).select(F.col("id").alias("doc_id"), F.lit("some words").alias("text"), F.lit("en").alias("lang"))
+    rows, counts = labelled(docs, docs.select("doc_id", F.lit(0).alias("toxic")), "toxic", 4, 2)
+    want = sum(zlib.crc32(str(i).encode()) % 4 != 2 for i in range(9000))
+    assert rows.count() == want and counts == {0: want}
+    shards, average = [], toxicity.train_shards
+    monkeypatch.setattr(toxicity, "SHARD_ROWS", 150)
+    monkeypatch.setattr(toxicity, "train_shards", lambda d, net, n, *a: shards.append((n, d.count())) or average(d, net, n, *a))
+    model = toxicity.fit(*tables)
+    n_all = labelled(*tables, "toxic", 4, 2)[0].count()
+    assert shards[0][0] == -(-shards[0][1] // 150) > 1 and shards[0][1] > 0.6 * n_all
+    rows = toxicity.score(tables[0], model).toPandas().merge(tables[1].toPandas(), on="doc_id")
+    rows = rows[rows["held_out"]]
+    assert auc(rows["toxic"].to_numpy(), rows["score"].to_numpy()) > 0.8      # two shards with a dozen toxic documents each
