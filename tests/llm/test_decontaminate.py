@@ -75,3 +75,40 @@ def test_no_python_in_the_plan(spark, edge_docs):
     items = spark.createDataFrame(ITEMS, "item_id long, text string")
     plan = D.decontaminate(edge_docs, items)._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow", plan.replace("PythonRDD", ""))
+
+
+@pytest.mark.parametrize("limit", [None, 0])
+@pytest.mark.parametrize("window, gram", [(6, 3), (4, 4), (3, 5), (1, 1)])
+def test_other_windows_and_grams(spark, monkeypatch, window, gram, limit):
+    """Windows of other lengths than the registered one, down to those of a single k-gram; also with the shuffled join."""
+    if limit is not None:
+        monkeypatch.setattr(D, "BROADCAST_ROWS", limit)
+    g = random.Random(window)
+    text = lambda n: " ".join(g.choice("abcd") for _ in range(n))
+    items = [(i, text(n)) for i, n in enumerate([1, 2, 3, window, window + 1, 9])]
+    docs = [(i, text(g.randrange(0, 60))) for i in range(20)] + [(90, None), (91, "- a"), (92, items[3][1]), (93, items[5][1] + ".")]
+    h = D.hits(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"), window, gram).collect()
+    expected = set()
+    for _, t in items:
+        w = slow_words(t)
+        spans = {tuple(w[a:a + window]) for a in range(max(1, len(w) - window + 1))}
+        for d, u in docs:
+            v = slow_words(u)
+            expected |= {(d, a + 1, len(x)) for x in spans for a in range(len(v) - len(x) + 1) if tuple(v[a:a + len(x)]) == x}
+    found = [(r.doc_id, r.s, r.m) for r in h if r.m]
+    assert set(found) == expected and len(found) == len(expected)
+    assert {r.doc_id: r.s for r in h if not r.m} == {d: len(slow_words(t)) for d, t in docs}
+
+
+@pytest.mark.parametrize("text", [None, "", " ", "a", "  Ab,cD ", "\n\tx-Y\x7f\x00z\n", "ÀÉ Z[é]漢字 和😀 1a", "a.", ".a", "é B c"])
+def test_words_are_the_matches_of_the_pattern(spark, text):
+    assert spark.createDataFrame([(text,)], "t string").select(D.words_of(D.F.col("t"))).first()[0] == slow_words(text)
+
+
+def test_no_slice_for_each_place(spark, edge_docs):
+    """The cost of a document's word: no match objects, and the one slice is of the words around a kept k-gram."""
+    items = spark.createDataFrame([ITEMS[0]], "item_id long, text string")
+    plan = D.hits(edge_docs, items)._jdf.queryExecution().optimizedPlan().toString()
+    side = next(x for x in plan.splitlines() if "Generate explode" in x or "Project" in x and "array_distinct(" in x)
+    assert "split(" in plan and "regexp_extract_all" not in plan
+    assert "array_distinct(" in side and side.count("slice(") == 1
