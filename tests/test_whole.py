@@ -2,10 +2,47 @@
 
 import numpy as np
 import pandas as pd
+import pytest
+from pyspark.sql import functions as F
 
+from churnlens.operators import mlp as N
 from churnlens.operators import trees as T
 from churnlens.plans import model_queries as Q
 
+COLS = ["a", "b", "c"]
+
+
+def table(n=300, seed=1):
+    g = np.random.default_rng(seed)
+    x = np.round(g.normal(size=(n, 3)), 2)
+    y = (x[:, 0] - x[:, 1] ** 2 + 0.3 * g.normal(size=n) > -0.5).astype(int)
+    return pd.DataFrame(x, columns=COLS).assign(Customer_ID=np.arange(n), Left=y, fold=np.arange(n) % 3)
+
+
+# ---- networks of large tables ----------------------------------------------------
+
+def test_large_tables_get_more_shards(spark, monkeypatch):
+    """More rows than the default shards may hold, and one key for a third of them: every row is packed, and the networks train."""
+    monkeypatch.setattr(N, "MAX_SHARD_ROWS", 30)
+    pdf = table().assign(r=np.arange(1, 301))
+    pdf.loc[pdf.index % 3 == 1, "Customer_ID"] = 7
+    d = spark.createDataFrame(pdf)
+    t = N.store_shards(d, COLS, fold_col="fold", shards=2, grow=True)
+    sizes = [r["n"] for r in t.select("n").collect()]
+    assert sum(sizes) == 300 and max(sizes) <= 30
+    with pytest.raises(ValueError, match="more shards"):
+        N.store_shards(d, COLS, shards=2)
+    s = N.mlp_cv_scores(d, COLS, max_iter=2, hidden=(3,), shards=2)
+    assert s.groupBy("fold").count().orderBy("fold").collect() == [(f, 100) for f in range(3)]
+
+
+def test_few_rows_keep_their_shards(spark):
+    """Tables that fit are dealt as they were."""
+    d = spark.createDataFrame(table())
+    a, b = (N.store_shards(d, COLS, shards=3, grow=g).orderBy("shard").collect() for g in (False, True))
+    assert a == b and len(a) == 3
+
+
 # ---- importances ----------------------------------------------------------------
 
 def test_report_lists_every_importance(spark, monkeypatch):
