@@ -34,6 +34,9 @@ def test_large_tables_get_more_shards(spark, monkeypatch):
         N.store_shards(d, COLS, shards=2)
     s = N.mlp_cv_scores(d, COLS, max_iter=2, hidden=(3,), shards=2)
     assert s.groupBy("fold").count().orderBy("fold").collect() == [(f, 100) for f in range(3)]
+    pos = d.withColumn("_pos", F.array(*[F.when(F.col("fold") != f, F.col("r")).otherwise(0) for f in range(3)]))
+    s = N.mlp_learning_scores(pos, COLS, [50], [0, 1, 2], max_iter=2, hidden=(3,), shards=2)
+    assert s.where("part = 'validation'").count() == 300
 
 
 def test_few_rows_keep_their_shards(spark):
