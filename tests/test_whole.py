@@ -32,6 +32,7 @@ def test_large_tables_get_more_shards(spark, monkeypatch):
     assert sum(sizes) == 300 and max(sizes) <= 30
     with pytest.raises(ValueError, match="more shards"):
         N.store_shards(d, COLS, shards=2)
+    assert N.mlp_fit(d, COLS, hidden=(3,), max_iter=2, shards=2).transform(d).where("prob between 0 and 1").count() == 300
     s = N.mlp_cv_scores(d, COLS, max_iter=2, hidden=(3,), shards=2)
     assert s.groupBy("fold").count().orderBy("fold").collect() == [(f, 100) for f in range(3)]
     pos = d.withColumn("_pos", F.array(*[F.when(F.col("fold") != f, F.col("r")).otherwise(0) for f in range(3)]))
