@@ -5,9 +5,12 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from churnlens.operators import boosting as B
+from churnlens.operators import metrics as M
 from churnlens.operators import mlp as N
 from churnlens.operators import trees as T
 from churnlens.plans import model_queries as Q
+from churnlens.plans import search_queries as S
 
 COLS = ["a", "b", "c"]
 
@@ -19,6 +22,68 @@ def table(n=300, seed=1):
     return pd.DataFrame(x, columns=COLS).assign(Customer_ID=np.arange(n), Left=y, fold=np.arange(n) % 3)
 
 
+# ---- grids of trees --------------------------------------------------------------
+
+class _Asked(Exception):
+    pass
+
+
+def asked_points(monkeypatch, query):
+    """The grids that a query searches."""
+    seen = []
+
+    def grid(*a, grid=None, **k):
+        seen.append(grid or T.TUNING_GRID)
+        raise _Asked
+
+    monkeypatch.setattr(T, "gbt_grid", grid)
+    monkeypatch.setattr(S, "train_folds", lambda *a, **k: None)
+    monkeypatch.setattr(S, "stored", lambda spark, name, key, make: make())
+    monkeypatch.setattr(S, "inputs_key", lambda *a: ())
+    with pytest.raises(_Asked):
+        query(None, "")
+    return seen
+
+
+def test_tuning_asks_for_every_point(monkeypatch):
+    for q in (S.q_grid_search_gbt, S._gbt_grid):
+        assert [int(np.prod([len(v) for v in g.values()])) for g in asked_points(monkeypatch, q)] == [108]
+
+
+@pytest.mark.parametrize("kw", [dict(max_depth=3, colsample=0.6), dict(max_depth=4, subsample=0.7, colsample=1.0), dict(max_depth=3, subsample=0.9, colsample=0.5, weight=2.5)])
+def test_grown_in_a_task_as_by_spark(spark, kw):
+    """The same margins as from ``GBTClassifier`` on the same rows in one partition."""
+    kw = dict(kw)
+    weight = kw.pop("weight", None)
+    d = T.written(spark.createDataFrame(table(500, 4)).coalesce(1), "rows")
+    pdf = d.toPandas()
+    x, y = pdf[COLS].to_numpy(), pdf["Left"].to_numpy()
+    m = T.gbt_fit(d, COLS, learning_rate=0.2, n_estimators=5, pos_weight=weight, deal=False, **kw)
+    want = T.staged_scores(m, d, COLS, [2, 5]).select("Customer_ID", "margins").toPandas().set_index("Customer_ID")["margins"]
+    cuts = [B.thresholds(x[:, j], np.where(y == 1, weight, 1.0) if weight else None) for j in range(3)]
+    bins = B.binned(x, cuts)
+    got = B.staged_margins(np.concatenate([bins, bins], axis=1), np.array([len(c) for c in cuts]), y, len(y), [2, 5], learning_rate=0.2, pos_weight=weight, **kw)
+    assert np.allclose(got.T, np.stack(want.loc[pdf["Customer_ID"]]), atol=1e-9)
+
+
+def test_grid_is_the_same_grown_in_tasks_or_by_jobs(spark, monkeypatch):
+    """Every point, whichever way its ensembles are grown; one class alone in a fold has no AUC."""
+    d = spark.createDataFrame(table(240, 2).assign(b=lambda p: p["b"].round(1)))
+    grid = dict(colsample=[0.7, 1.0], learning_rate=[0.1, 0.3], max_depth=[2, 3], n_estimators=[2, 4], subsample=[1.0])
+    parts = T.fold_parts(d, COLS)
+    parts = {f: (a, b, 1.7) for f, (a, b, _) in parts.items()}
+    tasks = T.gbt_grid(d, COLS, grid=grid, parts=parts).orderBy("point").toPandas()
+    monkeypatch.setattr(T, "TASK_ROWS", (16_384, 0))
+    jobs = T.gbt_grid(d, COLS, grid=grid, parts=parts).orderBy("point").toPandas()
+    assert len(tasks) == 16 and np.allclose(tasks["mean_auc"], jobs["mean_auc"], atol=1e-9) and np.allclose(tasks["std_auc"], jobs["std_auc"], atol=1e-8)
+    monkeypatch.undo()
+    scores = T.grown_scores(parts, COLS, "Left", T.staged_fits(grid), [2, 4])
+    assert scores.groupBy("fit", "fold", "stage").count().where("count = 80").count() == 8 * 3 * 2
+    assert M.auc_by(scores, "score", "y", ["fit", "stage", "fold"]).count() == 48
+    with pytest.raises(ValueError, match="missing"):
+        T.gbt_grid(d.withColumn("a", F.when(F.col("Customer_ID") > 3, F.col("a"))), COLS, grid=grid)
+
+
 # ---- networks of large tables ----------------------------------------------------
 
 def test_large_tables_get_more_shards(spark, monkeypatch):
