@@ -57,6 +57,17 @@ def test_tuned_trees_come_from_the_whole_grid(spark, monkeypatch):
     assert asked_points(monkeypatch, S.q_gbt_tuned_against_basic) == [T.TUNING_GRID]
 
 
+def test_rebalancing_asks_for_every_point(spark, monkeypatch):
+    rows = spark.createDataFrame(table()).select("Left", *COLS)
+    monkeypatch.setattr(S, "train_test", lambda *a, **k: (rows, rows))
+    monkeypatch.setattr(S, "_balanced", lambda *a, **k: rows)
+    monkeypatch.setattr(T, "fold_parts", lambda *a, **k: {})
+    monkeypatch.setattr(T, "gbt_fit", lambda *a, **k: None)
+    monkeypatch.setattr(T, "gbt_score", lambda m, d, f: d.withColumn("prob", F.lit(0.5)))
+    grids = asked_points(monkeypatch, S.q_experiment_trees)
+    assert grids == [T.REBALANCING_GRID] and int(np.prod([len(v) for v in grids[0].values()])) == 162
+
+
 @pytest.mark.parametrize("kw", [dict(max_depth=3, colsample=0.6), dict(max_depth=4, subsample=0.7, colsample=1.0), dict(max_depth=3, subsample=0.9, colsample=0.5, weight=2.5)])
 def test_grown_in_a_task_as_by_spark(spark, kw):
     """The same margins as from ``GBTClassifier`` on the same rows in one partition."""
