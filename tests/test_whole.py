@@ -130,6 +130,16 @@ def test_few_rows_keep_their_shards(spark):
     assert a == b and len(a) == 3
 
 
+def test_driver_keeps_no_state_of_past_epochs(spark, monkeypatch):
+    """The broadcast of an epoch is destroyed, and the best weights are no view of a whole state."""
+    from pyspark.core.broadcast import Broadcast
+    gone, destroy = [], Broadcast.destroy
+    monkeypatch.setattr(Broadcast, "destroy", lambda self, *a, **k: gone.append(1) or destroy(self, *a, **k))
+    t = N.store_shards(spark.createDataFrame(table(120)), COLS, shards=2)
+    s = N.fit_many(t, 3, [N.Spec((4,), "tanh", learning_rate=0.01, batch_size=16)], 3, True, 0.2)[0]
+    assert len(gone) == 4 and s.vec.base is None
+
+
 # ---- importances ----------------------------------------------------------------
 
 def test_report_lists_every_importance(spark, monkeypatch):
